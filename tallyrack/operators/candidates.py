@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.operators.numbering import number_rows
 from tallyrack.operators.ranking import TOP_K, first_n, rank_score
-from tallyrack.operators.skew import salted_join
+from tallyrack.operators.skew import BROADCAST_VECTORS, checked_join, salted_join
 
 
 def category_index(catalog: DataFrame, page_rows: int = 1000) -> DataFrame:
@@ -95,7 +95,7 @@ def with_catalog(
     if price is not None:
         catalog = catalog.where(F.col("price").between(*price))
     how = "left" if category is None and price is None else "inner"
-    return salted_join(results, catalog, "item_id", how)
+    return checked_join(results, catalog, "item_id", how)
 
 
 def attach_vectors(
@@ -106,7 +106,8 @@ def attach_vectors(
 
     user_side = users.select("user_id", F.col("embedding").alias("user_vector"))
     item_side = items.select("item_id", F.col("embedding").alias("item_vector"))
-    both = salted_join(salted_join(candidates, user_side, "user_id"), item_side, "item_id")
+    both = salted_join(candidates, user_side, "user_id")
+    both = checked_join(both, item_side, "item_id", "left", BROADCAST_VECTORS, hot_from=candidates)
     return both.withColumn("user_vector", or_zeros(F.col("user_vector"), dim)).withColumn(
         "item_vector", or_zeros(F.col("item_vector"), dim)
     )

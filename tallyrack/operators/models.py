@@ -287,7 +287,8 @@ def training_set(events: DataFrame, users: DataFrame, items: DataFrame) -> DataF
     labelled = events.select("event_id", "user_id", "item_id", label.alias("label")).where(
         F.col("label").isNotNull()
     )
-    return salted_join(salted_join(labelled, users, "user_id"), items, "item_id")
+    with_users = salted_join(labelled, users, "user_id")
+    return salted_join(with_users, items, "item_id", hot_from=labelled)
 
 
 def is_training(key: Column, share: int = 80) -> Column:
@@ -314,7 +315,8 @@ def learn_vectors(
     checkpoint_dir(strengths.sparkSession)
     users = number_rows(strengths.select("user_id").distinct(), ["user_id"], "u")
     items = number_rows(strengths.select("item_id").distinct(), ["item_id"], "i")
-    ready = salted_join(salted_join(strengths, users, "user_id", "inner"), items, "item_id", "inner")
+    ready = salted_join(strengths, users, "user_id", "inner")
+    ready = salted_join(ready, items, "item_id", "inner", hot_from=strengths)
     als = ALS(
         rank=rank, maxIter=iterations, implicitPrefs=True, alpha=alpha, seed=seed,
         userCol="u", itemCol="i", ratingCol="strength", checkpointInterval=2,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one key that one task may take before the key is split.
 HOT_ROWS = 1_000_000
@@ -11,8 +12,9 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
 #: At most this many parts per key, and the parts of the rows without a key.
 MAX_PARTS = 512
-#: Narrow rows that may be sent to every task.
+#: Narrow rows that may be sent to every task; vectors are some hundred times wider.
 BROADCAST_ROWS = 500_000
+BROADCAST_VECTORS = 50_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -27,23 +29,34 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def _spread(df: DataFrame, key: str):
+    """Hash of the plain columns besides the key: differs between rows, cheap to compute."""
+    plain = [
+        f.name for f in df.schema.fields if f.name != key and isinstance(f.dataType, T.AtomicType)
+    ]
+    return F.xxhash64(*(plain or df.columns))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join on ``key`` with hot keys of ``left`` spread over several tasks.
 
     ``right`` repeats only the rows of split keys, so it should hold few rows per key. Left
-    rows without a key match nothing and are spread by their content.
+    rows without a key match nothing and are spread by their content. The keys are counted on
+    ``hot_from``, by default ``left``: give the table ``left`` was derived from, to count a
+    plain scan instead of computing ``left`` twice.
     """
-    hot = F.broadcast(hot_keys(left, key, hot_rows))  # bounded by HOT_KEYS
-    by_content = F.xxhash64(*[F.col(c) for c in left.columns])
+    source = left if hot_from is None else hot_from
+    hot = F.broadcast(hot_keys(source, key, hot_rows))  # bounded by HOT_KEYS
     salt = (
-        F.when(F.col(key).isNull(), F.pmod(by_content, F.lit(MAX_PARTS)))
-        .when(F.col("parts").isNotNull(), F.pmod(by_content, F.col("parts")))
+        F.when(F.col(key).isNull(), F.pmod(_spread(left, key), F.lit(MAX_PARTS)))
+        .when(F.col("parts").isNotNull(), F.pmod(_spread(left, key), F.col("parts")))
         .otherwise(F.lit(0))
         .cast("int")
     )
@@ -60,11 +73,12 @@ def checked_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Broadcast ``right`` when it is counted to be small, else a salted join."""
     if right.count() <= max_rows:
         return left.join(F.broadcast(right), key, how)
-    return salted_join(left, right, key, how, hot_rows)
+    return salted_join(left, right, key, how, hot_rows, hot_from)
 
 
 def lag_by_bucket(

@@ -26,6 +26,7 @@ from tallyrack.operators.ranking import pack_popular
 from tallyrack.operators.sessions import session_features
 from tallyrack.operators.skew import HOT_ROWS, salted_join
 from tallyrack.operators.stock import blocked_items, probe_stock
+from tallyrack.session import cut_lineage
 
 # The labels of the answering tier.
 TIER1, TIER2, TIER3 = "tier1_precomputed", "tier2_rerank", "tier3_inference"
@@ -111,7 +112,7 @@ def recommend(
         seen = session_features(session_events).select(
             F.col("session_id").cast("string").alias("session_id"), "clicked", "viewed"
         )
-        rows = salted_join(rows, seen, "session_id", "left", hot_rows)
+        rows = salted_join(rows, seen, "session_id", "left", hot_rows, hot_from=asked)
     rows = (
         rows.withColumn("one", F.lit(1))
         .join(F.broadcast(_popular_list(popular, stock)), "one", "left")  # a single row
@@ -144,7 +145,9 @@ def recommend(
     if ranker is None:
         out = answered
     else:
-        ranked = _ranked(answered.where("wants_model"), ranker, kept)
+        # misses are few; written out once, they are not computed again for each model join
+        misses = cut_lineage(answered.where("wants_model").drop("wants_model"))
+        ranked = _ranked(misses, ranker, kept)
         out = answered.where(~F.col("wants_model")).drop("wants_model").unionByName(ranked)
     return out.select(
         "request_id", "user_id", "session_id", "load_level", "tier",

@@ -59,9 +59,10 @@ def stock_commands(inventory: DataFrame) -> DataFrame:
     """
     available = F.coalesce(in_stock(F.col("in_stock"), F.col("quantity")), F.lit(False))
     bit = F.when(available, "0").otherwise("1")
-    setbit = F.struct(*_command(keys.stock_bitmap(), "SETBIT", bit, field=F.col("bit_offset")))
-    offset = F.struct(*_command(keys.stock_id_map(F.col("item_id")), "SET", F.col("bit_offset")))
-    return inventory.select(F.explode(F.array(setbit, offset)).alias("c"), "ts").select("c.*", "ts")
+    setbit = _command(keys.stock_bitmap(), "SETBIT", bit, field=F.col("bit_offset"))
+    offset = _command(keys.stock_id_map(F.col("item_id")), "SET", F.col("bit_offset"))
+    both = F.array(F.struct(*setbit, "ts"), F.struct(*offset, "ts"))
+    return inventory.select(F.inline(both))
 
 
 def sequenced(commands: DataFrame) -> DataFrame:
@@ -112,7 +113,9 @@ def apply_commands(
     )
     zadds = good.where(is_zadd)
     spans = activity_spans(zadds, ["key"], "ts", F.col("ttl_seconds"))
+    members = zadds.select("key")
     if state is not None:
+        members = members.unionAll(state.where(F.col("kind") == "zset").select("key"))
         known = state.where(F.col("kind") != "expiry").select(*STATE_COLUMNS)
         written = written.unionByName(known.withColumn("tie", F.lit(None).cast("bigint")))
         old = state.where(F.col("kind") == "expiry")
@@ -124,7 +127,7 @@ def apply_commands(
         "key", "kind", "member", "last.*"
     )
     lives = last_life(spans, ["key"]).withColumnRenamed("expires_at", "set_expires")
-    sets = salted_join(folded.where(F.col("kind") == "zset"), lives, "key", "left", hot_rows)
+    sets = salted_join(folded.where(F.col("kind") == "zset"), lives, "key", "left", hot_rows, members)
     sets = sets.where(F.col("alive_from").isNull() | (F.col("ts") >= F.col("alive_from")))
     expiry = lives.select(
         "key",

@@ -394,7 +394,9 @@ def command_state(spark, sf):
     ordered = cmd.sequenced(everything)
     early = F.col("ts") < F.lit(t.SPLIT)
     first, _ = cmd.apply_commands(ordered.where(early))
-    both, _ = cmd.apply_commands(ordered.where(~early), first)
+    path = t.scratch(spark, "state")
+    first.write.parquet(path)
+    both, _ = cmd.apply_commands(ordered.where(~early), spark.read.parquet(path))
     alive = cmd.live_state(both, F.lit(_ALIVE).cast("timestamp"))
     return alive.select(
         "key", "kind", "member", "value", F.col("score").cast("bigint").alias("score"), micros("expires_at", "expires_us")
@@ -402,7 +404,7 @@ def command_state(spark, sf):
 
 
 @query(
-    """SELECT event_id, CASE event_type WHEN 'error' THEN 'unknown operation: DEL' ELSE 'bad bit offset' END
+    """SELECT event_id::VARCHAR AS event_id, CASE event_type WHEN 'error' THEN 'unknown operation: DEL' ELSE 'bad bit offset' END
       AS reject_reason FROM events WHERE event_type IN ('error', 'signup')"""
 )
 def commands_rejected(spark, sf):
