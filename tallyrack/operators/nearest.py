@@ -201,12 +201,12 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
 
 def pair_score(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Inner product of given (user, item) pairs; null when a vector is missing."""
-    from tallyrack.functions.vectors import dot
+    from tallyrack.functions.vectors import dot_batch
     from tallyrack.operators.skew import BROADCAST_VECTORS, checked_join, salted_join
 
     user_side = users.select("user_id", F.col("embedding").alias("user_vector"))
     item_side = items.select("item_id", F.col("embedding").alias("item_vector"))
     both = salted_join(pairs, user_side, "user_id")
     both = checked_join(both, item_side, "item_id", "left", BROADCAST_VECTORS, hot_from=pairs)
-    score = dot(F.col("user_vector"), F.col("item_vector"))
+    score = dot_batch(F.col("user_vector"), F.col("item_vector"))
     return both.withColumn("score", score).drop("user_vector", "item_vector")

@@ -93,11 +93,11 @@ def lag_by_bucket(
     bucket = F.floor(F.unix_seconds(F.col(ts)) / F.lit(width_seconds))
     rows = df.withColumn("bucket", bucket)
     order = [F.col(ts), *[F.col(c) for c in ties]]
-    lasts = rows.groupBy(key, "bucket").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("last")
-    )
+    # a plain ordering column is folded by hashing, several are sorted first
+    at_end = F.max_by(F.col(value), F.struct(*order) if ties else F.col(ts))
+    lasts = rows.groupBy(key, "bucket").agg(at_end.alias("last"))
     per_key = Window.partitionBy(key).orderBy("bucket")
-    carried = lasts.select(key, "bucket", F.lag("last").over(per_key).getField("v").alias("carried"))
+    carried = lasts.select(key, "bucket", F.lag("last").over(per_key).alias("carried"))
     within = Window.partitionBy(key, "bucket").orderBy(*order)
     numbered = rows.withColumn("position", F.row_number().over(within)).withColumn(
         "before", F.lag(value).over(within)

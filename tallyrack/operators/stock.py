@@ -15,8 +15,17 @@ def _effective() -> Column:
 
 
 def stock_state(inventory: DataFrame, ties: list[str] | None = None) -> DataFrame:
-    """Latest status per item by event time; ``ties`` order events of the same instant."""
-    order = F.struct(*[F.col(c) for c in ["ts", *(ties or [])]])
+    """Latest status per item by event time; ``ties`` order events of the same instant.
+
+    Without ``ties`` the buffers are plain values and the rows are hashed; with them each task
+    sorts its rows before it folds them.
+    """
+    if not ties:
+        status = F.max_by(_effective(), F.col("ts"))
+        return inventory.groupBy("item_id").agg(
+            status.alias("in_stock"), (~status).alias("out_of_stock"), F.max("ts").alias("ts")
+        )
+    order = F.struct(*[F.col(c) for c in ["ts", *ties]])
     latest = F.max_by(F.struct(_effective().alias("in_stock"), F.col("ts")), order)
     return inventory.groupBy("item_id").agg(latest.alias("latest")).select(
         "item_id",

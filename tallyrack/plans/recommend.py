@@ -134,25 +134,21 @@ def recommend(
         .otherwise(F.transform(F.col("candidates"), _plain))
     )
     tier = F.when(emergency | miss, FALLBACK).when(rerank, TIER2).otherwise(TIER1)
-    kept = ["request_id", "user_id", "session_id", "load_level", "effective_limit"]
+    kept = ["request_id", "user_id", "session_id", "load_level"]
     none = F.filter(F.array(F.struct(F.lit("").alias("item_id"), F.lit(0.0).alias("score"))), lambda x: F.lit(False))
     answered = rows.withColumn("candidates", candidates).select(
         *kept,
         (miss & tier_allowed(level, "tier3")).alias("wants_model"),
         tier.alias("tier"),
-        F.coalesce(items, none).alias("items"),
+        # the model sees no list longer than the limit, so the cut may come first
+        F.slice(F.coalesce(items, none), 1, limit).alias("items"),
     )
     if ranker is None:
-        out = answered
-    else:
-        # misses are few; written out once, they are not computed again for each model join
-        misses = cut_lineage(answered.where("wants_model").drop("wants_model"))
-        ranked = _ranked(misses, ranker, kept)
-        out = answered.where(~F.col("wants_model")).drop("wants_model").unionByName(ranked)
-    return out.select(
-        "request_id", "user_id", "session_id", "load_level", "tier",
-        F.slice("items", 1, F.col("effective_limit")).alias("items"),
-    )
+        return answered.drop("wants_model")
+    # written out once: the model branch reads its rows several times
+    answered = cut_lineage(answered)
+    ranked = _ranked(answered.where("wants_model").drop("wants_model"), ranker, kept)
+    return answered.where(~F.col("wants_model")).drop("wants_model").unionByName(ranked)
 
 
 def _ranked(misses: DataFrame, ranker: Ranker, kept: list[str]) -> DataFrame:

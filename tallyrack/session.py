@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # rows carry lists and vectors: they cost more time than their bytes suggest
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 

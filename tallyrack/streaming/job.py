@@ -19,9 +19,18 @@ from tallyrack.streaming.windows import clicks_1h
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Checkpoints write changes only, and no row count is kept: a read less per write.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep stream state outside the JVM heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
 
 
 def start(

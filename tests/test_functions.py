@@ -72,6 +72,15 @@ def test_vectors(spark):
     assert tuple(row) == (32.0, [1, 2, 0, 0], [1, 2], [0.0, 0.0])
 
 
+def test_batched_dot_equals_dot(spark):
+    data = [([float(i), 2.0, 3.0], [4.0, float(i), 6.0]) for i in range(50)]
+    data += [([1.0], [5.0]), (None, [1.0]), ([1.0], None), ([1.0, 2.0], [1.0])]
+    df = spark.createDataFrame(data, "a array<float>, b array<float>")
+    found = df.select(vectors.dot(F.col("a"), F.col("b")).alias("x"), vectors.dot_batch("a", "b").alias("y")).collect()
+    assert all(r.x == r.y for r in found)
+    assert [r.y for r in found[50:]] == [5.0, None, None, None]
+
+
 def test_keys(spark):
     c = F.lit("x1")
     built = [

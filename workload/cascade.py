@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyrack.functions.vectors import dot
+from tallyrack.functions.vectors import dot_batch
 from tallyrack.operators import candidates as cand
 from tallyrack.operators import models, nearest, ranking
 from tallyrack.plans import recommend as rec
 from tallyrack.plans.jobs import blend_vectors, strengths
+from tallyrack.session import cut_lineage
 from tallyrack.sources import cache
 from workload import tables as t
 from workload.features import REQUEST_ROWS
@@ -116,14 +117,14 @@ def popular_cache_read(spark, sf):
 # Cascade ---------------------------------------------------------------------
 
 
-def _dot_ranker(spark, sf):
+def dot_ranker(spark, sf):
     """Model stand-in that SQL can follow: the rounded inner product of two vectors."""
     vectors = t.item_vectors(spark, sf).withColumn("item_id", F.col("item_id").cast("string"))
     users = vectors.select(F.concat(F.lit("cust-"), "item_id").alias("user_id"), "embedding")
 
     def rank(rows):
         ready = cand.attach_vectors(rows, users, vectors, 64)
-        score = F.round(dot(F.col("user_vector"), F.col("item_vector")), 6)
+        score = F.round(dot_batch(F.col("user_vector"), F.col("item_vector")), 6)
         return ready.withColumn("model_score", score).drop("user_vector", "item_vector")
 
     return rank
@@ -132,12 +133,12 @@ def _dot_ranker(spark, sf):
 def _answers(spark, sf, ranker=True):
     events = t.events(spark, sf)
     return rec.recommend(
-        t.requests(spark, sf),
+        cut_lineage(t.requests(spark, sf)),  # stands for a stored request table
         cached_recs(spark, sf),
         ranking.popular_items(events),
         stock_table(spark, sf),
         events,
-        _dot_ranker(spark, sf) if ranker else None,
+        dot_ranker(spark, sf) if ranker else None,
     )
 
 

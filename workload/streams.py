@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.operators import experiments as exp
 from tallyrack.operators import ranking, sessions, stock
+from tallyrack.session import cut_lineage
 from tallyrack.sources import commands as cmd
 from tallyrack.streaming import job, windows
 from workload import tables as t
@@ -238,10 +239,10 @@ def stock_bit_probe(spark, sf):
 
 
 def stock_table(spark, sf):
-    """Stock with offsets as text; every seventh item's offset cannot be read."""
+    """Stock as a stored table, with offsets as text; every seventh cannot be read."""
     item = F.col("item_id").cast("bigint")
     offset = F.when(item % 7 == 0, F.lit("bad")).otherwise(F.col("item_id"))
-    return _state(spark, sf).select("item_id", offset.alias("bit_offset"), "out_of_stock")
+    return cut_lineage(_state(spark, sf).select("item_id", offset.alias("bit_offset"), "out_of_stock"))
 
 
 BLOCKED = f"{STATE}, blocked AS (SELECT item_id FROM state WHERE NOT in_stock AND item_id::BIGINT % 7 <> 0)"
