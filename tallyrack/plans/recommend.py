@@ -153,7 +153,10 @@ def recommend(
 
 def _ranked(misses: DataFrame, ranker: Ranker, kept: list[str]) -> DataFrame:
     """Misses with their list ordered by the model; ties keep their order."""
-    flat = misses.select(*kept, F.posexplode_outer("items").alias("pos", "item")).select(
+    # spread while the lists are still packed: the unpacked rows of a request stay in one
+    # task, which packs them again before the next shuffle
+    placed = misses.repartition("request_id")
+    flat = placed.select(*kept, F.posexplode_outer("items").alias("pos", "item")).select(
         *kept, "pos", "item.item_id", "item.score"
     )
     scored = ranker(flat)
