@@ -38,8 +38,9 @@ def category_candidates(
 
     ``users(user_id, category_prefs)``. Items come in a seeded hash order (or ``order``). Only
     the first ``k`` items of a category can be chosen, so categories are cut to ``k`` before
-    they meet the users. A user whose categories hold fewer than ``k`` items needs fewer than
-    ``k`` others, and these are among the first ``2k`` of the catalog.
+    they are combined. A set of categories with fewer than ``k`` items needs fewer than ``k``
+    others, and these are among the first ``2k`` of the catalog. Lists are made once per
+    distinct set of categories and then handed to the users who have it.
     """
     key = F.xxhash64(F.lit(seed), F.col("item_id")) if order is None else order
     keyed = catalog.select("category_id", "item_id", key.alias("o"))
@@ -56,30 +57,28 @@ def category_candidates(
         .agg(F.sort_array(F.collect_list(entry)).alias("fill"))
         .withColumn("one", F.lit(1))
     )
-    wanted = users.select("user_id", F.array_distinct("category_prefs").alias("category_prefs"))
-    per_category = wanted.select("user_id", F.explode("category_prefs").alias("category_id"))
-    # a category may be the favourite of a third of all users
+    wanted = users.select("user_id", F.sort_array(F.array_distinct("category_prefs")).alias("prefs"))
+    sets = wanted.select("prefs").distinct()
+    per_category = sets.select("prefs", F.explode("prefs").alias("category_id"))
+    # one category may be in a third of all sets
     found = salted_join(per_category, heads, "category_id", "inner")
-    preferred = found.groupBy("user_id").agg(
+    preferred = found.groupBy("prefs").agg(
         F.slice(F.sort_array(F.flatten(F.collect_list("head"))), 1, k).alias("preferred")
     )
-    rest = F.filter("fill", lambda x: ~F.array_contains(F.col("category_prefs"), x["category_id"]))
-    chosen = F.slice(F.concat("preferred", rest), 1, k)
-    picked = (
-        wanted.join(preferred, "user_id", "left")
+    rest = F.filter("fill", lambda x: ~F.array_contains(F.col("prefs"), x["category_id"]))
+    nothing = F.slice("fill", 1, 0)
+    chosen = F.slice(F.concat(F.coalesce("preferred", nothing), rest), 1, k)
+    lists = (
+        sets.join(preferred, "prefs", "left")
         .withColumn("one", F.lit(1))
         .join(F.broadcast(fill), "one", "left")  # one row of at most 2k entries
-        .withColumn("preferred", F.coalesce("preferred", F.slice("fill", 1, 0)))
-        .select("user_id", chosen.alias("chosen"))
+        .select("prefs", F.transform(chosen, lambda x: x["item_id"]).alias("chosen"))
     )
+    # a third of all users may share one set
+    picked = salted_join(wanted, lists, "prefs", "inner")
     rank = F.col("pos") + 1
-    return picked.select(
-        "user_id", F.size("chosen").alias("n"), F.posexplode("chosen").alias("pos", "item")
-    ).select(
-        "user_id",
-        rank.alias("rank"),
-        F.col("item.item_id").alias("item_id"),
-        rank_score(rank, F.col("n")).alias("score"),
+    return picked.select("user_id", F.size("chosen").alias("n"), F.posexplode("chosen").alias("pos", "item_id")).select(
+        "user_id", rank.alias("rank"), "item_id", rank_score(rank, F.col("n")).alias("score")
     )
 
 

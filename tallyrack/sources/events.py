@@ -44,10 +44,16 @@ def read_slice(spark: SparkSession, root: str, now: dt.datetime, hours: int = 4)
 
 def write_partition(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
     """Overwrite the partitions that occur in ``df`` and leave the others."""
-    writer = df.write.mode("overwrite")
-    if partition_cols:
-        writer = writer.partitionBy(*partition_cols).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    if not partition_cols:
+        df.write.mode("overwrite").parquet(path)
+        return
+    writer = _by_partition(df, partition_cols).write.mode("overwrite")
+    writer.partitionBy(*partition_cols).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _by_partition(df: DataFrame, partition_cols: list[str]) -> DataFrame:
+    """Bring rows of a folder together, in files of good size: large folders get several."""
+    return df.hint("rebalance", *partition_cols)
 
 
 def write_counted(
@@ -79,5 +85,5 @@ def archive(df: DataFrame, path: str, checkpoint: str | None = None):
             .trigger(availableNow=True)
             .start()
         )
-    dated.write.mode("append").partitionBy("date").parquet(path)
+    _by_partition(dated, ["date"]).write.mode("append").partitionBy("date").parquet(path)
     return None

@@ -136,9 +136,8 @@ def item_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fifth vector stands for a user."""
-    vectors = table(spark, sf, "embeddings")
-    return vectors.where(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("user_id"), "embedding")
+    """Every vector also stands for a user."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
