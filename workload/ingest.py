@@ -13,9 +13,8 @@ from workload import tables as t
 from workload.registry import EV, micros, query
 
 
-def _raw(spark, sf):
+def _raw(events):
     """Event bodies as JSON, with some fields emptied and some bodies cut short."""
-    events = t.events(spark, sf)
     n = F.col("event_id").cast("bigint")
     body = F.to_json(
         F.struct(
@@ -41,7 +40,7 @@ _REASON = """CASE WHEN event_id::BIGINT % 17 = 0 THEN 'invalid JSON'
     SELECT * FROM judged WHERE reject_reason IS NOT NULL"""
 )
 def event_quarantine(spark, sf):
-    _, rejected = ingest.validate_events(_raw(spark, sf))
+    _, rejected = ingest.validate_events(_raw(t.events(spark, sf)))
     return rejected.select("source_id", "reject_reason")
 
 
@@ -52,11 +51,28 @@ def event_quarantine(spark, sf):
     FROM judged WHERE reject_reason IS NULL"""
 )
 def events_accepted(spark, sf):
-    valid, _ = ingest.validate_events(_raw(spark, sf))
+    valid, _ = ingest.validate_events(_raw(t.events(spark, sf)))
     named = ingest.enrich_events(valid, F.lit(t.AS_OF), ["source_id", "user_id", "event_type"])
     return named.select("source_id", "event_id", "user_id", "event_type", "item_id", "category_id", micros("ts"))
 
 
+@query(
+    f"""WITH {EV}, judged AS (SELECT *, {_REASON} AS reject_reason FROM ev)
+    SELECT user_id AS key, '{{"event_id":"' || sha256(event_id || '|' || user_id || '|' || event_type) || '","user_id":"'
+      || user_id || '","event_type":"' || event_type || '","item_id":"' || item_id || '","category_id":"' || category_id
+      || '","timestamp":"2024-01-30T12:00:00.000000Z","session_id":"","metadata":{{}}}}' AS value
+    FROM judged WHERE reject_reason IS NULL"""
+)
+def ingest_stream(spark, sf):
+    """Raw bodies as a stream: validated, given an id and a time, and published as messages."""
+    path = t.scratch(spark, "ingest")
+    valid, _ = ingest.validate_events(_raw(t.event_stream(spark, sf)))
+    named = ingest.enrich_events(valid, F.lit(t.AS_OF), ["source_id", "user_id", "event_type"])
+    sink = {"path": f"{path}/out"}
+    streams.publish(streams.to_topic(named), "json", sink, f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("key string, value string").json(sink["path"])
+
+
 _MESSAGE = """'{"event_id":"' || event_id || '","user_id":"' || user_id || '","event_type":"' || event_type
   || '","item_id":"' || item_id || '","category_id":"' || category_id || '","timestamp":"'
   || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","session_id":"' || session_id || '","metadata":{'

@@ -68,12 +68,6 @@ def ctr_7d_windows(spark, sf):
     )
 
 
-def _stream(spark, sf):
-    """The event file as a stream. The pattern matches a file or a folder of that name."""
-    t.configure(spark)
-    return t.as_events(spark.readStream.schema(t.schema("events")).parquet(f"{sf}/events.parque[t]"))
-
-
 def _run(spark, df, name):
     """Run a stream over what is there and read the written rows."""
     path = t.scratch(spark, name)
@@ -87,7 +81,7 @@ def _run(spark, df, name):
 )
 def clicks_1h_stream(spark, sf):
     job.use_rocksdb(spark)
-    found = _run(spark, windows.clicks_1h(_stream(spark, sf)), "clicks-stream")
+    found = _run(spark, windows.clicks_1h(t.event_stream(spark, sf)), "clicks-stream")
     return found.select("user_id", micros("window_end", "end_us"), "clicks")
 
 
@@ -95,7 +89,7 @@ def clicks_1h_stream(spark, sf):
 def events_dedup_stream(spark, sf):
     """Every event arrives twice and is kept once."""
     job.use_rocksdb(spark)
-    once = _stream(spark, sf).select("event_id", "user_id", "event_type", "ts")
+    once = t.event_stream(spark, sf).select("event_id", "user_id", "event_type", "ts")
     twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return _run(spark, windows.dedup(twice), "dedup").select("event_id", "user_id", "event_type")
 
@@ -105,7 +99,7 @@ def archive_stream(spark, sf):
     from tallyrack.sources.events import archive
 
     path = t.scratch(spark, "archive")
-    archive(_stream(spark, sf), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    archive(t.event_stream(spark, sf), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("event_id", F.col("date").cast("string").alias("date"))
 
 

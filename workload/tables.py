@@ -70,6 +70,12 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return as_events(table(spark, sf, "events"))
 
 
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The event file as a stream. The pattern matches a file or a folder of that name."""
+    configure(spark)
+    return as_events(spark.readStream.schema(schema("events")).parquet(f"{sf}/events.parque[t]"))
+
+
 def with_metadata(df: DataFrame) -> DataFrame:
     k = F.col("item_id").cast("int")
     return df.withColumn(
