@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from tallyrack.operators.ranking import TOP_K, top_k
 
-#: Rows of one side in one block. A task holds one block of users and one of items.
-BLOCK_ROWS = 8192
-#: Users scored at once inside a task: bounds the score matrix.
-_SLICE = 1024
+#: Rows of one side in one block. A task holds one block of users and one of items; each user
+#: is sent once per block of items and the other way round, so larger blocks shuffle less.
+BLOCK_ROWS = 65_536
+#: Scores held at once inside a task.
+_SCORES = 16_000_000
 #: Cells of the approximate method at most: keeps the centre matrix small.
 MAX_CELLS = 4096
 
@@ -38,12 +39,13 @@ def _best_in_block(
     if exclude_self:
         place = {item: i for i, item in enumerate(items["item_id"].to_pylist())}
         own = np.array([place.get(user, -1) for user in users["user_id"].to_pylist()])
-    for start in range(0, len(user_vectors), _SLICE):
-        scores = user_vectors[start : start + _SLICE] @ item_vectors.T
+    step = max(1, _SCORES // len(item_vectors))
+    for start in range(0, len(user_vectors), step):
+        scores = user_vectors[start : start + step] @ item_vectors.T
         if digits is not None:
             scores = np.round(scores, digits)
         if own is not None:
-            mine = own[start : start + _SLICE]
+            mine = own[start : start + step]
             known = np.flatnonzero(mine >= 0)
             scores[known, mine[known]] = -np.inf
         if scores.shape[1] > k:
