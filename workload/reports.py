@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tallyrack.operators import features as feat
 from tallyrack.operators import serving
 from tallyrack.operators.quality import Rule, drift, quality
+from tallyrack.plans.report import serving_report
 from workload import tables as t
-from workload.registry import EV, LOG, micros, query
+from workload.registry import EV, LOG, SQL, micros, query
 
 SPLIT = f"TIMESTAMP '{t.SPLIT}'"
 
@@ -210,3 +211,21 @@ def feature_drift(spark, sf):
     before = feat.compute_user_features(events.where(F.col("ts") < F.lit(t.SPLIT)))
     after = feat.compute_user_features(events.where(F.col("ts") >= F.lit(t.SPLIT)))
     return drift(before, after, list(_DRIFT_COLUMNS)).withColumn("change", F.round("change", 6))
+
+
+@query(
+    f"""SELECT 'tiers' AS part, tier AS name, share AS value FROM ({SQL['tier_distribution']})
+    UNION ALL SELECT 'targets', phase || '/' || metric, value FROM ({SQL['slo_report']})
+    UNION ALL SELECT 'tier_targets', phase || '/' || metric, value FROM ({SQL['tier_targets']})"""
+)
+def serving_report_values(spark, sf):
+    """Shares and targets out of the whole serving report."""
+    report = serving_report(t.serving_log(spark, sf), 3600)
+    goal = F.concat_ws("/", "phase", "metric").alias("name")
+    parts = [
+        report["tiers"].select(F.lit("tiers").alias("part"), F.col("tier").alias("name"), F.col("share").alias("value")),
+        report["targets"].select(F.lit("targets").alias("part"), goal, "value"),
+        report["tier_targets"].select(F.lit("tier_targets").alias("part"), goal, "value"),
+    ]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.withColumn("value", F.round("value", 6))

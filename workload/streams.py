@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from tallyrack.functions.jsonio import TIME_FORMAT, event_json
 from tallyrack.operators import experiments as exp
 from tallyrack.operators import ranking, sessions, stock
+from tallyrack.plans import jobs
 from tallyrack.session import cut_lineage
 from tallyrack.sources import commands as cmd
+from tallyrack.sources import events as lake
 from tallyrack.streaming import job, windows
 from workload import tables as t
 from workload.registry import EV, INV, joined, micros, query
@@ -417,3 +422,61 @@ def commands_rejected(spark, sf):
     )
     _, rejected = cmd.apply_commands(rows)
     return rejected.select("event_id", "reject_reason")
+
+
+# Whole jobs ------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {EV}, {CLICKS}, {_BUFFER},
+    shut AS (SELECT * FROM wins WHERE end_us <= (SELECT (max(epoch_us(ts)) // 1000 - 5000) * 1000 FROM ev)),
+    moves AS (SELECT l_partkey::VARCHAR AS item_id, l_returnflag <> 'R' AND l_quantity::INT > 0 AS ok,
+        epoch_us(l_shipdate) + l_orderkey * 8 + l_linenumber AS moved_us FROM lineitem),
+    newest AS (SELECT item_id, arg_max(ok, moved_us) AS ok FROM moves GROUP BY 1),
+    placed AS (SELECT *, item_id::BIGINT AS o FROM newest)
+    SELECT 'feat:user:' || user_id || ':clicks_1h' AS key, 'string' AS kind, '' AS member,
+      arg_max(clicks, end_us)::VARCHAR AS value, max(end_us) + 3660000000 AS expires_us FROM shut GROUP BY user_id
+    UNION ALL SELECT 'session:' || ev.session_id || ':events', 'zset', event_type || ':' || item_id || ':' || event_id,
+      NULL, epoch_us(expires_at) FROM ev JOIN lives ON ev.session_id = lives.session_id AND ts >= alive_from
+    UNION ALL SELECT 'stock:bitmap', 'bit', o::VARCHAR, CASE WHEN ok THEN '0' ELSE '1' END, NULL FROM placed
+    UNION ALL SELECT 'stock:id_map:' || item_id, 'string', '', o::VARCHAR, NULL FROM placed"""
+)
+def streaming_job_state(spark, sf):
+    """The three streaming branches over JSON messages, and the state they leave."""
+    users = t.event_stream(spark, sf).withColumn("metadata", F.struct(
+        F.lit("").alias("query"), F.lit(0).alias("position"), F.lit(0).cast("bigint").alias("price"),
+        F.lit("").alias("source"),
+    ))
+    time = F.date_format("ts", TIME_FORMAT).alias("timestamp")
+    goods = t.inventory_stream(spark, sf).select(
+        F.to_json(F.struct("item_id", "in_stock", "quantity", time)).alias("value")
+    )
+    offsets = t.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("item_id"), F.col("p_partkey").alias("bit_offset")
+    )
+    path = t.scratch(spark, "job")
+    values = users.select(event_json().alias("value"))
+    started = job.run_streams(spark, values, goods, f"{path}/out", f"{path}/checkpoint", offsets)
+    for running in started.values():
+        running.awaitTermination()
+    state = cut_lineage(job.stream_state(spark, f"{path}/out"))
+    alive = cmd.live_state(state, F.lit("2000-01-01").cast("timestamp"))
+    return alive.select("key", "kind", "member", "value", micros("expires_at", "expires_us"))
+
+
+@query(
+    f"""WITH {EV} SELECT user_id, count(*) FILTER (event_type = 'click') AS total_clicks,
+      count(*) FILTER (event_type = 'view') AS total_views,
+      count(*) FILTER (event_type = 'purchase') AS total_purchases,
+      string_agg(DISTINCT category_id, ',' ORDER BY category_id) AS category_interests, count(*) AS total_events
+    FROM ev WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16 04:00:00' GROUP BY 1"""
+)
+def daily_then_four_hourly(spark, sf):
+    """The daily job on one day, then the four-hourly job; its stored user features."""
+    root = t.scratch(spark, "jobs")
+    paths = jobs.Paths(*[f"{root}/{n}" for n in ("events", "features", "vectors", "recs")])
+    lake.archive(t.with_metadata(t.events(spark, sf)).drop("value"), paths.events)
+    jobs.daily_full(spark, "2024-01-15", paths, k=10, rank=8)
+    jobs.incremental_4h(spark, dt.datetime(2024, 1, 16, 4), paths, "date=2024-01-15", "ts=2024-01-16T04", k=10)
+    users = spark.read.parquet(f"{paths.features}/user/ts=2024-01-16T04")
+    return users.withColumn("category_interests", joined(F.col("category_interests")))

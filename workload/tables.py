@@ -76,6 +76,19 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return as_events(spark.readStream.schema(schema("events")).parquet(f"{sf}/events.parque[t]"))
 
 
+def inventory_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Inventory events as a stream; the order line shifts the time, so that times differ."""
+    configure(spark)
+    raw = spark.readStream.schema(schema("lineitem")).parquet(f"{sf}/lineitem.parque[t]")
+    shift = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) / 1e6
+    return raw.select(
+        F.col("l_partkey").cast("string").alias("item_id"),
+        (F.col("l_returnflag") != "R").alias("in_stock"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        (F.col("l_shipdate") + F.make_dt_interval(secs=shift)).alias("ts"),
+    )
+
+
 def with_metadata(df: DataFrame) -> DataFrame:
     k = F.col("item_id").cast("int")
     return df.withColumn(
