@@ -43,7 +43,7 @@ def _best_in_block(
     for start in range(0, len(user_vectors), step):
         scores = user_vectors[start : start + step] @ item_vectors.T
         if digits is not None:
-            scores = np.round(scores, digits)
+            scores = np.round(scores, digits) + 0.0  # no negative zeros
         if own is not None:
             mine = own[start : start + step]
             known = np.flatnonzero(mine >= 0)

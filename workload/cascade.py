@@ -19,7 +19,7 @@ from workload.streams import BLOCKED, SESSION_FEATURES, arm_sql, stock_table
 
 _DOT = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[])"
 _PAIRS = f"""pairs AS (SELECT u.vec_id AS user_id, i.vec_id AS item_id,
-    round({_DOT.format('u.embedding', 'i.embedding')}, 6) AS score
+    round({_DOT.format('u.embedding', 'i.embedding')}, 6) + 0.0 AS score
   FROM embeddings u JOIN embeddings i ON u.vec_id <> i.vec_id)"""
 
 
@@ -50,7 +50,7 @@ def nearest_recall(spark, sf):
 
 @query(
     f"""WITH {EV}, pairs AS (SELECT DISTINCT user_id::BIGINT AS user_id, item_id::BIGINT AS item_id FROM ev)
-    SELECT user_id, item_id, round({_DOT.format('u.embedding', 'i.embedding')}, 6) AS score FROM pairs
+    SELECT user_id, item_id, round({_DOT.format('u.embedding', 'i.embedding')}, 6) + 0.0 AS score FROM pairs
     LEFT JOIN embeddings u ON u.vec_id = user_id LEFT JOIN embeddings i ON i.vec_id = item_id"""
 )
 def pair_scores(spark, sf):
@@ -161,7 +161,7 @@ def _cascade_sql(ranker: bool) -> str:
   placed AS (SELECT *, row_number() OVER (PARTITION BY request_id
       ORDER BY CASE WHEN reranks AND NOT emergency THEN -final ELSE 0 END, rank) AS place FROM adjusted),
   modeled AS (
-    SELECT p.*, CASE WHEN models THEN coalesce(round({_DOT.format('u.embedding', 'i.embedding')}, 6), 0.0) END AS m
+    SELECT p.*, CASE WHEN models THEN coalesce(round({_DOT.format('u.embedding', 'i.embedding')}, 6), 0.0) + 0.0 END AS m
     FROM placed p LEFT JOIN embeddings u ON user_id = 'cust-' || u.vec_id
     LEFT JOIN embeddings i ON item_id = i.vec_id::VARCHAR),
   answers AS (SELECT *, row_number() OVER (PARTITION BY request_id
@@ -212,8 +212,8 @@ def recommend_responses(spark, sf):
 @query(
     f"""WITH {TRADES}, v AS (SELECT user_id, item_id FROM trades GROUP BY 1, 2)
     SELECT v.user_id, v.item_id, u.vec_id IS NOT NULL AS has_user, i.vec_id IS NOT NULL AS has_item,
-      round(coalesce(list_sum(u.embedding::DOUBLE[]), 0), 5) AS user_sum,
-      round(coalesce(list_sum(i.embedding::DOUBLE[]), 0), 5) AS item_sum
+      round(coalesce(list_sum(u.embedding::DOUBLE[]), 0), 5) + 0.0 AS user_sum,
+      round(coalesce(list_sum(i.embedding::DOUBLE[]), 0), 5) + 0.0 AS item_sum
     FROM v LEFT JOIN embeddings u ON u.vec_id = v.user_id LEFT JOIN embeddings i ON i.vec_id = v.item_id"""
 )
 def candidate_vectors(spark, sf):
@@ -282,7 +282,7 @@ def als_topk(spark, sf):
                          HAVING strength > 0),
     parts AS (SELECT user_id, strength, pos, embedding[pos]::DOUBLE AS x
               FROM s JOIN embeddings ON vec_id::VARCHAR = item_id, range(1, 65) r(pos))
-    SELECT user_id, (pos - 1)::INT AS pos, round(sum(strength * x) / sum(strength), 4) AS x FROM parts GROUP BY 1, 2"""
+    SELECT user_id, (pos - 1)::INT AS pos, round(sum(strength * x) / sum(strength), 4) + 0.0 AS x FROM parts GROUP BY 1, 2"""
 )
 def blended_vectors(spark, sf):
     vectors = t.item_vectors(spark, sf).withColumn("item_id", F.col("item_id").cast("string"))
