@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrack.llm import language
+from tallyrack.llm import chat, decontaminate, language, mixing, ngram_join, secret_scan, tokens
 from tallyrack.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,102 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
     model = language.train(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
     return language.identify(docs, model, ["doc_id", "held_out"])
+
+
+#: Classes, links of similarity 0.8 or more and their components over documents table ``@``, by comparing all pairs.
+NEAR_SQL = """
+  words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM @),
+  starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0),
+  grams AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') || CASE WHEN len(ws) < 5 THEN ' short' ELSE '' END AS g FROM starts),
+  digests AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS digest, count(*) AS n FROM grams GROUP BY 1),
+  classes AS (SELECT digest, min(doc_id) AS class_id, count(*) AS class_size, min(n) AS n FROM digests GROUP BY 1),
+  heads AS (SELECT class_id, class_size, n, g FROM classes JOIN grams ON doc_id = class_id),
+  links AS (
+    SELECT a.class_id AS a, b.class_id AS b, any_value(b.class_size) AS size
+    FROM heads a JOIN heads b ON a.g = b.g AND a.class_id <> b.class_id
+    GROUP BY 1, 2 HAVING 9 * count(*) >= 4 * (any_value(a.n) + any_value(b.n))),
+  reach AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+  sums AS (SELECT a, sum(size) AS n FROM links GROUP BY 1),
+  low AS (SELECT a, min(b) AS group_id FROM reach GROUP BY 1),
+  near AS (
+    SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_size, 1)::BIGINT AS class_size,
+           coalesce(sums.n + class_size - 1, class_size - 1, 0)::BIGINT AS n_links, coalesce(group_id, doc_id) AS group_id
+    FROM words LEFT JOIN digests USING (doc_id) LEFT JOIN classes USING (digest)
+    LEFT JOIN sums ON sums.a = class_id LEFT JOIN low ON low.a = class_id)"""
+
+
+@query(f"WITH RECURSIVE {NEAR_SQL.replace('@', 'documents')} SELECT * FROM near")
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and group of every document at similarity 0.8 over five-word shingles."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+#: Conversation -7 of the contract.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+_ESCAPED = "replace(@, chr(92), chr(92) || chr(92))"
+for _word in chat.CONTROL:
+    _ESCAPED = f"replace({_ESCAPED}, '{_word}', '{_word[0]}' || chr(92) || '{_word[1:]}')"
+
+
+@query(f"""
+    WITH rows AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES {", ".join(f"({a}, {b}, '{c}', '{d}')" for a, b, c, d in PROBE)})
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum({len(chat.START + chat.END) + 2} + length(replace({_ESCAPED.replace("@", "role")}, chr(10), chr(92) || 'n'))
+               + length({_ESCAPED.replace("@", "text")}))::BIGINT AS formatted_chars
+    FROM rows GROUP BY conv_id""")
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one text, and the digests of what is read back from it."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE, "conv_id bigint, turn bigint, role string, text string")
+    made = chat.formatted(chat.conversations(chat.chains(rows.unionByName(probe))))
+    back = made.withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_texts(F.col("formatted"), F.col("loss_spans")))
+    turns = F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("loss", "")
+    return back.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("back").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+@query()
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item or an edited copy of one, with the alignment."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes from every document."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))[1]
+
+
+@query()
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the fixed kinds and the random strings the models add."""
+    docs = table(spark, sf_dir, "documents")
+    rows = secret_scan.scan(docs.select("doc_id", "text"), secret_scan.train(docs))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+
+    def count(rank: int):
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("bigint")
+
+    return rows.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
+    )
