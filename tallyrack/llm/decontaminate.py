@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrack.llm.common import gram_hashes, runs, small_batches, strings, text_of, views, word_hashes
@@ -185,8 +185,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least:
 
     A row tells the best alignment of the pair: ``share`` is its score over the item's best
     possible one, the words of the text are counted from 0 and the end is exclusive. A pair
-    counts if its share is ``share`` or more and at least ``least`` words match (all of them in an
-    item of fewer). Null and empty texts match nothing; rows with a null doc_id are left out; of
+    counts if its share is ``share`` or more and at least ``least`` words match; an item of fewer words
+    counts only where it is the whole text, as it says too little elsewhere. Null and empty texts match nothing; rows with a null doc_id are left out; of
     rows that repeat a doc_id, the pair's best alignment counts. An empty benchmark gives no rows.
     """
     spark = docs.sparkSession
@@ -219,8 +219,11 @@ def _of_block(spark: SparkSession, docs: DataFrame, block: Block, share: float,
             for row, words, places, grams in _hits(batch.column("text"), sought, shortest):
                 for item, low, high in _stretches(bench, places, grams, len(words)):
                     goal = MATCH * len(bench.words[item])
+                    if MATCH * np.isin(bench.words[item], words[low:high]).sum() < share * goal:
+                        continue  # no alignment can score enough
                     score, matched, first, last = align(bench.words[item], words[low:high])
-                    if score >= share * goal and matched >= min(least, len(bench.words[item])):
+                    short = len(bench.words[item]) < least
+                    if score >= share * goal and (len(words) == matched == len(bench.words[item]) if short else matched >= least):
                         rows.append((ids[row].as_py(), bench.ids[item], score, score / goal, matched, low + first, low + last))
             yield pa.record_batch(
                 [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 3)],

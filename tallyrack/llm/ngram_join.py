@@ -2,7 +2,7 @@
 
 Equal sets are one class, and only one member of a class is compared. Signatures have ``BANDS``
 bands of ``ROWS`` rows; two sets of Jaccard similarity s share a band with probability
-1 - (1 - s^ROWS)^BANDS, which is over 1 - 2e-7 at s = 0.8.
+1 - (1 - s^ROWS)^BANDS, which is over 1 - 4e-7 at s = 0.8.
 
 The members of a band's bucket don't form pairs. Each bucket has a leader, its smallest id, and
 all its members go to the leader's group; members of one group that meet again in another group
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tallyrack.llm.common import gram_hashes, mix, runs, small_batches, strings, text_of, views, word_hashes, written
 
 GRAM = 5
-BANDS = 40
-ROWS = 5
+BANDS = 28
+ROWS = 4
 #: Members and text bytes of one block of a group.
 BLOCK_MEMBERS = 192
 BLOCK_BYTES = 4 << 20
@@ -61,6 +61,11 @@ def signatures(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(bands + np.arange(BANDS, dtype=np.uint64)[:, None]).T
 
 
+def digest(grams: np.ndarray) -> bytes:
+    """160 bits that tell one set of gram hashes from another."""
+    return b"".join(x.sum(dtype=np.uint64).tobytes() for x in (mix(grams), mix(grams ^ _SEEDS[0, 0]))) + len(grams).to_bytes(4, "little")
+
+
 def sketches(docs: DataFrame, n: int = GRAM) -> DataFrame:
     """(doc_id, digest, n_grams, n_bytes, bands) of every row; no digest and no bands for a text without a word."""
     small_batches(docs.sparkSession)
@@ -89,11 +94,9 @@ def _sketched(ids: pa.Array, sets: list[np.ndarray], lengths: np.ndarray) -> pa.
     if len(full):
         flat = np.concatenate([sets[i] for i in full])
         begin = np.cumsum(counts[full]) - counts[full]
-        one, two = np.add.reduceat(mix(flat), begin), np.add.reduceat(mix(flat ^ _SEEDS[0, 0]), begin)
         found = signatures(flat, begin).view(np.int64)
         for j, i in enumerate(full):
-            digests[i] = one[j].tobytes() + two[j].tobytes() + int(counts[i]).to_bytes(4, "little", signed=False)
-            bands[i] = found[j]
+            digests[i], bands[i] = digest(sets[i]), found[j]
     return pa.record_batch(
         [ids, pa.array(digests, pa.binary()), pa.array(counts), pa.array(lengths), pa.array(bands, pa.list_(pa.int64()))],
         names=["doc_id", "digest", "n_grams", "n_bytes", "bands"],
@@ -138,19 +141,21 @@ def ngram_join(docs: DataFrame, n: int = GRAM, jaccard: tuple[int, int] = (4, 5)
 
 
 def _meetings(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class_id, class_size, leaders, meetings) of every class that shares a bucket; a meeting is a pair of blocks."""
-    heads = found.join(classes, (found.doc_id == classes.class_id) & (found.digest == classes.digest)).select(
-        "class_id", "class_size", "n_bytes", F.explode("bands").alias("band")
-    )
-    shared = heads.groupBy("band").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).filter("leader < last").drop("last")
-    led = heads.join(shared, "band").groupBy("class_id", "class_size", "n_bytes", "leader").agg(F.lit(1).alias("one")).drop("one")
+    """(class_id, class_size, digest, led) of every class that shares a bucket; ``led`` has its leaders and the block it has in each group."""
+    same = (found.doc_id == classes.class_id) & (found.digest == classes.digest)
+    # written, as are the small sides below: a join with a written table can be split where a key is hot
+    heads = written(found.join(classes, same).select("class_id", "class_size", found.digest, "n_bytes", "bands"))
+    banded = heads.select("class_id", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).filter("leader < last")
+    met = banded.join(written(shared.drop("last")), "band").groupBy("class_id", "leader").agg(F.lit(1).alias("one")).drop("one")
+    led = met.join(heads.drop("bands"), "class_id")
     led = written(led)
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
-    large = led.groupBy("leader").agg(blocks.alias("blocks")).filter("blocks > 1")
+    large = written(led.groupBy("leader").agg(blocks.alias("blocks")).filter("blocks > 1"))
     placed = led.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("class_id", "leader"), F.col("blocks")).cast("int")
     placed = placed.withColumn("block", block)
-    return placed.groupBy("class_id", "class_size").agg(F.collect_list(F.struct("leader", "block", "blocks")).alias("led"))
+    return placed.groupBy("class_id", "class_size", "digest").agg(F.collect_list(F.struct("leader", "block", "blocks")).alias("led"))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, met: DataFrame, n: int, jaccard: tuple[int, int]) -> DataFrame:
@@ -158,14 +163,14 @@ def _verified(docs: DataFrame, classes: DataFrame, met: DataFrame, n: int, jacca
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("class_id"), text_of().alias("text"))
     rows = (
-        texts.join(met, "class_id")
+        texts.join(met.hint("merge"), "class_id")  # its size follows the input's, so one plan at every size
         .withColumn("leaders", F.array_sort(F.col("led.leader")))
         .withColumn("at", F.explode("led"))
-        .select("class_id", "class_size", "leaders", "text", "at.*")
+        .select("class_id", "class_size", "digest", "leaders", "text", "at.*")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
-        .select("leader", "i", "j", "block", "class_id", "class_size", "leaders", "text")
+        .select("leader", "i", "j", "block", "class_id", "class_size", "leaders", "digest", "text")
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +188,14 @@ def _meeting_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[t
     """The rows of one meeting after another; only their gram sets are kept."""
     key, members = None, []
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "block", "class_id", "class_size", "leaders")]
+        cols = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "block", "class_id", "class_size", "leaders", "digest")]
         for row, grams in zip(zip(*cols), gram_sets(batch.column("text"), n)):
             if row[:3] != key:
                 if len(members) > 1:
                     yield key, members
                 key, members = row[:3], []
-            if not members or members[-1][1] != row[4]:  # a repeated row
-                members.append((*row[3:], grams))
+            if (not members or members[-1][1] != row[4]) and digest(grams) == row[7]:  # else a row that repeats the id
+                members.append((*row[3:7], grams))
     if len(members) > 1:
         yield key, members
 

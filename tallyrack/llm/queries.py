@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrack.llm import chat, decontaminate, language, mixing, ngram_join, secret_scan, tokens
+from tallyrack.llm import chat, decontaminate, language, mixing, nearest, ngram_join, pages, quality, secret_scan, tokens
 from tallyrack.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,35 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; trained on labelled rows outside the fold."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+    model = quality.train(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+@query()
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query("""
+    WITH good AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest inner products of every 50th vector with all others."""
+    rows = table(spark, sf_dir, "embeddings").filter(nearest.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", nearest.quantized(F.col("embedding")).alias("v"))
+    return nearest.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
