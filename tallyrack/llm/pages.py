@@ -70,7 +70,8 @@ class LineParser(HTMLParser):
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text:
+        tags = {t for t, _ in self.open}
+        if text and not ("header" in tags and not tags & HEADINGS):  # of an article's own header only the headings are article
             free = max(0, len(text) - self.link_chars)
             path = tuple(i for _, i in self.open)
             self.lines.append(Line(text, free / max(1, self.tags), self.link_chars / len(text), path, any(t in ("li", "dd", "dt") for t, _ in self.open)))

@@ -28,7 +28,7 @@ TRAIN_DOCS = 20_000
 #: Pseudo-count a character's row of transitions starts with, spread evenly.
 PRIOR = 8.0
 _CODES = 128
-_SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,rank:int,end:int,value:string,byte:int,byte_end:int>>"
 
 
 def _found(text: Column, pattern: str, rank: int, keep, value_group: int = 0) -> Column:
@@ -47,16 +47,20 @@ def _found(text: Column, pattern: str, rank: int, keep, value_group: int = 0) ->
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["gap"])
         end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), part["value"].alias("value"))
+        byte = acc["byte"] + F.octet_length(part["gap"])
+        byte_end = byte + F.coalesce(F.octet_length(part["hit"]), F.lit(0))
+        span = F.struct(
+            start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), part["value"].alias("value"), byte.alias("byte"), byte_end.alias("byte_end")
+        )
         out = F.when(part["hit"].isNotNull() & keep(part["value"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        return F.struct(end.alias("at"), byte_end.alias("byte"), out.alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), none.alias("out"))
     return F.when(text.rlike(pattern), F.aggregate(parts, first, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (start, rank, end, value) of the three fixed kinds, unsorted.
+    """Array of (start, rank, end, value, byte, byte_end) of the three fixed kinds, unsorted.
 
     A hex or access match is a whole run, so asking for the run's least length in the pattern
     leaves out the same matches as dropping them afterwards.
@@ -80,9 +84,9 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[float]:
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
     plain = rows_of.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("word"), F.lit(0).alias("label"))
     words = random.unionByName(plain).groupBy("word", "label").agg(F.count("*").alias("n"))
-    pairs = words.select(
-        "label", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair")
-    ).filter("length(pair) = 2")
+    chars = words.select("label", "n", F.split("word", "").alias("chars"))
+    two = F.zip_with("chars", F.slice("chars", F.lit(2), F.size("chars")), lambda a, b: F.concat(a, b))
+    pairs = chars.select("label", "n", F.explode(two).alias("pair")).filter("length(pair) = 2")
     at = F.ascii(F.substring("pair", 1, 1)) * _CODES + F.ascii(F.substring("pair", 2, 1))
     counts = pairs.filter("pair rlike '^[A-Za-z0-9+/_=.-]{2}$'").groupBy(at.alias("at"), "label").agg(F.sum("n").alias("n"))
     # every transition there can be, so that unseen ones get their prior
@@ -96,7 +100,9 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[float]:
     full = grid.join(wide, "at", "left").na.fill(0, ["r", "o"])
     rows_sum = full.groupBy("a").agg(F.sum("r").alias("rs"), F.sum("o").alias("os"))
     each = F.lit(PRIOR / 68)
-    ratio = F.log2((F.col("r") + each) / (F.col("rs") + PRIOR)) - F.log2((F.col("o") + each) / (F.col("os") + PRIOR))
+    # secrets come from alphabets that the samples may lack: half of the random model is even over all characters
+    random_p = ((F.col("r") + each) / (F.col("rs") + PRIOR) + F.lit(1 / 68)) / 2
+    ratio = F.log2(random_p) - F.log2((F.col("o") + each) / (F.col("os") + PRIOR))
     out = [0.0] * (_CODES * _CODES)
     for row in full.join(rows_sum, "a").select("at", ratio.alias("ratio")).collect():
         out[row["at"]] = round(row["ratio"], 6)
@@ -104,7 +110,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[float]:
 
 
 def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """Every row with ``spans``: array of (start, rank, end, value), by start, then kind.
+    """Every row with ``spans``: array of (start, rank, end, value, byte, byte_end), by start, then kind.
 
     Kinds are ``KINDS[rank]``. A random span is a run of 16 or more token characters whose score
     passes both thresholds and that overlaps no span of a fixed kind. A null text counts as empty
@@ -114,11 +120,13 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     model = F.from_json(F.lit("[" + ",".join(map(repr, ratios)) + "]"), "array<double>")
 
     def bits(word: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            at = F.ascii(F.substring(word, i, F.lit(1))) * _CODES + F.ascii(F.substring(word, i + 1, F.lit(1)))
-            return acc + F.coalesce(F.get(model, at), F.lit(0.0))
+        # a running (code, sum) over the characters: a look-up by place would read the word from its start
+        def step(acc: Column, char: Column) -> Column:
+            code = F.ascii(char)
+            gain = F.coalesce(F.get(model, acc["code"] * _CODES + code), F.lit(0.0))
+            return F.struct(code.alias("code"), (acc["sum"] + gain).alias("sum"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0.0), step)
+        return F.aggregate(F.split(word, ""), F.struct(F.lit(0).alias("code"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
     def random(word: Column) -> Column:
         return bits(word) >= F.greatest(F.lit(BITS), F.lit(BITS_EACH) * (F.length(word) - 1))
@@ -137,12 +145,15 @@ def listed(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """The text with every span, or stretch of spans that overlap, replaced by ``mark``."""
+    # byte offsets: a piece of the bytes is cut out without counting characters from the start
+    data = text.cast("binary")
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        fresh = s["byte"] >= acc["at"]
+        piece = F.array(F.substring(data, acc["at"] + 1, s["byte"] - acc["at"]).cast("string"), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["byte_end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    rest = lambda acc: F.substring(data, acc["at"] + 1, F.octet_length(text)).cast("string")
+    end = F.aggregate(spans, first, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(rest(acc))), ""))
     return F.when(F.size(spans) > 0, end).otherwise(text)
