@@ -20,23 +20,39 @@ def _ctr(clicks: Column, views: Column) -> Column:
 
 
 def compute_user_features(events: DataFrame) -> DataFrame:
-    """Counts per user and the set of categories, sorted."""
-    return events.groupBy("user_id").agg(
-        _n("click").alias("total_clicks"),
-        _n("view").alias("total_views"),
-        _n("purchase").alias("total_purchases"),
-        F.sort_array(F.collect_set("category_id")).alias("category_interests"),
-        F.count("*").alias("total_events"),
+    """Counts per user and the set of categories, sorted.
+
+    Raw events fold into plain sums per (user, category), hashed and without set buffers; the
+    second step gathers one row per category of a user.
+    """
+    per_category = events.groupBy("user_id", "category_id").agg(
+        _n("click").alias("clicks"), _n("view").alias("views"), _n("purchase").alias("purchases"), F.count("*").alias("events")
+    )
+    return per_category.groupBy("user_id").agg(
+        F.sum("clicks").alias("total_clicks"),
+        F.sum("views").alias("total_views"),
+        F.sum("purchases").alias("total_purchases"),
+        F.sort_array(F.collect_list("category_id")).alias("category_interests"),
+        F.sum("events").alias("total_events"),
     )
 
 
 def item_user_counts(events: DataFrame) -> DataFrame:
     """Counts per (item, user): the mergeable state of the item features."""
     return events.groupBy("item_id", "user_id").agg(
-        _n("click").alias("clicks"), _n("view").alias("views"), _n("purchase").alias("purchases")
+        _n("click").alias("clicks"),
+        _n("view").alias("views"),
+        _n("purchase").alias("purchases"),
+        _n("add_to_cart").alias("carts"),
     )
 
 
+def strength_of_counts() -> Column:
+    """Strength of a (user, item) pair from its stored counts."""
+    w = POPULARITY_WEIGHTS
+    return w["click"] * F.col("clicks") + w["view"] * F.col("views") + w["purchase"] * F.col("purchases") + w["add_to_cart"] * F.col("carts")
+
+
 def item_features_from_counts(counts: DataFrame) -> DataFrame:
     """Item features from per-(item, user) counts; each pair may appear once only."""
     totals = counts.groupBy("item_id").agg(
@@ -92,8 +108,11 @@ def popularity(
     weight = F.lit(0.0)
     for event_type, value in (weights or POPULARITY_WEIGHTS).items():
         weight = F.when(F.col("event_type") == event_type, F.lit(value)).otherwise(weight)
-    kept = [F.min(carry).alias(carry)] if carry else []
-    return events.groupBy("item_id").agg(*kept, F.sum(weight).alias("score"))
+    if carry is None:
+        return events.groupBy("item_id").agg(F.sum(weight).alias("score"))
+    # the events fold by hashing; the smallest of an item's few attribute values is found afterwards
+    per_value = events.groupBy("item_id", carry).agg(F.sum(weight).alias("score"))
+    return per_value.groupBy("item_id").agg(F.min(carry).alias(carry), F.sum("score").alias("score"))
 
 
 # Incremental merge -----------------------------------------------------------
@@ -119,7 +138,7 @@ def merge_item_counts(old: DataFrame, delta: DataFrame) -> DataFrame:
     return (
         old.unionByName(delta)
         .groupBy("item_id", "user_id")
-        .agg(*[F.sum(c).alias(c) for c in ("clicks", "views", "purchases")])
+        .agg(*[F.sum(c).alias(c) for c in ("clicks", "views", "purchases", "carts")])
     )
 
 

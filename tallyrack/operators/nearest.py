@@ -42,6 +42,7 @@ def _best_in_block(
     step = max(1, _SCORES // len(item_vectors))
     for start in range(0, len(user_vectors), step):
         scores = user_vectors[start : start + step] @ item_vectors.T
+        scores[np.isnan(scores)] = -np.inf  # a score that is no number ranks nowhere
         if digits is not None:
             scores = np.round(scores, digits) + 0.0  # no negative zeros
         if own is not None:
@@ -173,16 +174,22 @@ def nearest_items(
     ``users(user_id, embedding)``, ``items(item_id, embedding)``. ``exact`` scores every item
     for every user, block against block. ``cells`` groups items around k-means centres and
     scores only the ``probes`` closest cells of a user: less work, some items may be missed.
-    ``digits`` rounds scores before they are ranked.
+    ``digits`` rounds scores before they are ranked. A user meets the items whose vectors have the
+    length of their own (with ``cells``: only vectors of the most frequent item length are used;
+    ``ingest.check_dims`` gives the others). A score that is no number ranks nowhere.
     """
     users = users.where(F.col("embedding").isNotNull()).select("user_id", F.col("embedding").alias("vector"))
     vectors = items.where(F.col("embedding").isNotNull())
     named = vectors.select("item_id", F.col("embedding").alias("vector"))
     if method == "exact":
-        user_cells = users.withColumn("cell", F.lit(0))
-        item_cells = named.withColumn("cell", F.lit(0))
+        # vectors of different lengths never meet
+        user_cells = users.withColumn("cell", F.size("vector"))
+        item_cells = named.withColumn("cell", F.size("vector"))
     elif method == "cells":
-        centres = learn_cells(vectors, cells, seed)
+        usual = vectors.agg(F.mode(F.size("embedding"), True)).first()[0]
+        right = F.size("vector") == F.lit(usual)
+        users, named = users.where(right), named.where(right)
+        centres = learn_cells(vectors.where(F.size("embedding") == F.lit(usual)), cells, seed)
         user_cells = _to_cells(users, "user_id", centres, min(probes, len(centres)))
         item_cells = _to_cells(named, "item_id", centres, 1)
     else:
@@ -204,11 +211,11 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
 def pair_score(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Inner product of given (user, item) pairs; null when a vector is missing."""
     from tallyrack.functions.vectors import dot_batch
-    from tallyrack.operators.skew import BROADCAST_VECTORS, checked_join, salted_join
+    from tallyrack.operators.skew import adaptive_join, salted_join
 
     user_side = users.select("user_id", F.col("embedding").alias("user_vector"))
     item_side = items.select("item_id", F.col("embedding").alias("item_vector"))
     both = salted_join(pairs, user_side, "user_id")
-    both = checked_join(both, item_side, "item_id", "left", BROADCAST_VECTORS, hot_from=pairs)
+    both = adaptive_join(both, item_side, "item_id")
     score = dot_batch(F.col("user_vector"), F.col("item_vector"))
     return both.withColumn("score", score).drop("user_vector", "item_vector")

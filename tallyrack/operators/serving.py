@@ -56,6 +56,7 @@ def _value_bucket(value: Column) -> Column:
     """Order-preserving bucket of a double, about 0.5 % wide: a few thousand in practice."""
     middle = 1_000_000
     size = F.floor(F.log2(F.abs(value)) * 128) + middle
+    size = F.when(F.abs(value) == F.lit(float("inf")), F.lit(2 * middle)).otherwise(size)  # the ends
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
 
 
@@ -76,7 +77,8 @@ def percentiles(
 
     The value at position ``min(int(n * p), n - 1)`` of the sorted group. A first pass counts
     values in narrow buckets, which folds before the shuffle and finds the one bucket that
-    holds each position. A second pass sorts the distinct values of these buckets only. So no
+    holds each position. Infinite values sort at the ends; null and NaN take no part and don't
+    count in ``rows``. A second pass sorts the distinct values of these buckets only. So no
     task sees a whole group.
     """
     keys = by or []

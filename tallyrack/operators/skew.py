@@ -8,33 +8,27 @@ from pyspark.sql import types as T
 
 #: Rows of one key that one task may take before the key is split.
 HOT_ROWS = 1_000_000
-#: At most this many keys are split. Any other key holds less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 1_000
-#: At most this many parts per key, and the parts of the rows without a key.
-MAX_PARTS = 512
-#: Narrow rows that may be sent to every task; vectors are some hundred times wider.
-BROADCAST_ROWS = 500_000
-BROADCAST_VECTORS = 50_000
+#: Fewer keys than this are split: a key must also hold more than this part of all rows.
+HOT_KEYS = 100_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(key, parts)`` of the keys to split: never more than ``HOT_KEYS`` rows."""
+    """``(key, parts)`` of the keys to split, with a part for every ``hot_rows`` rows.
+
+    A key is split if it has more than ``hot_rows`` rows and more than 1/HOT_KEYS of all rows, so
+    there are fewer than ``HOT_KEYS`` of them at any size, and the part counts have no limit.
+    """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("key_rows"))
-    parts = F.least(F.ceil(F.col("key_rows") / F.lit(hot_rows)), F.lit(MAX_PARTS)).cast("int")
-    return (
-        counts.where(F.col("key_rows") > hot_rows)
-        .orderBy(F.desc("key_rows"), key)
-        .limit(HOT_KEYS)
-        .select(key, parts.alias("parts"))
+    total = counts.agg(F.sum("key_rows").alias("rows")).withColumn("one", F.lit(1))
+    known = counts.where(F.col("key_rows") > hot_rows).withColumn("one", F.lit(1))
+    large = known.join(F.broadcast(total), "one")  # a single row
+    return large.where(F.col("key_rows") * HOT_KEYS > F.col("rows")).select(
+        key, F.ceil(F.col("key_rows") / F.lit(hot_rows)).cast("int").alias("parts")
     )
 
 
-def _spread(df: DataFrame, key: str):
-    """Hash of the plain columns besides the key: differs between rows, cheap to compute."""
-    plain = [
-        f.name for f in df.schema.fields if f.name != key and isinstance(f.dataType, T.AtomicType)
-    ]
-    return F.xxhash64(*(plain or df.columns))
+def _plain_columns(df: DataFrame, key: str) -> list[str]:
+    return [f.name for f in df.schema.fields if f.name != key and isinstance(f.dataType, T.AtomicType)]
 
 
 def salted_join(
@@ -51,34 +45,48 @@ def salted_join(
     rows without a key match nothing and are spread by their content. The keys are counted on
     ``hot_from``, by default ``left``: give the table ``left`` was derived from, to count a
     plain scan instead of computing ``left`` twice.
+
+    Rows are told apart by the hash of their other plain columns. A left side that has the key
+    alone is folded to counted rows first, since its rows can't be told apart.
     """
+    if left.columns == [key]:
+        return _counted_join(left, right, key, how, hot_rows)
     source = left if hot_from is None else hot_from
     hot = F.broadcast(hot_keys(source, key, hot_rows))  # bounded by HOT_KEYS
+    content = F.xxhash64(*(_plain_columns(left, key) or left.columns))
+    # a null key meets nothing, so any number will do as its salt
     salt = (
-        F.when(F.col(key).isNull(), F.pmod(_spread(left, key), F.lit(MAX_PARTS)))
-        .when(F.col("parts").isNotNull(), F.pmod(_spread(left, key), F.col("parts")))
+        F.when(F.col(key).isNull(), content)
+        .when(F.col("parts").isNotNull(), F.pmod(content, F.col("parts")))
         .otherwise(F.lit(0))
-        .cast("int")
+        .cast("bigint")
     )
     spread = left.join(hot, key, "left").withColumn("salt", salt).drop("parts")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("parts"), F.lit(1)).cast("bigint") - 1))
     repeated = right.join(hot, key, "left").withColumn("salt", copies).drop("parts")
     return spread.join(repeated, [key, "salt"], how).drop("salt")
 
 
-def checked_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
-    hot_from: DataFrame | None = None,
-) -> DataFrame:
-    """Broadcast ``right`` when it is counted to be small, else a salted join."""
-    if right.count() <= max_rows:
-        return left.join(F.broadcast(right), key, how)
-    return salted_join(left, right, key, how, hot_rows, hot_from)
+def _counted_join(left: DataFrame, right: DataFrame, key: str, how: str, hot_rows: int) -> DataFrame:
+    """The join of a left side of keys only: each key once per ``hot_rows`` rows, unfolded afterwards.
+
+    What is shuffled is one row per key and part, and a part unfolds to ``hot_rows`` rows at most.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / F.lit(hot_rows)))).alias("_part")
+    size = F.least(F.lit(hot_rows), F.col("_n") - F.col("_part") * hot_rows)
+    folded = counts.select(key, "_n", parts).select(key, size.cast("bigint").alias("_size"))
+    joined = folded.join(right, key, how)
+    names = [c for c in joined.columns if c != "_size"]
+    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("_size"))).alias("_i")).drop("_i")
+
+
+def adaptive_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """A plain join whose form adaptive execution picks by the bytes it has measured.
+
+    It sends a small right side to all tasks, and splits the partitions of a hot key otherwise.
+    """
+    return left.join(right, key, how)
 
 
 def lag_by_bucket(

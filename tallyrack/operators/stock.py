@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions.rules import in_stock
 from tallyrack.operators.numbering import number_rows
-from tallyrack.operators.skew import BROADCAST_ROWS, HOT_ROWS, checked_join, lag_by_bucket
+from tallyrack.operators.skew import adaptive_join, lag_by_bucket
 
 
 def _effective() -> Column:
@@ -70,23 +70,19 @@ def blocked_items(stock: DataFrame) -> DataFrame:
     return stock.where(F.col("out_of_stock") & readable).select("item_id").distinct()
 
 
-def filter_in_stock(
-    candidates: DataFrame, stock: DataFrame, max_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def filter_in_stock(candidates: DataFrame, stock: DataFrame) -> DataFrame:
     """Drop out-of-stock candidates; unknown items and unreadable offsets stay.
 
-    The blocked items are sent to all tasks while they are few. Beyond that the join splits
-    hot items, because popular items repeat in many candidate lists.
+    Popular items repeat in many candidate lists; adaptive execution sends the blocked items to
+    all tasks while their bytes are few and splits hot items beyond that.
     """
-    return checked_join(candidates, blocked_items(stock), "item_id", "left_anti", max_rows, hot_rows)
+    return adaptive_join(candidates, blocked_items(stock), "item_id", "left_anti")
 
 
-def probe_stock(
-    items: DataFrame, stock: DataFrame, max_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def probe_stock(items: DataFrame, stock: DataFrame) -> DataFrame:
     """Add ``out_of_stock`` to a list of items; false when nothing is known."""
     blocked = blocked_items(stock).withColumn("out_of_stock", F.lit(True))
-    joined = checked_join(items, blocked, "item_id", "left", max_rows, hot_rows)
+    joined = adaptive_join(items, blocked, "item_id")
     return joined.fillna({"out_of_stock": False})
 
 

@@ -16,17 +16,26 @@ from tallyrack.operators.skew import salted_join
 from tallyrack.sources import cache
 from tallyrack.sources.events import read_day, read_slice, write_counted, write_partition
 
-STRENGTH = {"view": 1.0, "click": 2.0, "add_to_cart": 3.0, "purchase": 5.0}
+#: How much an interaction counts: the weights of the popularity ranking.
+STRENGTH = feat.POPULARITY_WEIGHTS
 
 
 @dataclass(frozen=True)
 class Paths:
-    """Folders of the jobs. Every run writes below its own name and reads the run before."""
+    """Folders of the jobs. Every run writes below its own name and reads the run before.
+
+    A run leaves all that the next one reads: features, pair counts, user and item vectors, lists.
+    ``cache`` gets the lists as JSON per user; by default it lies beside ``recs``.
+    """
 
     events: str
     features: str
     vectors: str
     recs: str
+    cache: str | None = None
+
+    def lists(self, run: str) -> str:
+        return f"{self.cache or self.recs + '_json'}/{run}"
 
 
 def strengths(events: DataFrame) -> DataFrame:
@@ -39,15 +48,14 @@ def strengths(events: DataFrame) -> DataFrame:
 
 def blend_vectors(liked: DataFrame, items: DataFrame) -> DataFrame:
     """User vectors as the strength-weighted mean of the item vectors they interacted with."""
-    parts = salted_join(liked, items, "item_id", "inner").select(
-        "user_id", "strength", F.posexplode("embedding").alias("pos", "x")
-    )
-    means = parts.groupBy("user_id", "pos").agg(
-        (F.sum(F.col("strength") * F.col("x")) / F.sum("strength")).cast("float").alias("x")
-    )
-    # one entry per dimension
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy("user_id").agg(F.transform(ordered, lambda e: e["x"]).alias("embedding"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vectors = items.select("item_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    # whole vectors fold to a running mean before the shuffle
+    mean = Summarizer.mean(F.col("v"), F.col("strength"))
+    means = salted_join(liked, vectors, "item_id", "inner").groupBy("user_id").agg(mean.alias("v"))
+    return means.select("user_id", vector_to_array("v", "float32").alias("embedding"))
 
 
 def _write_features(events: DataFrame, paths: Paths, run: str) -> dict:
@@ -82,7 +90,10 @@ def daily_full(
     failed = quality(users, FEATURE_RULES).agg(F.sum("failed")).first()[0]
     if failed:
         raise ValueError(f"{failed} user feature rows fail their checks")
-    user_vectors, item_vectors = learn_vectors(strengths(events), rank=rank)
+    liked = strengths(events)
+    write_partition(liked, f"{paths.features}/strength/{run}")
+    liked = spark.read.parquet(f"{paths.features}/strength/{run}")  # learning reads it several times
+    user_vectors, item_vectors = learn_vectors(liked, rank=rank)
     write_partition(user_vectors, f"{paths.vectors}/user/{run}")
     write_partition(item_vectors, f"{paths.vectors}/item/{run}")
     best = nearest_items(
@@ -94,6 +105,7 @@ def daily_full(
     as_of = F.lit(dt.datetime.combine(day + dt.timedelta(days=1), dt.time()))
     expiring = best.withColumn("expires_at", cache.after(as_of, cache.FULL_TTL))
     out.update(write_counted(expiring, f"{paths.recs}/{run}", metrics={"recommendations": F.count(F.lit(1))}))
+    write_partition(cache.lists_to_cache(spark.read.parquet(f"{paths.recs}/{run}")), paths.lists(run))
     return out
 
 
@@ -103,7 +115,9 @@ def incremental_4h(
     """Refresh the users of the last four hours on top of the run ``base``.
 
     Stored features take in the new events; the users seen get a new vector from the stored
-    item vectors and a new list; all other lists stay.
+    item vectors and a new list; all other lists stay until they expire. The run writes all that
+    the next run reads, so runs follow one another within a day. ``without_vector`` counts the
+    users seen who only touched items that have no vector yet: their old list stays.
     """
     events = read_slice(spark, paths.events, now)
     old_users = spark.read.parquet(f"{paths.features}/user/{base}")
@@ -114,19 +128,25 @@ def incremental_4h(
     write_partition(pairs, f"{paths.features}/item_user/{run}")
     stored = spark.read.parquet(f"{paths.features}/item_user/{run}")
     write_partition(feat.item_features_from_counts(stored), f"{paths.features}/item/{run}")
-    weight = 2.0 * F.col("clicks") + F.col("views") + 5.0 * F.col("purchases")
-    liked = stored.select("user_id", "item_id", weight.alias("strength")).where("strength > 0")
+    liked = stored.select("user_id", "item_id", feat.strength_of_counts().alias("strength")).where("strength > 0")
     item_vectors = spark.read.parquet(f"{paths.vectors}/item/{base}")
-    vectors = blend_vectors(feat.affected(liked, events), item_vectors)
+    write_partition(item_vectors, f"{paths.vectors}/item/{run}")
+    seen = feat.affected(liked, events)
+    vectors = blend_vectors(seen, item_vectors)
     out.update(
-        write_counted(vectors, f"{paths.vectors}/user/{run}", metrics={"affected_users": F.count(F.lit(1))})
+        write_counted(vectors, f"{paths.vectors}/changed/{run}", metrics={"affected_users": F.count(F.lit(1))})
     )
-    refreshed = nearest_items(spark.read.parquet(f"{paths.vectors}/user/{run}"), item_vectors, k, method)
+    changed = spark.read.parquet(f"{paths.vectors}/changed/{run}")
+    out["without_vector"] = seen.select("user_id").distinct().join(changed, "user_id", "left_anti").count()
+    old_vectors = spark.read.parquet(f"{paths.vectors}/user/{base}").select(*changed.columns)
+    write_partition(feat.merge_recs(old_vectors, changed), f"{paths.vectors}/user/{run}")
+    refreshed = nearest_items(changed, item_vectors, k, method)
     expiring = refreshed.withColumn("expires_at", cache.after(F.lit(now), cache.INCREMENTAL_TTL))
-    old = spark.read.parquet(f"{paths.recs}/{base}")
+    old = cache.expire(spark.read.parquet(f"{paths.recs}/{base}"), F.lit(now))
     out.update(
         write_counted(
             feat.merge_recs(old, expiring), f"{paths.recs}/{run}", metrics={"recommendations": F.count(F.lit(1))}
         )
     )
+    write_partition(cache.lists_to_cache(spark.read.parquet(f"{paths.recs}/{run}")), paths.lists(run))
     return out

@@ -23,10 +23,11 @@ from tallyrack.functions.rules import (
 )
 from tallyrack.operators.experiments import assign_experiments
 from tallyrack.operators.ranking import pack_popular
-from tallyrack.operators.sessions import session_features
+from tallyrack.operators.sessions import session_buffer, session_features
 from tallyrack.operators.skew import HOT_ROWS, salted_join
 from tallyrack.operators.stock import blocked_items, probe_stock
 from tallyrack.session import cut_lineage
+from tallyrack.sources.cache import expire
 
 # The labels of the answering tier.
 TIER1, TIER2, TIER3 = "tier1_precomputed", "tier2_rerank", "tier3_inference"
@@ -94,6 +95,7 @@ def recommend(
     ranker: Ranker | None = None,
     weights: Weights = Weights(),
     hot_rows: int = HOT_ROWS,
+    as_of: Column | None = None,
 ) -> DataFrame:
     """Answer requests: ``(request_id, user_id, session_id, load_level, tier, items)``.
 
@@ -101,15 +103,24 @@ def recommend(
     are top-K tables; ``stock(item_id, bit_offset, out_of_stock)``. Without ``session_events``
     nothing is re-ranked; without ``ranker`` misses are not ranked by model. A ranker takes
     ``(request_id, user_id, item_id, …)`` rows and adds ``model_score``; a null score means it
-    failed, and the request keeps its popular list.
+    failed, and the request keeps its popular list. With ``as_of``, lists whose ``expires_at`` has
+    passed and sessions that have ended by then are gone.
     """
     asked = _prepared(requests)
+    if as_of is not None and "expires_at" in recs.columns:
+        recs = expire(recs, as_of)
     users = asked.where(F.col("load_level") != "emergency").select("user_id").distinct()
     rows = salted_join(asked, _cached_lists(recs, users, stock), "user_id", "left", hot_rows)
     if session_events is None:
         rows = rows.withColumn("clicked", F.lit(None).cast("array<string>")).withColumn("viewed", F.col("clicked"))
     else:
-        seen = session_features(session_events).select(
+        # only the sessions of these requests are aggregated
+        wanted = asked.where(F.col("session_id").isNotNull()).select("session_id").distinct()
+        named = session_events.withColumn("session_id", F.col("session_id").cast("string"))
+        own = named.join(wanted, "session_id", "left_semi")
+        if as_of is not None:
+            own = session_buffer(own, as_of)
+        seen = session_features(own).select(
             F.col("session_id").cast("string").alias("session_id"), "clicked", "viewed"
         )
         rows = salted_join(rows, seen, "session_id", "left", hot_rows, hot_from=asked)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is configured."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    A local session may do without the setting and gets a temporary folder; on a cluster that
+    would be lost with its machine, so it is an error there.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyrack-checkpoint-"))
     return shared or context.getCheckpointDir()
 

@@ -16,7 +16,10 @@ def after(as_of: Column, ttl_seconds: int) -> Column:
 
 
 def pack_recs(recs: DataFrame) -> DataFrame:
-    """Top-K rows ``(user_id, rank, item_id, score)`` -> one array per user in rank order."""
+    """Top-K rows ``(user_id, rank, item_id, score)`` -> one array per user in rank order.
+
+    The rows must come from a top-K operator: all rows of a user meet in one array.
+    """
     ranked = F.sort_array(F.collect_list(F.struct("rank", "item_id", "score")))
     pairs = F.transform(ranked, lambda x: F.struct(x["item_id"].alias("item_id"), x["score"].alias("score")))
     return recs.groupBy("user_id").agg(pairs.alias("items"))
@@ -31,6 +34,19 @@ def to_cache(recs: DataFrame, ttl_seconds: int, as_of: Column) -> DataFrame:
     )
 
 
+def lists_to_cache(recs: DataFrame) -> DataFrame:
+    """Stored top-K rows with ``expires_at`` -> ``(key, value, expires_at)``, a JSON list per user.
+
+    A user's rows come from one run and so have one expiry. At most top-K rows per user.
+    """
+    ends = recs.groupBy("user_id").agg(F.max("expires_at").alias("expires_at"))
+    return pack_recs(recs).join(ends, "user_id").select(
+        keys.rec_top_k(F.col("user_id")).alias("key"),
+        jsonio.recs_to_json(F.col("items")).alias("value"),
+        "expires_at",
+    )
+
+
 def popular_to_cache(popular: DataFrame) -> DataFrame:
     """The popular list under its own key; it never expires."""
     named = popular.select(F.lit(keys.POPULAR_USER).alias("user_id"), "rank", "item_id", "score")

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyrack.functions.hashing import java_hash_31
 from tallyrack.operators.ingest import parse_events, parse_inventory
 from tallyrack.sources import commands as cmd
 from tallyrack.streaming.windows import clicks_1h
@@ -57,13 +56,25 @@ def session_branch(events: DataFrame) -> DataFrame:
     return cmd.session_commands(events)
 
 
-def stock_branch(inventory: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
-    """Stock commands. Offsets come from a table, or from the item's hash without one."""
-    if offsets is None:
-        placed = inventory.withColumn("bit_offset", java_hash_31(F.col("item_id")))
-    else:
-        placed = inventory.join(offsets.select("item_id", "bit_offset"), "item_id", "left")
-    return cmd.stock_commands(placed)
+def placed(inventory: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Inventory events with the offset of their item; null for an item without one."""
+    return inventory.join(offsets.select("item_id", "bit_offset"), "item_id", "left")
+
+
+def stock_branch(inventory: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Stock commands of the items that have an offset."""
+    return cmd.stock_commands(placed(inventory, offsets).where(F.col("bit_offset").isNotNull()))
+
+
+def rejected_branch(events: DataFrame, inventory: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``(topic, value, reason)`` of all messages that change no state, as they came."""
+
+    def row(df: DataFrame, topic: str, reason: Column) -> DataFrame:
+        return df.where(reason.isNotNull()).select(F.lit(topic).alias("topic"), F.col("raw").alias("value"), reason.alias("reason"))
+
+    unreadable = F.when(F.col("parse_error"), "unreadable")
+    unknown = unreadable.when(F.col("bit_offset").isNull(), "unknown item")
+    return row(events, "user_events", unreadable).unionByName(row(placed(inventory, offsets), "inventory", unknown))
 
 
 def run_streams(
@@ -72,22 +83,24 @@ def run_streams(
     inventory_values: DataFrame,
     out: str,
     checkpoint: str,
-    offsets: DataFrame | None = None,
+    offsets: DataFrame,
     trigger: dict | None = None,
 ) -> dict[str, StreamingQuery]:
     """Start the three branches on two streams of JSON ``value`` rows.
 
-    Rows that cannot be read go to the ``rejected`` folder.
+    ``offsets(item_id, bit_offset)`` names each item's place in the stock bitmap. Messages that
+    cannot be read, and inventory of items without a place, go to the ``rejected`` folder with
+    their raw value and the reason.
     """
     use_rocksdb(spark)
-    events = parse_events(user_values)
-    inventory = parse_inventory(inventory_values)
+    events = parse_events(user_values.withColumn("raw", F.col("value")))
+    inventory = parse_inventory(inventory_values.withColumn("raw", F.col("value")))
     good, stock = events.where(~F.col("parse_error")), inventory.where(~F.col("parse_error"))
     branches = {
         "clicks": click_branch(good),
         "sessions": session_branch(good),
         "stock": stock_branch(stock, offsets),
-        "rejected": events.where("parse_error").select("event_id", "user_id", "event_type", "item_id"),
+        "rejected": rejected_branch(events, inventory, offsets),
     }
     return {
         name: start(df, f"{out}/{name}", f"{checkpoint}/{name}", trigger) for name, df in branches.items()

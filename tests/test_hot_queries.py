@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyrack.operators import candidates, skew, stock
+from tallyrack.operators import skew
 from tallyrack.plans import recommend
 from tallyrack.sources import commands
 from tools.compare import compare, connect
@@ -19,12 +19,8 @@ def everything_hot(monkeypatch):
 
     last_default(skew.hot_keys, 5)
     last_default(skew.salted_join, 5, None)
-    last_default(skew.checked_join, 0, 5, None)
-    for function in (stock.filter_in_stock, stock.probe_stock):
-        last_default(function, 0, 5)
-    for function in (recommend.recommend, commands.apply_commands):
-        last_default(function, 5)
-    monkeypatch.setattr(candidates, "BROADCAST_VECTORS", 0)
+    last_default(recommend.recommend, 5, None)
+    last_default(commands.apply_commands, 5)
 
 
 @pytest.mark.parametrize("name", QUERIES)

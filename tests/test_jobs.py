@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.operators import features as feat
 from tallyrack.plans import jobs
+from tallyrack.sources import cache
 from tallyrack.sources.events import archive
 from tests.helpers import rows
 from workload import tables
@@ -46,3 +47,40 @@ def test_daily_then_incremental(spark, paths):
     assert rows(users, *want.columns) == rows(want)
     items = spark.read.parquet(f"{paths.features}/item/ts=2024-01-01T04")
     assert rows(items) == rows(feat.compute_item_features(both))
+
+
+def test_a_day_of_four_hourly_runs(spark, paths):
+    """Three runs, each on the one before: features of all events read, lists renewed or expired."""
+    base = "date=2024-01-01"
+    events = spark.read.parquet(paths.events)
+    read = events
+    for hour in (8, 12, 16):
+        now, run = dt.datetime(2024, 1, 1, hour), f"ts=2024-01-01T{hour:02d}"
+        done = jobs.incremental_4h(spark, now, paths, base, run, k=3)
+        slice_ = events.where((F.col("ts") >= F.lit(now - dt.timedelta(hours=4))) & (F.col("ts") < F.lit(now)))
+        read = read.unionByName(slice_)
+        changed = {r.user_id for r in spark.read.parquet(f"{paths.vectors}/changed/{run}").collect()}
+        assert done["affected_users"] == len(changed) and done["without_vector"] == 0
+        users = spark.read.parquet(f"{paths.features}/user/{run}")
+        want = feat.compute_user_features(read)
+        assert rows(users, *want.columns) == rows(want)
+        assert rows(spark.read.parquet(f"{paths.features}/item/{run}")) == rows(feat.compute_item_features(read))
+        lists = spark.read.parquet(f"{paths.recs}/{run}")
+        assert lists.where(F.col("expires_at") <= F.lit(now)).count() == 0
+        assert {r.user_id for r in lists.where("expires_at < '2024-01-02'").collect()} >= changed
+        assert spark.read.parquet(f"{paths.vectors}/user/{run}").count() == 15
+        stored = spark.read.parquet(paths.lists(run))
+        assert rows(cache.from_cache(stored).select("user_id", "rank", "item_id")) == rows(lists.select("user_id", "rank", "item_id"))
+        base = run
+
+
+def test_expired_lists_are_not_carried_on(spark, paths):
+    now = dt.datetime(2024, 1, 4)
+    jobs.incremental_4h(spark, now, paths, "date=2024-01-01", "ts=2024-01-04T00", k=3)
+    assert spark.read.parquet(f"{paths.recs}/ts=2024-01-04T00").count() == 0
+
+
+def test_blend_is_the_weighted_mean(spark):
+    liked = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("b", "y", 2.0), ("c", "none", 1.0)], "user_id string, item_id string, strength double")
+    items = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [5.0, 2.0])], "item_id string, embedding array<float>")
+    assert {r.user_id: r.embedding for r in jobs.blend_vectors(liked, items).collect()} == {"a": [4.0, 1.5], "b": [5.0, 2.0]}

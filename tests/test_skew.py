@@ -24,8 +24,21 @@ def test_salted_join_equals_join(sides, how):
     want = rows(left.join(right, "key", how))
     assert rows(skew.salted_join(left, right, "key", how, hot_rows=10)) == want
     assert rows(skew.salted_join(left, right, "key", how)) == want
-    assert rows(skew.checked_join(left, right, "key", how, max_rows=0, hot_rows=10)) == want
-    assert rows(skew.checked_join(left, right, "key", how)) == want
+    assert rows(skew.adaptive_join(left, right, "key", how)) == want
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_left_side_of_keys_alone(sides, how):
+    left, right = sides
+    keys = left.select("key")
+    want = rows(keys.join(right, "key", how))
+    for hot_rows in (1, 7, 10**6):
+        assert rows(skew.salted_join(keys, right, "key", how, hot_rows=hot_rows)) == want
+
+
+def test_there_is_no_limit_on_parts(spark):
+    many = spark.range(30_000).select(F.lit("hot").alias("key"), F.col("id").alias("row"))
+    assert rows(skew.hot_keys(many, "key", 10)) == [("hot", 3000)]
 
 
 def test_hot_rows_land_in_many_parts(spark, sides):

@@ -105,19 +105,19 @@ def test_duplicates_are_dropped_once(spark, tmp_path):
     assert windows.dedup(spark.createDataFrame([*CASE, *CASE], EVENT)).count() == 5
 
 
-@pytest.mark.parametrize("with_table", [True, False])
-def test_the_three_branches(spark, tmp_path, with_table):
+def test_the_three_branches(spark, tmp_path):
     def value(i, kind, seconds, session="s1", **more):
         return (json.dumps({"event_id": f"e{i}", "user_id": "u1", "event_type": kind, "item_id": f"i{i}", "session_id": session,
                             "timestamp": 1773835200000 + int(seconds * 1000), **more}),)
 
     users = [value(1, "click", 0), value(2, "view", 10, session=""), value(3, "click", 20, extra=1), ("{broken",), value(4, "view", 9000, "s2")]
     goods = [(json.dumps({"item_id": i, "in_stock": s, "quantity": q, "timestamp": f"2026-03-18T12:00:{t:02d}Z"}),)
-             for i, s, q, t in [("a", True, 5, 0), ("a", True, 0, 9), ("b", True, 3, 1)]]
+             for i, s, q, t in [("a", True, 5, 0), ("a", True, 0, 9), ("b", True, 3, 1), ("zz", True, 1, 2)]]
+    goods += [("[not an item",), (json.dumps({"in_stock": True}),)]
     feed(spark, tmp_path / "u", 0, users, "value string")
     feed(spark, tmp_path / "g", 0, goods, "value string")
     source = {k: streams.stream_source(spark, "parquet", {"path": str(tmp_path / k / "part*")}) for k in "ug"}
-    offsets = spark.createDataFrame([("a", 0), ("b", 1)], "item_id string, bit_offset bigint") if with_table else None
+    offsets = spark.createDataFrame([("a", 0), ("b", 1)], "item_id string, bit_offset bigint")
     started = job.run_streams(spark, source["u"], source["g"], str(tmp_path / "out"), str(tmp_path / "cp"), offsets)
     for query in started.values():
         query.awaitTermination()
@@ -129,8 +129,40 @@ def test_the_three_branches(spark, tmp_path, with_table):
     clicks = state.where("key = 'feat:user:u1:clicks_1h'").first()
     assert clicks.value == "2" and clicks.expires_at == at(60 + 3540 + 3660, START)
     bits = dict(rows(state.where("kind = 'bit'"), "member", "value"))
-    assert bits == ({"0": "1", "1": "0"} if with_table else {str(ord("a")): "1", str(ord("b")): "0"})
-    assert spark.read.parquet(str(tmp_path / "out" / "rejected")).count() == 1
+    assert bits == {"0": "1", "1": "0"}
+    assert not [k for k in rows(state, "key") if "zz" in k[0]]
+    gone = rows(spark.read.parquet(str(tmp_path / "out" / "rejected")), "topic", "value", "reason")
+    assert gone == sorted([
+        ("user_events", "{broken", "unreadable"), ("inventory", "[not an item", "unreadable"),
+        ("inventory", goods[-1][0], "unreadable"), ("inventory", goods[3][0], "unknown item"),
+    ])
+
+
+def test_the_job_goes_on_after_a_restart(spark, tmp_path):
+    """Half of the messages, a stop, the other half: the state of one run over all of them."""
+    def value(i, seconds):
+        return (json.dumps({"event_id": f"e{i}", "user_id": f"u{i % 3}", "event_type": "click", "item_id": "i", "session_id": f"s{i % 2}",
+                            "timestamp": 1773835200000 + seconds * 1000}),)
+
+    users = [value(i, 40 * i) for i in range(60)] + [value(99, 9000)]
+    goods = [(json.dumps({"item_id": "ab"[i % 2], "in_stock": i % 3 > 0, "quantity": 5, "timestamp": f"2026-03-18T12:00:{i:02d}Z"}),) for i in range(20)]
+    offsets = spark.createDataFrame([("a", 0), ("b", 1)], "item_id string, bit_offset bigint")
+
+    def run(name, folder):
+        source = {k: streams.stream_source(spark, "parquet", {"path": str(folder / k / "part*")}) for k in "ug"}
+        for query in job.run_streams(spark, source["u"], source["g"], str(folder / "out"), str(folder / "cp"), offsets).values():
+            query.awaitTermination()
+        return rows(job.stream_state(spark, str(folder / "out")), "key", "kind", "member", "value", "score")
+
+    whole, halves = tmp_path / "whole", tmp_path / "halves"
+    for folder in (whole, halves):
+        feed(spark, folder / "u", 0, users[:30], "value string")
+        feed(spark, folder / "g", 0, goods[:10], "value string")
+    run("first", halves)
+    for folder in (whole, halves):
+        feed(spark, folder / "u", 1, users[30:], "value string")
+        feed(spark, folder / "g", 1, goods[10:], "value string")
+    assert run("second", halves) == run("all", whole)
 
 
 def test_publish_to_files(spark, tmp_path):
