@@ -158,6 +158,32 @@ def category_candidates(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(
+    """WITH up AS (SELECT DISTINCT c_custkey AS user_id, brand FROM (
+        SELECT c_custkey, unnest(CASE c_custkey % 4 WHEN 0 THEN ['Brand#' || (c_nationkey + 1)] WHEN 3 THEN
+          ['Brand#' || (c_nationkey + 1), 'Size ' || (c_nationkey % 9 + 1)] ELSE []::VARCHAR[] END) AS brand FROM customer)),
+    items AS (SELECT p_partkey, p_brand AS c FROM part UNION SELECT p_partkey, 'Size ' || (p_size % 9 + 1) FROM part),
+    pairs AS (SELECT c_custkey AS user_id, p_partkey AS item_id,
+        EXISTS (SELECT 1 FROM up JOIN items ON brand = c WHERE up.user_id = c_custkey AND items.p_partkey = part.p_partkey)
+          AS preferred FROM customer, part),
+    ranked AS (SELECT user_id, item_id,
+        row_number() OVER (PARTITION BY user_id ORDER BY preferred DESC, item_id) AS rank FROM pairs)
+    SELECT user_id, rank, item_id FROM ranked WHERE rank <= 20"""
+)
+def candidates_odd_prefs(spark, sf):
+    """Users with a list, no list, a list of nulls, or nulls in their list; items in two categories."""
+    brand = F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string"))
+    size = F.concat(F.lit("Size "), (F.col("c_nationkey") % 9 + 1).cast("string"))
+    null, kind = F.lit(None).cast("string"), F.col("c_custkey") % 4
+    prefs = F.when(kind == 0, F.array(brand)).when(kind == 1, F.array(null)).when(kind == 3, F.array(brand, null, size))
+    users = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), prefs.alias("category_prefs"))
+    parts = t.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_brand", "p_size")
+    sizes = F.concat(F.lit("Size "), (F.col("p_size") % 9 + 1).cast("string"))
+    both = parts.select("item_id", F.explode(F.array("p_brand", sizes)).alias("category_id"))
+    found = cand.category_candidates(users, both, k=20, order=F.col("item_id"))
+    return found.select("user_id", "rank", "item_id")
+
+
 @query(
     f"""WITH {TRADES}, s AS (SELECT user_id, item_id, sum({WEIGHT})::DOUBLE AS score FROM trades GROUP BY 1, 2),
     best AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s)

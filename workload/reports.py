@@ -61,6 +61,22 @@ def price_percentiles(spark, sf):
     return serving.percentiles(t.table(spark, sf, "lineitem"), (0.01, 0.5, 0.999), ["l_linestatus"], "l_extendedprice")
 
 
+@query(
+    """WITH lines AS (SELECT l_linestatus AS k, CASE WHEN l_orderkey % 7 = 0 THEN 'infinity'::DOUBLE
+        WHEN l_orderkey % 5 = 0 THEN '-infinity'::DOUBLE ELSE l_extendedprice END AS v FROM lineitem)
+    SELECT k AS l_linestatus, p, value, rows FROM """
+    + _pct_sql("lines", "k", (0.01, 0.5, 0.999), "v")
+)
+def percentiles_with_infinity(spark, sf):
+    """Infinite values sort at the ends; missing ones and those that are no number take no part."""
+    infinity = F.lit(float("inf"))
+    key, price = F.col("l_orderkey"), F.col("l_extendedprice")
+    odd = F.when(key % 7 == 0, infinity).when(key % 5 == 0, -infinity).otherwise(price)
+    lines = t.table(spark, sf, "lineitem").select("l_linestatus", odd.alias("v"))
+    nothing = lines.select("l_linestatus", F.when(F.rand(1) < 0.5, F.lit(float("nan"))).alias("v"))
+    return serving.percentiles(lines.unionByName(nothing), (0.01, 0.5, 0.999), ["l_linestatus"], "v")
+
+
 _BOUNDS = ", ".join(f"{b}::DOUBLE" for b in serving.BOUNDS_MS) + ", 'infinity'::DOUBLE"
 _HIST = f"""hist AS (SELECT tier, le, count(*) FILTER (duration_ms <= le) AS count
   FROM log, (SELECT unnest([{_BOUNDS}]) AS le) GROUP BY 1, 2)"""

@@ -13,6 +13,7 @@ from tallyrack.plans import jobs
 from tallyrack.session import cut_lineage
 from tallyrack.sources import commands as cmd
 from tallyrack.sources import events as lake
+from tallyrack.sources.cache import from_cache
 from tallyrack.streaming import job, windows
 from workload import tables as t
 from workload.registry import EV, INV, joined, micros, query
@@ -480,3 +481,39 @@ def daily_then_four_hourly(spark, sf):
     jobs.incremental_4h(spark, dt.datetime(2024, 1, 16, 4), paths, "date=2024-01-15", "ts=2024-01-16T04", k=10)
     users = spark.read.parquet(f"{paths.features}/user/ts=2024-01-16T04")
     return users.withColumn("category_interests", joined(F.col("category_interests")))
+
+
+@query(
+    f"""WITH {EV}, seen AS (SELECT * FROM ev WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16 12:00:00'),
+    liked AS (SELECT * FROM seen WHERE event_type IN ('view', 'click', 'purchase')),
+    placed AS (SELECT DISTINCT item_id FROM liked WHERE ts < TIMESTAMP '2024-01-16'),
+    runs AS (SELECT unnest([4, 8, 12]) AS h),
+    moments AS (SELECT h, TIMESTAMP '2024-01-16' + to_hours(h) AS now FROM runs),
+    renewed AS (SELECT DISTINCT user_id, h FROM moments JOIN seen ON ts >= now - INTERVAL 4 HOUR AND ts < now
+      WHERE EXISTS (SELECT 1 FROM liked JOIN placed USING (item_id) WHERE liked.user_id = seen.user_id AND liked.ts < now))
+    -- a renewed list lives six hours, so those of the first run are gone after the third
+    SELECT 'user' AS kind, user_id AS id, count(*) FILTER (event_type = 'click') AS clicks,
+      count(*) FILTER (event_type = 'purchase') AS purchases, count(*) AS n FROM seen GROUP BY 2
+    UNION ALL SELECT 'item', item_id, count(*) FILTER (event_type = 'click'), count(*) FILTER (event_type = 'purchase'),
+      count(DISTINCT user_id) FROM seen GROUP BY 2
+    UNION ALL SELECT 'list', user_id, 0, 0, (SELECT least(count(*), 5) FROM placed) FROM (
+      SELECT user_id FROM renewed GROUP BY 1 HAVING max(h) > 4
+      UNION SELECT user_id FROM liked WHERE ts < TIMESTAMP '2024-01-16' AND user_id NOT IN (SELECT user_id FROM renewed))"""
+)
+def four_hourly_chain(spark, sf):
+    """The daily job and three four-hourly runs in a row: user and item features, and the cached lists."""
+    root = t.scratch(spark, "chain")
+    paths = jobs.Paths(*[f"{root}/{n}" for n in ("events", "features", "vectors", "recs")])
+    lake.archive(t.with_metadata(t.events(spark, sf)).drop("value"), paths.events)
+    jobs.daily_full(spark, "2024-01-15", paths, k=5, rank=8)
+    run = "date=2024-01-15"
+    for hour in (4, 8, 12):
+        base, run = run, f"ts=2024-01-16T{hour:02d}"
+        jobs.incremental_4h(spark, dt.datetime(2024, 1, 16, hour), paths, base, run, k=5)
+    users, items = (spark.read.parquet(f"{paths.features}/{kind}/{run}") for kind in ("user", "item"))
+    lists = from_cache(spark.read.parquet(paths.lists(run)))
+    zero = F.lit(0).cast("bigint")
+    known = users.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.col("total_clicks").alias("clicks"),
+                         F.col("total_purchases").alias("purchases"), F.col("total_events").alias("n"))
+    known = known.union(items.select(F.lit("item"), "item_id", "click_count", "purchase_count", "unique_users"))
+    return known.union(lists.groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit("list"), "user_id", zero, zero, "n"))
