@@ -8,8 +8,11 @@ its user and once for its session, never per candidate.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,21 @@ FALLBACK, POPULAR = "fallback_popular", "tier0_popular"
 Ranker = Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class ListRanker:
+    """A model that scores a request's whole list at once, without a row per candidate.
+
+    ``users(user_id, embedding)`` and ``items(item_id, embedding)`` hold vectors of ``dim`` numbers; a
+    missing one counts as zeros. ``score`` takes two matrices, row against row, and returns their
+    scores; one that is no number means that the model failed, and the request keeps its list.
+    """
+
+    users: DataFrame
+    items: DataFrame
+    dim: int
+    score: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def _prepared(requests: DataFrame) -> DataFrame:
     """Requests with usable limit, load level and a null for an empty session."""
     columns = requests.columns
@@ -92,7 +110,7 @@ def recommend(
     popular: DataFrame,
     stock: DataFrame,
     session_events: DataFrame | None = None,
-    ranker: Ranker | None = None,
+    ranker: Ranker | ListRanker | None = None,
     weights: Weights = Weights(),
     hot_rows: int = HOT_ROWS,
     as_of: Column | None = None,
@@ -103,7 +121,8 @@ def recommend(
     are top-K tables; ``stock(item_id, bit_offset, out_of_stock)``. Without ``session_events``
     nothing is re-ranked; without ``ranker`` misses are not ranked by model. A ranker takes
     ``(request_id, user_id, item_id, …)`` rows and adds ``model_score``; a null score means it
-    failed, and the request keeps its popular list. With ``as_of``, lists whose ``expires_at`` has
+    failed, and the request keeps its popular list. A ``ListRanker`` works on the lists as they are:
+    one shuffle by user brings the user's vector, and no candidate becomes a row. With ``as_of``, lists whose ``expires_at`` has
     passed and sessions that have ended by then are gone.
     """
     asked = _prepared(requests)
@@ -156,12 +175,60 @@ def recommend(
     )
     if ranker is None:
         return answered.drop("wants_model")
+    if isinstance(ranker, ListRanker):
+        return _ranked_in_lists(answered, popular, ranker, hot_rows)
     # written out once: the model branch reads its rows several times
     answered = cut_lineage(answered)
     ranked = _ranked(answered.where("wants_model").drop("wants_model"), ranker, kept)
     return answered.where(~F.col("wants_model")).drop("wants_model").unionByName(ranked)
 
 
+def _ranked_in_lists(answered: DataFrame, popular: DataFrame, ranker: ListRanker, hot_rows: int) -> DataFrame:
+    """Lists of the requests that want the model, in its order; the other rows pass unchanged.
+
+    A model's candidates all come from the popular list, so the item vectors are MAX_LIMIT at most
+    and travel with the tasks.
+    """
+    names = popular.where(F.col("rank") <= MAX_LIMIT).select("item_id")
+    known = ranker.items.join(F.broadcast(names), "item_id", "left_semi").select("item_id", "embedding").collect()
+    places = {row["item_id"]: i for i, row in enumerate(known)}
+    vectors = np.zeros((len(known) + 1, ranker.dim))  # the last row stands for an unknown item
+    for row in known:
+        if row["embedding"] is not None:
+            vectors[places[row["item_id"]]] = row["embedding"]
+    dim, score = ranker.dim, ranker.score
+    sides = ranker.users.select(F.col("user_id").alias("_user"), F.col("embedding").cast("array<double>").alias("_vector"))
+    rows = answered.withColumn("_user", F.when(F.col("wants_model"), F.col("user_id")))
+    rows = salted_join(rows, sides, "_user", "left", hot_rows).select(
+        F.struct(*answered.columns).alias("row"),
+        F.when(F.col("wants_model"), F.transform("items", lambda x: x["item_id"])).alias("ids"),
+        "_vector",
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, own = batch.column("ids").to_pylist(), batch.column("_vector").to_pylist()
+            size = np.array([len(x or ()) for x in lists], dtype=np.int64)
+            at = np.array([places.get(i, len(places)) for x in lists for i in x or ()], dtype=np.int64)
+            users = np.array([v or [0.0] * dim for v in own], dtype=np.float64).reshape(len(own), dim)
+            scores = score(np.repeat(users, size, axis=0), vectors[at]) if len(at) else np.zeros(0)
+            ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(scores, pa.float64()))
+            yield pa.record_batch([batch.column("row"), column], names=["row", "scores"])
+
+    kind = answered.schema.simpleString()
+    scored = rows.mapInArrow(run, f"row {kind}, scores array<double>").select("row.*", "scores")
+    entry = lambda x, i: F.struct(
+        (-F.get("scores", i)).alias("o"), i.alias("pos"), x["item_id"].alias("item_id"), F.get("scores", i).alias("score")
+    )
+    failed = F.exists("scores", lambda s: F.isnan(s))
+    by_model = F.transform(F.sort_array(F.transform("items", entry)), _plain)
+    ranks = F.col("wants_model") & ~failed
+    return scored.withColumn("items", F.when(ranks, by_model).otherwise(F.col("items"))).withColumn(
+        "tier", F.when(ranks, TIER3).when(F.col("wants_model"), FALLBACK).otherwise(F.col("tier"))
+    ).drop("wants_model", "scores")
+
+
 def _ranked(misses: DataFrame, ranker: Ranker, kept: list[str]) -> DataFrame:
     """Misses with their list ordered by the model; ties keep their order."""
     # spread while the lists are still packed: the unpacked rows of a request stay in one

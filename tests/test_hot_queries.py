@@ -8,7 +8,7 @@ from tallyrack.sources import commands
 from tools.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["recommend_cascade", "candidate_vectors", "session_buffer", "command_state", "stock_probe", "category_candidates"]
+QUERIES = ["recommend_cascade", "recommend_by_rows", "candidate_vectors", "session_buffer", "command_state", "stock_probe", "category_candidates"]
 
 
 @pytest.fixture

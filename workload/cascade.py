@@ -130,7 +130,18 @@ def dot_ranker(spark, sf):
     return rank
 
 
-def _answers(spark, sf, ranker=True):
+def _row_dots(users: np.ndarray, items: np.ndarray) -> np.ndarray:
+    return np.round((users * items).sum(axis=1), 6) + 0.0
+
+
+def dot_list_ranker(spark, sf) -> rec.ListRanker:
+    """The same model over whole lists."""
+    vectors = t.item_vectors(spark, sf).withColumn("item_id", F.col("item_id").cast("string"))
+    users = vectors.select(F.concat(F.lit("cust-"), "item_id").alias("user_id"), "embedding")
+    return rec.ListRanker(users, vectors, 64, _row_dots)
+
+
+def _answers(spark, sf, ranker=dot_list_ranker):
     events = t.events(spark, sf)
     return rec.recommend(
         cut_lineage(t.requests(spark, sf)),  # stands for a stored request table
@@ -138,7 +149,7 @@ def _answers(spark, sf, ranker=True):
         ranking.popular_items(events),
         stock_table(spark, sf),
         events,
-        dot_ranker(spark, sf) if ranker else None,
+        ranker(spark, sf) if ranker else None,
     )
 
 
@@ -184,9 +195,15 @@ def recommend_cascade(spark, sf):
     return _rows(_answers(spark, sf))
 
 
+@query(f"WITH {_cascade_sql(True)} {_ROWS}")
+def recommend_by_rows(spark, sf):
+    """The same answers from a model that takes a row per candidate."""
+    return _rows(_answers(spark, sf, dot_ranker))
+
+
 @query(f"WITH {_cascade_sql(False)} {_ROWS}")
 def recommend_without_model(spark, sf):
-    return _rows(_answers(spark, sf, ranker=False))
+    return _rows(_answers(spark, sf, ranker=None))
 
 
 _BUCKET, _ARM, _MODEL = arm_sql("t.user_id")
