@@ -26,6 +26,24 @@ CDN_TARGETS = (
     ("sustained", "fallback_rate", ">", 0.30),
     ("all", "error_rate", "<", 0.05),
 )
+RAMP_TARGETS = (
+    ("1k", "p95", "<", 50.0),
+    ("1k", "p99", "<", 100.0),
+    ("10k", "p95", "<", 100.0),
+    ("10k", "p99", "<", 200.0),
+    ("50k", "p95", "<", 200.0),
+    ("50k", "p99", "<", 500.0),
+    ("100k", "p95", "<", 500.0),
+    ("100k", "p99", "<", 1000.0),
+    ("all", "error_rate", "<", 0.05),
+)
+ENDPOINT_TARGETS = (
+    ("all", "timeout_rate", "<", 0.01),
+    ("popular", "p95", "<", 50.0),
+    ("popular", "p99", "<", 100.0),
+    ("popular", "error_rate", "<", 0.01),
+)
+POPULAR_TIER = "tier0_popular"
 TIER_TARGETS = (
     ("all", "tier1_rate", ">", 0.75),
     ("all", "tier2_rate", "<", 0.20),
@@ -214,16 +232,30 @@ def load_phase(load: Column, steps=LOAD_PHASES) -> Column:
     return name
 
 
-def slo_report(log: DataFrame, targets=CDN_TARGETS, steps=LOAD_PHASES) -> DataFrame:
+def slo_report(log: DataFrame, targets=CDN_TARGETS, steps=LOAD_PHASES, timeout_ms: float = 5000.0) -> DataFrame:
     """Measured value and verdict of every ``(phase, metric, op, bound)`` target.
 
-    Phase ``all`` stands for the whole log. A target without measurements fails.
+    Phase ``all`` stands for the whole log and ``popular`` for the popular endpoint. A request of
+    ``timeout_ms`` or more has timed out. A target without measurements fails. Rates come from one
+    count per (load phase, tier, outcome), which is added up for the wider phases; only percentiles
+    read a row once for each phase it belongs to.
     """
-    both = F.explode(F.array(load_phase(F.col("load"), steps), F.lit("all")))
-    rows = log.withColumn("phase", both)
-    rates = {name: F.count_if(F.col("tier") == tier) / F.count("*") for name, tier in TIER_OF_RATE.items()}
-    rates["error_rate"] = F.count_if("error") / F.count("*")
-    measured = rows.groupBy("phase").agg(*[c.alias(n) for n, c in rates.items()])
+    phases = F.filter(
+        F.array(load_phase(F.col("load"), steps), F.lit("all"), F.when(F.col("tier") == POPULAR_TIER, F.lit("popular"))),
+        lambda p: p.isNotNull(),
+    )
+    late = (F.col("duration_ms") >= timeout_ms).alias("late")
+    counts = log.groupBy(load_phase(F.col("load"), steps).alias("step"), "tier", "error", late).agg(F.count("*").alias("n"))
+    wider = F.filter(F.array("step", F.lit("all"), F.when(F.col("tier") == POPULAR_TIER, F.lit("popular"))), lambda p: p.isNotNull())
+
+    def part(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0)) / F.sum("n")
+
+    rates = {name: part(F.col("tier") == tier) for name, tier in TIER_OF_RATE.items()}
+    rates |= {"error_rate": part(F.col("error")), "timeout_rate": part(F.col("late"))}
+    measured = counts.withColumn("phase", F.explode(wider)).groupBy("phase").agg(*[c.alias(n) for n, c in rates.items()])
+    named = {phase for phase, metric, _, _ in targets if metric[0] == "p"}
+    rows = log.withColumn("phase", F.explode(F.filter(phases, lambda p: p.isin(*named)))) if named else log
     long_rates = measured.unpivot("phase", list(rates), "metric", "value")
     ps = sorted({float(m[1:]) / 100 for _, m, _, _ in targets if m[0] == "p" and m[1:].isdigit()})
     values = long_rates

@@ -131,17 +131,19 @@ def phase_compare(spark, sf):
     )
 
 
-def _slo_sql(targets) -> str:
+def _slo_sql(targets, steps=serving.LOAD_PHASES, tier: str = "tier", late: float = 5000.0) -> str:
+    named = " ".join(f"WHEN load <= {bound} THEN '{name}'" for bound, name in steps[:-1]) + f" ELSE '{steps[-1][1]}'"
     rows = ", ".join(f"('{p}', '{m}', '{o}', {b}::DOUBLE)" for p, m, o, b in targets)
-    return f"""WITH {LOG}, phased AS (SELECT *, CASE WHEN load <= 500 THEN 'baseline' WHEN load <= 2500 THEN 'cdn_failure'
-        ELSE 'sustained' END AS phase FROM log), x AS (SELECT * FROM phased UNION ALL BY NAME
-        SELECT * REPLACE ('all' AS phase) FROM phased),
+    return f"""WITH {LOG}, phased AS (SELECT * REPLACE ({tier} AS tier), CASE {named} END AS phase FROM log),
+    x AS (SELECT * FROM phased UNION ALL BY NAME SELECT * REPLACE ('all' AS phase) FROM phased
+        UNION ALL BY NAME SELECT * REPLACE ('popular' AS phase) FROM phased WHERE tier = 'tier0_popular'),
     r AS (SELECT phase, count(*) FILTER (tier = 'tier1_precomputed') / count(*) AS tier1_rate,
         count(*) FILTER (tier = 'tier2_rerank') / count(*) AS tier2_rate,
         count(*) FILTER (tier = 'tier3_inference') / count(*) AS tier3_rate,
         count(*) FILTER (tier = 'fallback_popular') / count(*) AS fallback_rate,
+        count(*) FILTER (duration_ms >= {late}) / count(*) AS timeout_rate,
         count(*) FILTER (error) / count(*) AS error_rate FROM x GROUP BY 1),
-    m AS (SELECT phase, metric, value FROM (UNPIVOT r ON tier1_rate, tier2_rate, tier3_rate, fallback_rate, error_rate
+    m AS (SELECT phase, metric, value FROM (UNPIVOT r ON tier1_rate, tier2_rate, tier3_rate, fallback_rate, error_rate, timeout_rate
         INTO NAME metric VALUE value)
       UNION ALL SELECT k, 'p' || round(p * 100)::INT, value FROM {_pct_sql('x', 'phase', (0.95, 0.99))}),
     t(phase, metric, op, bound) AS (VALUES {rows})
@@ -161,6 +163,24 @@ def tier_targets(spark, sf):
     return found.withColumn("value", F.round("value", 6))
 
 
+@query(_slo_sql(serving.RAMP_TARGETS, ((200, "1k"), (400, "10k"), (600, "50k"), (None, "100k"))))
+def ramp_targets(spark, sf):
+    """Targets of the load ramp, with stage bounds that suit the log's loads."""
+    steps = tuple(zip((200, 400, 600, None), (name for _, name in serving.RAMP_STAGES)))
+    found = serving.slo_report(t.serving_log(spark, sf), serving.RAMP_TARGETS, steps)
+    return found.withColumn("value", F.round("value", 6))
+
+
+_ENDPOINT = "CASE tier WHEN 'fallback_popular' THEN 'tier0_popular' ELSE tier END"
+
+
+@query(_slo_sql(serving.ENDPOINT_TARGETS, tier=_ENDPOINT, late=80.0))
+def endpoint_targets(spark, sf):
+    """Timeouts, and the popular endpoint, which a part of the log's requests stands for."""
+    log = t.serving_log(spark, sf).replace({"fallback_popular": serving.POPULAR_TIER}, subset=["tier"])
+    return serving.slo_report(log, serving.ENDPOINT_TARGETS, timeout_ms=80.0).withColumn("value", F.round("value", 6))
+
+
 _RULES = (
     serving.AlertRule("p99_ms", 60.0, 7200, "warning"),
     serving.AlertRule("error_rate", 0.2, 10_800, "critical"),
