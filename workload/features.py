@@ -216,10 +216,19 @@ def incremental_item_features(spark, sf):
     return _items_out(feat.item_features_from_counts(feat.merge_item_counts(old, new)))
 
 
-@query()
+@query(
+    f"""WITH {EV}, full_counts AS ({_item_sql('ev')})
+    SELECT item_id, click_count, purchase_count, ctr, true AS users_close FROM full_counts"""
+)
 def incremental_item_sketches(spark, sf):
+    """Item features from merged sketches; the distinct users must come within 5 % of the exact count."""
     old, new = (feat.item_sketches(half) for half in _halves(spark, sf))
-    return _items_out(feat.item_features_from_sketches(feat.merge_item_sketches(old, new)))
+    found = _items_out(feat.item_features_from_sketches(feat.merge_item_sketches(old, new)))
+    exact = feat.compute_item_features(t.events(spark, sf)).select("item_id", F.col("unique_users").alias("exact"))
+    close = F.abs(F.col("unique_users") - F.col("exact")) <= 0.05 * F.col("exact")
+    return found.join(exact, "item_id", "left").select(
+        "item_id", "click_count", "purchase_count", "ctr", F.coalesce(close, F.lit(False)).alias("users_close")
+    )
 
 
 @query(
