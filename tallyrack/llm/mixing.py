@@ -10,6 +10,7 @@ source's quota go to the sources that drew too few, so that each source ends at
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,8 +141,11 @@ def slots(plan: list[tuple[int, int, float]], spark, seed: int = SEED) -> DataFr
     over = kept.filter("n > own").select("shard", "sid", (F.col("n") - F.col("own")).alias("n"))
     # one row for each shard and source over quota
     over = over.withColumn("lo", F.coalesce(F.sum("n").over(run), F.lit(0))).withColumn("hi", F.col("lo") + F.col("n")).drop("sid", "n")
-    gap = spark.createDataFrame(gaps, "sid bigint, blocks bigint, first bigint, g_lo bigint, g_hi bigint")
-    moved = over.join(F.broadcast(gap), (F.col("lo") < F.col("g_hi")) & (F.col("hi") > F.col("g_lo"))).select(
+    # one entry for each source short of its quota: a literal that every row looks through
+    names = ("sid", "blocks", "first", "g_lo", "g_hi")
+    line = F.from_json(F.lit(json.dumps([dict(zip(names, map(int, g))) for g in gaps])), "array<struct<" + ",".join(f"{n}:bigint" for n in names) + ">>")
+    met = F.filter(line, lambda g: (F.col("lo") < g["g_hi"]) & (F.col("hi") > g["g_lo"]))
+    moved = over.select("shard", "lo", "hi", F.inline(met)).select(
         "shard", "sid", "blocks",
         (F.col("first") + F.greatest("lo", "g_lo") - F.col("g_lo")).alias("at"),
         (F.least("hi", "g_hi") - F.greatest("lo", "g_lo")).alias("own"),
