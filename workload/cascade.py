@@ -346,6 +346,53 @@ def _summary(vectors, key):
     return vectors.select(key, F.size("embedding").alias("dim"), F.round(total, 3).alias("squares"))
 
 
+def _followable(with_price: bool) -> models.Tower:
+    """Weights that SQL can follow: (x, category + price + 2 max(x, 0) + 1), x the first number of the id vector."""
+    n = models.ID_DIM
+    inner = np.zeros((n + 1 + with_price, 3))
+    inner[0, 0], inner[0, 1], inner[n:, 2] = 1, -1, 1
+    outer = np.array([[1.0, 2.0], [-1.0, 0.0], [0.0, 1.0]])
+    layers = models.Dense(inner, np.zeros(3), relu=True), models.Dense(outer, np.array([0.0, 1.0]))
+    price = models.Dense(np.array([[0.5]]), np.array([0.25])) if with_price else None
+    return models.Tower(layers, np.arange(64.0)[:, None], price)
+
+
+def _pair(vectors, key):
+    x, y = (F.round(F.col("embedding")[i].cast("double"), 5) for i in (0, 1))
+    return vectors.select(key, F.size("embedding").alias("dim"), x.alias("x"), y.alias("y"))
+
+
+@query(
+    f"""WITH {TRADES}, h AS (SELECT user_id, sum(DISTINCT p_size) AS total, count(DISTINCT p_size) AS n
+      FROM trades JOIN part ON item_id = p_partkey GROUP BY 1),
+    v AS (SELECT h.*, coalesce(embedding[1]::DOUBLE, 0) AS x FROM h LEFT JOIN embeddings ON vec_id = user_id)
+    SELECT user_id, 2 AS dim, round(x::FLOAT::DOUBLE, 5) + 0.0 AS x,
+      round((total / greatest(n, 5) + 2 * greatest(x, 0) + 1)::FLOAT::DOUBLE, 5) AS y FROM v"""
+)
+def tower_user_followed(spark, sf):
+    """User tower with weights that SQL can follow; short histories are padded with category 0."""
+    sizes = t.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").alias("category_idx"))
+    trades = t.trade_events(spark, sf).join(sizes, "item_id")
+    hists = trades.groupBy("user_id").agg(F.sort_array(F.collect_set("category_idx")).alias("category_hist"))
+    ready = models.with_id_vectors(hists, _id_vectors(spark, sf, "user_id"), "user_id")
+    return _pair(models.embed_users(ready, _followable(False)), "user_id")
+
+
+@query(
+    """WITH v AS (SELECT p_partkey AS item_id, p_size, p_retailprice, coalesce(embedding[1]::DOUBLE, 0) AS x
+      FROM part LEFT JOIN embeddings ON vec_id = p_partkey)
+    SELECT item_id, 2 AS dim, round(x::FLOAT::DOUBLE, 5) + 0.0 AS x,
+      round((p_size + (p_retailprice / 1000 * 0.5 + 0.25) + 2 * greatest(x, 0) + 1)::FLOAT::DOUBLE, 5) AS y FROM v"""
+)
+def tower_item_followed(spark, sf):
+    """Item tower with weights that SQL can follow."""
+    parts = t.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("item_id"), F.col("p_size").alias("category_idx"), (F.col("p_retailprice") / 1000).alias("price")
+    )
+    ready = models.with_id_vectors(parts, _id_vectors(spark, sf, "item_id"), "item_id")
+    return _pair(models.embed_items(ready, _followable(True)), "item_id")
+
+
 @query()
 def cross_network_scores(spark, sf):
     """Ranking model over every pair of buyer and bought part."""
