@@ -116,6 +116,36 @@ def read_commands(spark: SparkSession, out: str, names=("clicks", "sessions", "s
     return cmd.sequenced(rows)
 
 
+def fold_commands(
+    spark: SparkSession, out: str, state: str, checkpoint: str, as_of: Column | None = None, names=("clicks", "sessions", "stock")
+) -> DataFrame:
+    """Fold the commands written since the last call into the stored state, and return it.
+
+    The state is a folder of versions; each version is the one before with one batch of commands
+    applied, and without what has expired by ``as_of``. The commands are read as a stream, whose
+    checkpoint knows which files are folded; a batch that is repeated after a failure overwrites
+    its own version. So a reader opens one version instead of all commands ever written.
+    """
+    kind = spark.read.parquet(f"{out}/{names[0]}").schema
+    stream = None
+    for name in names:
+        part = spark.readStream.schema(kind).parquet(f"{out}/{name}")
+        stream = part if stream is None else stream.unionByName(part)
+
+    def fold(batch: DataFrame, number: int) -> None:
+        old = spark.read.parquet(f"{state}/version={number - 1}") if number else None
+        new, _ = cmd.apply_commands(cmd.sequenced(batch), old)
+        if as_of is not None:
+            new = new.where(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
+        new.write.mode("overwrite").parquet(f"{state}/version={number}")
+        spark.createDataFrame([(number,)], "number bigint").write.mode("append").parquet(f"{state}_versions")
+
+    running = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    newest = spark.read.parquet(f"{state}_versions").agg(F.max("number")).first()[0]
+    return spark.read.parquet(f"{state}/version={newest}")
+
+
 def stream_state(spark: SparkSession, out: str, as_of: Column | None = None) -> DataFrame:
     """State after the commands written so far."""
     state, _ = cmd.apply_commands(read_commands(spark, out))

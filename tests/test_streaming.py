@@ -152,7 +152,11 @@ def test_the_job_goes_on_after_a_restart(spark, tmp_path):
         source = {k: streams.stream_source(spark, "parquet", {"path": str(folder / k / "part*")}) for k in "ug"}
         for query in job.run_streams(spark, source["u"], source["g"], str(folder / "out"), str(folder / "cp"), offsets).values():
             query.awaitTermination()
-        return rows(job.stream_state(spark, str(folder / "out")), "key", "kind", "member", "value", "score")
+        columns = "key", "kind", "member", "value", "score", "expires_at"
+        stored = job.fold_commands(spark, str(folder / "out"), str(folder / "state"), str(folder / "fold"))
+        state = rows(job.stream_state(spark, str(folder / "out")), *columns)
+        assert rows(stored, *columns) == state  # folded step by step as well as all at once
+        return state
 
     whole, halves = tmp_path / "whole", tmp_path / "halves"
     for folder in (whole, halves):
