@@ -160,3 +160,42 @@ def test_popular_responses(spark, base):
     assert found == {"a": ("tier0_popular", 1), "b": ("tier0_popular", 2), "c": ("tier0_popular", 2)}
     empty = rec.popular_responses(requests, base["popular"].limit(0)).collect()
     assert [len(r["items"]) for r in empty] == [0, 0, 0]
+
+
+def test_a_model_over_whole_lists(spark, base):
+    users = spark.createDataFrame([("new", [1.0, 0.0]), ("odd", None)], "user_id string, embedding array<float>")
+    items = spark.createDataFrame([("pop1", [1.0, 9.0]), ("pop2", [3.0, 9.0]), ("other", [9.0, 9.0])], "item_id string, embedding array<float>")
+
+    def ranker(score):
+        return rec.ListRanker(users, items, 2, score)
+
+    dots = ranker(lambda u, v: (u * v).sum(axis=1))
+    asked = [("new", "", None, None), ("nobody", "", None, None), ("odd", "", None, None), ("user1", "", None, None), ("new", "", None, 3.0), ("new", "", "1", None)]
+    found = answer(spark, base, *asked, ranker=dots)
+    assert found[0] == ("tier3_inference", ["pop2", "pop1"], [3.0, 1.0])
+    assert found[1] == found[2] == ("tier3_inference", ["pop1", "pop2"], [0.0, 0.0])  # no vector: ties keep their order
+    assert found[3] == ("tier1_precomputed", ["item1", "item3"], [0.9, 0.7])
+    assert found[4][0] == "fallback_popular" and found[5] == ("tier3_inference", ["pop1"], [1.0])
+    failing = ranker(lambda u, v: (u * v).sum(axis=1) * float("nan"))
+    assert answer(spark, base, asked[0], ranker=failing) == [("fallback_popular", ["pop1", "pop2"], [100.0, 90.0])]
+    assert answer(spark, base, asked[0], ranker=dots, popular=base["popular"].limit(0)) == [("tier3_inference", [], [])]
+
+
+def test_no_candidate_becomes_a_row(spark, base):
+    users = spark.createDataFrame([("new", [1.0])], "user_id string, embedding array<float>")
+    ranker = rec.ListRanker(users, users.withColumnRenamed("user_id", "item_id"), 1, lambda u, v: u[:, 0])
+    requests = spark.createDataFrame([("r0", "new", "", None, None)], REQUESTS)
+    plan = rec.recommend(requests, ranker=ranker, **base)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_lists_and_sessions_end(spark, base):
+    ends = base["recs"].withColumn("expires_at", F.lit(at(100)))
+    asked = ("user1", "sess", None, None)
+
+    def tier(seconds):
+        return answer(spark, {**base, "recs": ends}, asked, as_of=F.lit(at(seconds)))[0]
+
+    assert tier(50) == answer(spark, base, asked)[0]
+    assert tier(100) == ("fallback_popular", ["pop1", "pop2"], [99.5, 90.0])
+    assert tier(4000)[2] == [100.0, 90.0]  # the session has ended and penalises nothing
