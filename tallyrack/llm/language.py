@@ -25,6 +25,8 @@ ORDER = 3
 #: Training rows of each language, at most (about: they are taken by hash).
 TRAIN_ROWS = 1000
 UNKNOWN = "und"
+#: Pairs of context and byte that a worker remembers, about.
+MOST_PAIRS = 1 << 21
 _PAD = b" " * ORDER
 
 
@@ -92,11 +94,13 @@ class Model:
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of every text under every language."""
         keys, offsets = _keys(data, offsets)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        new = self.keys[at] != keys
+        at, new = self._find(keys)
         if new.any():
+            if len(self.keys) > MOST_PAIRS:  # back to the pairs of the training texts
+                self.keys, self.costs = self.core
+                at, new = self._find(keys)
             self._learn(np.unique(keys[new]))
-            at = np.searchsorted(self.keys, keys)
+            at, _ = self._find(keys)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         full = np.flatnonzero(np.diff(offsets))
         if len(full):
@@ -104,15 +108,21 @@ class Model:
                 out[full, j] = np.add.reduceat(self.costs[:, j][at], offsets[full], dtype=np.float64)
         return out
 
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each pair stands among those known, and which are not known."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64), np.ones(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] != keys
+
     def _learn(self, keys: np.ndarray) -> None:
-        """Work out the lengths of pairs not met so far; a worker forgets them when they become many."""
-        costs = np.array([[t.bits(int(k)) for t in self.trees] for k in keys], dtype=np.float32)
-        keep = slice(None) if len(self.keys) < 1 << 21 else np.isin(self.keys, self.core)
-        order = np.argsort(all_keys := np.concatenate([self.keys[keep], keys]), kind="stable")
-        self.keys, self.costs = all_keys[order], np.concatenate([self.costs[keep], costs])[order]
+        """Work out the lengths of pairs not met so far."""
+        costs = np.array([[t.bits(int(k)) for t in self.trees] for k in keys], dtype=np.float32).reshape(len(keys), len(self.trees))
+        order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.costs = all_keys[order], np.concatenate([self.costs, costs])[order]
 
     def __post_init__(self) -> None:
-        self.core = self.keys
+        self.core = self.keys, self.costs
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
@@ -152,7 +162,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
         trees.append(tree)
     model = Model(languages, trees, np.zeros(0, np.uint32), np.zeros((0, len(languages)), np.float32))
     model._learn(np.unique(found["key"].to_numpy()).astype(np.uint32))
-    model.core = model.keys
+    model.core = model.keys, model.costs
     return model
 
 

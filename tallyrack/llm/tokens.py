@@ -15,7 +15,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyrack.llm.common import small_batches, strings, text_of
 

@@ -32,6 +32,3 @@ ODD = [
     (7, "é" * 3000 + " " + prose(3, 400_000)), (8, "x" * 3_000_000), (9, "…\x00\U0001f600 ok"), (10, "lamp"),
 ]
 
-
-def by_id(df, key: str = "doc_id") -> dict:
-    return {r[key]: r for r in df.collect()}

@@ -91,6 +91,9 @@ def test_nothing_to_learn_from(spark):
 
 def test_pairs_are_forgotten_when_they_become_many(spark, monkeypatch):
     _, model = trained(spark)
-    monkeypatch.setattr(language.np, "isin", np.isin)
-    before = model.lengths(np.frombuffer(b"qqxx1", np.uint8), np.array([0, 5]))
-    assert np.allclose(model.lengths(np.frombuffer(b"qqxx1", np.uint8), np.array([0, 5])), before)
+    texts = [b"qqxx1", b"qqxx1 new 77 pairs", b"qqxx1"]
+    wide = [model.lengths(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    core = len(model.core[0])
+    monkeypatch.setattr(language, "MOST_PAIRS", core)
+    again = [model.lengths(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in [*texts, b"zz9"]]
+    assert np.allclose(again[:3], wide) and core < len(model.keys) < core + 10  # only the last text's pairs are kept
