@@ -1,20 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word pairs as seeds find passages, Smith-Waterman alignment scores them.
 
 Words are runs between white space, in lower case. The benchmark is taken in blocks of a bounded
 number of words, and every block meets all documents:
 
-1. the corpus counts of the block's n-grams are taken over all documents (partly summed per task);
-2. of every ``WINDOW`` n-grams in a row of an item, the rarest in the corpus is a seed, so that any
-   ``GRAM + WINDOW - 1`` words in a row left unedited hold one;
-3. a document's seed hits give stretches of its words, and each stretch is aligned with the
-   hit's item, word by word, with gaps.
+1. the corpus counts of the block's word pairs are taken over all documents (partly summed per task);
+2. an item's pairs of neighbour words are seeds, but for some of its commonest (see ``seeds``); a text
+   holds a pair where the two words stand next to each other or with one word between them;
+3. a document's seed hits give stretches of its words, and each stretch with enough of an item's
+   seeds is aligned with it, word by word, with gaps.
 
-A stretch reaches as far around its hits as the item is long and half as far again, so an edited
-copy fits in it. Copies of an item anywhere in a text, and however many, are found.
+No alignment that counts is lost, for a share of 0.5 or more (``joints`` has the proof), and a stretch
+reaches as far around its hits as such an alignment can. Copies of an item anywhere in a text, and
+however many, are found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrack.llm.common import gram_hashes, runs, small_batches, strings, text_of, views, word_hashes
+from tallyrack.llm.common import _PLACES, gram_hashes, mix, runs, small_batches, strings, text_of, views, word_hashes
 
-GRAM = 3
+GRAM = 2
+#: So many seeds in a row are never all left out.
 WINDOW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of one block of benchmark items: the bound of what is broadcast (8 bytes a word and seed).
@@ -37,7 +40,7 @@ LEAST_WORDS = 8
 
 @dataclass
 class Block:
-    """Items of the benchmark: word hashes, and the n-grams with item and place, sorted by hash."""
+    """Items of the benchmark: word hashes, and the word pairs with item and place, sorted by hash."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -84,28 +87,42 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Block]:
         yield _block(held)
 
 
+def _grams(words: np.ndarray, shortest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(words from first to last, hashes by place): pairs of neighbours, pairs around a word, single words if sought."""
+    if shortest < GRAM:
+        yield 1, gram_hashes(words, 1)
+    yield 2, gram_hashes(words, GRAM)
+    if len(words) > 2:
+        yield 3, mix(words[:-2] * _PLACES[0] + words[2:] * _PLACES[1])
+
+
 def _hits(column: pa.Array, sought: np.ndarray, shortest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, its words, places of its n-grams that are in ``sought``, their hashes), for rows with any.
+    """(row, its words, places of its pairs that are in ``sought``, their hashes), once for each row with any.
 
-    ``shortest`` is the number of words in the smallest gram sought: items of fewer words than
-    ``GRAM`` are one gram as a whole.
+    ``sought`` is sorted. ``shortest`` is the number of words in the shortest item: an item of one
+    word is sought as that word.
     """
     data, offsets = views(strings(column, lower=True))
     bits = _bitmap(sought)
     for low, high in runs(offsets):
         words, at = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-        for n in range(min(shortest, GRAM), GRAM + 1):
-            grams = gram_hashes(words, n)
+        places, hashes = [], []
+        for n, grams in _grams(words, shortest):
             maybe = np.flatnonzero(bits[(grams >> np.uint64(64 - BITS)).astype(np.int64)])
-            maybe = maybe[np.isin(grams[maybe], sought)]
-            doc = np.searchsorted(at, maybe, "right") - 1
-            inside = maybe + n <= at[doc + 1] if len(maybe) else np.zeros(0, bool)
-            maybe, doc = maybe[inside], doc[inside]
-            if len(doc):
-                cut = np.flatnonzero(np.diff(doc)) + 1
-                for places in np.split(maybe, cut):
-                    d = int(np.searchsorted(at, places[0], "right") - 1)
-                    yield low + d, words[at[d] : at[d + 1]], places - at[d], grams[places]
+            held = grams[maybe]
+            real = sought[np.minimum(np.searchsorted(sought, held), len(sought) - 1)] == held
+            maybe, held = maybe[real], held[real]
+            inside = maybe + n <= at[np.searchsorted(at, maybe, "right")]
+            places.append(maybe[inside]), hashes.append(held[inside])
+        place, found = np.concatenate(places), np.concatenate(hashes)
+        if len(place):
+            order = np.argsort(place, kind="stable")
+            place, found = place[order], found[order]
+            doc = np.searchsorted(at, place, "right") - 1
+            cut = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                d = int(doc[a])
+                yield low + d, words[at[d] : at[d + 1]], place[a:b] - at[d], found[a:b]
 
 
 BITS = 22
@@ -118,7 +135,7 @@ def _bitmap(sought: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, block: Block) -> DataFrame:
-    """(gram, n): how often each n-gram of the block occurs in all documents."""
+    """(gram, n): how often each word pair of the block occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast((np.unique(block.grams), min(len(w) for w in block.words)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +151,41 @@ def gram_counts(docs: DataFrame, block: Block) -> DataFrame:
     return docs.select(text_of().alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def seeds(block: Block, counts: dict[int, int]) -> np.ndarray:
-    """Which of the block's n-grams are seeds: the rarest of every ``WINDOW`` in a row (ties: the first)."""
-    seed = np.zeros(len(block.grams), dtype=bool)
+def joints(size: int, share: float = SHARE) -> int:
+    """Pairs of neighbour words of an item of ``size`` words that every alignment that counts holds.
+
+    Let u of the L words be unmatched and the alignment cost E: 2 (L - u) - E >= 2 share L. Between
+    the L - u matched words are L - u - 1 joints. A joint keeps its pair unless it skips a word of
+    the item (u joints at most, which cost 1 or more) or has two or more words of the text too many
+    (which cost 2 or more). The most joints are lost at u = 2/3 (1 - share) L, each skipping one
+    word: u + u = 4/3 (1 - share) L.
+    """
+    return max(0, math.ceil(size - 1 - 4 / 3 * (1 - share) * size - 1e-9))
+
+
+def seeds(block: Block, counts: dict[int, int], share: float = SHARE) -> np.ndarray:
+    """Which of the block's word pairs are seeds.
+
+    Of the pairs of an item that any alignment holds at least (``joints``), up to half as many are left out,
+    the commonest in the corpus first; the others stay, so that an alignment keeps the other half.
+    """
+    seed = np.ones(len(block.grams), dtype=bool)
     order = np.lexsort((block.place, block.item))
     often = np.array([counts.get(int(g), 0) for g in block.grams[order].view(np.int64)])
     begin = np.flatnonzero(np.r_[True, np.diff(block.item[order]) > 0])
     for low, high in zip(begin, np.r_[begin[1:], len(order)]):
-        for k in range(low, max(low + 1, high - WINDOW + 1)):
-            seed[order[k + int(np.argmin(often[k : min(high, k + WINDOW)]))]] = True
+        spare = joints(len(block.words[block.item[order[low]]]), share) // 2
+        own = np.ones(high - low, dtype=bool)
+        for k in np.argsort(-often[low:high], kind="stable"):
+            if not spare:
+                break
+            own[k] = False
+            near = own[max(0, k - WINDOW + 1) : k + WINDOW]
+            if any(not near[j : j + WINDOW].any() for j in range(len(near) - WINDOW + 1)):
+                own[k] = True
+            else:
+                spare -= 1
+        seed[order[low:high]] = own
     return seed
 
 
@@ -208,16 +251,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least:
 def _of_block(spark: SparkSession, docs: DataFrame, block: Block, share: float, least: int) -> DataFrame:
     # as many rows as the block has distinct n-grams
     counts = {r["gram"]: r["n"] for r in gram_counts(docs, block).collect()}
-    seed = seeds(block, counts)
+    seed = seeds(block, counts, share)
     own = Block(block.ids, block.words, block.grams[seed], block.item[seed], block.place[seed])
-    shared = spark.sparkContext.broadcast((own, np.unique(own.grams), min(len(w) for w in own.words)))
+    left_out = np.bincount(block.item[~seed], minlength=len(block.ids))
+    need = np.array([max(1, joints(len(w), share) - n) for w, n in zip(block.words, left_out)])
+    shared = spark.sparkContext.broadcast((own, need, np.unique(own.grams), min(len(w) for w in own.words)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, sought, shortest = shared.value
+        bench, need, sought, shortest = shared.value
         for batch in batches:
             ids, rows = batch.column("doc_id"), []
             for row, words, places, grams in _hits(batch.column("text"), sought, shortest):
-                for item, low, high in _stretches(bench, places, grams, len(words)):
+                for item, low, high in _stretches(bench, need, places, grams, len(words), share):
                     goal = MATCH * len(bench.words[item])
                     if MATCH * np.isin(bench.words[item], words[low:high]).sum() < share * goal:
                         continue  # no alignment can score enough
@@ -234,24 +279,31 @@ def _of_block(spark: SparkSession, docs: DataFrame, block: Block, share: float,
     return docs.mapInArrow(find, schema)
 
 
-def _stretches(bench: Block, places: np.ndarray, grams: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
-    """(item, first, last) word ranges around a document's hits; ranges of one item that overlap become one."""
+def _stretches(bench: Block, need: np.ndarray, places: np.ndarray, grams: np.ndarray, size: int, share: float) -> Iterator[tuple[int, int, int]]:
+    """(item, first, last) word ranges around a document's hits; ranges of one item that overlap become one.
+
+    Ranges with hits of fewer seeds than the item's ``need`` are left out.
+    """
     low = np.searchsorted(bench.grams, grams, "left")
     times = np.searchsorted(bench.grams, grams, "right") - low
     entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     at, item, place = np.repeat(places, times), bench.item[entry], bench.place[entry]
-    length = np.array([len(w) for w in bench.words])[item]
-    first = np.maximum(0, at - place - length // 2 - GRAM)
-    last = np.minimum(size, at - place + length + length // 2 + GRAM)
+    kinds, which = np.unique(item, return_inverse=True)
+    some = (np.bincount(np.unique(which * (int(place.max()) + 1) + place) // (int(place.max()) + 1), minlength=len(kinds)) >= need[kinds])[which]
+    at, item, place = at[some], item[some], place[some]
+    if not len(at):
+        return
+    length = np.array([len(bench.words[i]) for i in item])
+    # words of the text that an alignment of the least score can have too many
+    reach = np.ceil(MATCH * (1 - share) * length).astype(np.int64)
+    first = np.maximum(0, at - place - reach)
+    last = np.minimum(size, at - place + length + reach)
     order = np.lexsort((first, item))
-    now = None
-    for k in order:
-        a, b, c = int(item[k]), int(first[k]), int(last[k])
-        if now and now[0] == a and b <= now[2]:
-            now = (a, now[1], max(now[2], c))
-        else:
-            if now:
-                yield now
-            now = (a, b, c)
-    if now:
-        yield now
+    item, place, first, last = item[order], place[order], first[order], last[order]
+    # ranges side by side, one item after the other
+    base = item * (size + 1)
+    far = np.maximum.accumulate(base + last)
+    begin = np.flatnonzero(np.r_[True, base[1:] + first[1:] > far[:-1]])
+    for a, b in zip(begin, np.r_[begin[1:], len(item)]):
+        if len(np.unique(place[a:b])) >= need[item[a]]:
+            yield int(item[a]), int(first[a]), int(last[a:b].max())

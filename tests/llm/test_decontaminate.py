@@ -109,3 +109,22 @@ def test_every_run_of_words_holds_a_seed():
     places = set(block.place[seed].tolist())
     assert all(places & set(range(k, k + decontaminate.WINDOW)) for k in range(38 - decontaminate.WINDOW + 1))
     assert len(places) < 38
+
+
+def test_copies_edited_all_over_are_found(spark):
+    """One word in three to six replaced, dropped or followed by another, also where exact copies make the intact grams common."""
+    rng = random.Random(8)
+    items = [(i, prose(3000 + i, rng.randrange(15, 40))) for i in range(30)]
+    docs = []
+    for _, text in items:
+        for step in (3, 4, 5, 6):
+            for kind in ("change", "drop", "add"):
+                words = text.split()
+                for k in range(len(words) - step + rng.randrange(step), -1, -step):
+                    words[k : k + 1] = {"change": ["other"], "drop": [], "add": [words[k], "added"]}[kind]
+                docs.append((len(docs), f"{prose(rng.randrange(9999), 30)} {' '.join(words)} {prose(rng.randrange(9999), 30)}"))
+        docs.append((len(docs), " added ".join(text.split())))
+    docs += [(len(docs) + i, text) for i, (_, text) in enumerate(items[:15])]
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(documents(spark, docs), bench(spark, items)).collect()}
+    wanted = brute(docs, items)
+    assert found == wanted and len(wanted) > 350
