@@ -33,7 +33,7 @@ WINDOW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of one block of benchmark items: the bound of what is broadcast (8 bytes a word and seed).
 BLOCK_WORDS = 1 << 20
-#: Share of an item's best possible score that makes a document contaminated, and words aligned at least.
+#: Share of an item's best possible score that makes a document contaminated, and words of an item that may be edited at all.
 SHARE = 0.5
 LEAST_WORDS = 8
 
@@ -228,9 +228,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least:
 
     A row tells the best alignment of the pair: ``share`` is its score over the item's best
     possible one, the words of the text are counted from 0 and the end is exclusive. A pair
-    counts if its share is ``share`` or more and at least ``least`` words match; an item of fewer words
-    counts only where it is the whole text, as it says too little elsewhere. Null and empty texts match nothing; rows with a null doc_id are left out; of
-    rows that repeat a doc_id, the pair's best alignment counts. An empty benchmark gives no rows.
+    counts if its share is ``share`` or more; an item of fewer than ``least`` words counts where it
+    stands word for word, anywhere in the text, and one of a single word only as the whole text.
+    Null and empty texts match nothing; rows with a null doc_id are left out; of rows that repeat a
+    doc_id, the pair's best alignment counts. An empty benchmark gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -268,7 +269,7 @@ def _of_block(spark: SparkSession, docs: DataFrame, block: Block, share: float,
                         continue  # no alignment can score enough
                     score, matched, first, last = align(bench.words[item], words[low:high])
                     short = len(bench.words[item]) < least
-                    if score >= share * goal and (len(words) == matched == len(bench.words[item]) if short else matched >= least):
+                    if score >= share * goal and (not short or score == goal and (goal > MATCH or len(words) == 1)):
                         rows.append((ids[row].as_py(), bench.ids[item], score, score / goal, matched, low + first, low + last))
             yield pa.record_batch(
                 [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 3)],

@@ -128,3 +128,15 @@ def test_copies_edited_all_over_are_found(spark):
     found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(documents(spark, docs), bench(spark, items)).collect()}
     wanted = brute(docs, items)
     assert found == wanted and len(wanted) > 350
+
+
+def test_short_items_inside_longer_texts(spark):
+    items = [(i, prose(4000 + i, n)) for i, n in enumerate([2, 3, 5, 7, 8, 9, 10])]
+    words = [t.split() for _, t in items]
+    around = lambda i, text: (i, f"{prose(100 + i, 30)} {' '.join(text)} {prose(200 + i, 30)}")
+    docs = [around(i, w) for i, w in enumerate(words)]
+    docs += [around(10, [*words[4][:3], "other", *words[4][4:]]), around(11, [*words[5][:2], "other", *words[5][3:6], "other", *words[5][7:]])]
+    docs += [around(12, [*words[6][:2], "other", *words[6][3:5], "other", *words[6][6:8], "other", *words[6][9:]])]
+    docs += [around(20, [*words[3][:3], "other", *words[3][4:]]), around(21, [*words[2][:2], "added", *words[2][2:]]), around(22, words[1][:2])]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(documents(spark, docs), bench(spark, items)).collect()}
+    assert found == {(i, i) for i in range(7)} | {(10, 4), (11, 5), (12, 6)}
