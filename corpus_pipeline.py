@@ -1,8 +1,9 @@
 """The corpus pipeline: language, near copies, benchmark leaks, secrets, mixture.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows it keeps with the columns they had;
-the last one returns the mix's accounts. Rows with a null doc_id pass the stages that compare
-documents. Columns beyond those of ``documents`` pass through, whatever their names.
+the last one returns the mix's accounts. The stages that compare documents judge every row by a
+key of its own, so rows with a null or repeated doc_id are judged like others. Columns beyond those of
+``documents`` pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +27,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") < 8)).select("doc.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc): every row with a key of its own as doc_id, written so that it never changes."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return written(docs.select(F.monotonically_increasing_id().alias("doc_id"), row)).select("doc_id", F.col("doc.text").alias("text"), "doc")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the smallest doc_id."""
-    gone = ngram_join.ngram_join(docs).filter("doc_id <> group_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near copies keep one row, the smallest doc_id (nulls last). Texts without a word are copies of nothing."""
+    rows = _keyed(docs)
+    order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), F.col("doc_id").alias("key")).alias("place")
+    # written, as are the few groups of more than one row: a join with a written table can be split where a group is large
+    placed = written(ngram_join.ngram_join(rows.select("doc_id", "text")).select("doc_id", "group_id").join(rows.select("doc_id", order), "doc_id"))
+    groups = placed.groupBy("group_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = placed.join(written(groups.select("group_id", "first.key")), "group_id").filter("doc_id <> key").select("doc_id")
+    return rows.join(gone, "doc_id", "left_anti").select("doc.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item or an edited copy of one."""
-    gone = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _keyed(docs)
+    gone = decontaminate.matches(rows.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return rows.join(gone, "doc_id", "left_anti").select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,25 @@ def test_stages_keep_the_columns_and_take_effect(spark, corpus):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_rows_with_null_and_repeated_ids_are_judged(spark, tmp_path):
+    texts = [prose(100 + i, 80) for i in range(8)]
+    leak = f"{prose(1, 40)} {ITEMS[0][1]} {prose(2, 40)}"
+    rows = [(None, texts[0]), (None, texts[0] + " more"), (1, texts[0])]  # near copies with and without an id
+    rows += [(2, texts[1])] * 3 + [(None, texts[2])] * 2  # identical rows
+    rows += [(3, texts[3]), (3, texts[4]), (4, texts[3]), (5, texts[4])]  # one id for two texts, each with a copy
+    rows += [(None, leak), (6, texts[5]), (6, leak + " more"), (7, None), (None, texts[6])]
+    docs = documents(spark, rows)
+    near = corpus_pipeline.near_copies(spark, docs, str(tmp_path))
+    kept = [(r["doc_id"], r["text"]) for r in near.collect()]
+    ids = [(1, texts[0]), (2, texts[1]), (None, texts[2]), (3, texts[3]), (3, texts[4]), (6, texts[5]), (7, None), (None, texts[6])]
+    assert near.columns == docs.columns
+    assert sorted(map(str, kept)) == sorted(map(str, [*ids, (6, leak + " more")]))
+    spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path))
+    left = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    assert sorted(map(str, left)) == sorted(str(x) for x in rows if not (x[1] or "").startswith(leak))
+
+
 def test_empty_table(spark, corpus, tmp_path):
     _, folder = corpus
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
