@@ -109,12 +109,26 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[float]:
     return out
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a space for every character of the spans; these are ASCII, so that all offsets stay."""
+    data = text.cast("binary")
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.substring(data, acc["at"] + 1, s["byte"] - acc["at"]).cast("string")
+        blank = F.repeat(F.lit(" "), s["byte_end"] - F.greatest(acc["at"], s["byte"]))
+        return F.struct(F.greatest(acc["at"], s["byte_end"]).alias("at"), F.concat(acc["out"], F.array(piece, blank)).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    rest = lambda acc: F.substring(data, acc["at"] + 1, F.octet_length(text)).cast("string")
+    return F.when(F.size(spans) > 0, F.aggregate(spans, first, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(rest(acc))), ""))).otherwise(text)
+
+
 def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """Every row with ``spans``: array of (start, rank, end, value, byte, byte_end), by start, then kind.
 
     Kinds are ``KINDS[rank]``. A random span is a run of 16 or more token characters whose score
-    passes both thresholds and that overlaps no span of a fixed kind. A null text counts as empty
-    and has no spans. A column named ``spans`` is replaced.
+    passes both thresholds; spans of a fixed kind are no part of a run, what stands before and after
+    them is judged on its own. A null text counts as empty and has no spans. A column named ``spans`` is replaced.
     """
     # one literal, folded once; a lookup is an array access
     model = F.from_json(F.lit("[" + ",".join(map(repr, ratios)) + "]"), "array<double>")
@@ -132,9 +146,9 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
         return bits(word) >= F.greatest(F.lit(BITS), F.lit(BITS_EACH) * (F.length(word) - 1))
 
     text = text_of()
-    base = docs.drop("spans").withColumn("_base", base_spans(text)).withColumn("_random", _found(text, TOKEN, 3, random))
-    free = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return base.withColumn("spans", F.array_sort(F.concat("_base", free))).drop("_base", "_random")
+    base = docs.drop("spans").withColumn("_base", F.array_sort(base_spans(text))).withColumn("_random", _blanked(text, F.col("_base")))
+    found = base.withColumn("_random", _found(F.col("_random"), TOKEN, 3, random))
+    return found.withColumn("spans", F.array_sort(F.concat("_base", "_random"))).drop("_base", "_random")
 
 
 def listed(spans: Column) -> Column:

@@ -92,3 +92,20 @@ def test_plan_has_no_python(spark, capsys):
     secret_scan.scan(documents(spark, corpus(3)), [0.5] * 16384).explain()
     plan = capsys.readouterr().out
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_secrets_joined_to_a_fixed_kind_are_found(spark):
+    rng = random.Random(12)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    other = "".join(rng.choice(mixed) for _ in range(40))
+    access, digits = "AKIA" + "Q7XK2M5ZW3BN6TJ4", "".join(rng.choice(HEX) for _ in range(24))
+    texts = [f"é {access}/{other} end", f"{digits}-{other} end", f"\U0001f600 {other}_{digits}_{other}", f"{access}/unmistakablylongidentifiers end"]
+    model = secret_scan.train(documents(spark, corpus()))
+    found = secret_scan.scan(documents(spark, list(enumerate(texts))), model)
+    rows = found.select("doc_id", "text", "spans", secret_scan.redact(F.col("text"), F.col("spans")).alias("clean")).collect()
+    assert all(other not in r["clean"] and r["clean"].replace("<secret>", "").strip("é \U0001f600end") == "" for r in rows if r["doc_id"] < 3)
+    for r in rows:
+        kinds = [s["rank"] for s in r["spans"]]
+        assert kinds == [[1, 3], [2, 3], [3, 2, 3], [1]][r["doc_id"]]
+        raw = r["text"].encode()
+        assert all(r["text"][s["start"] : s["end"]] == s["value"] == raw[s["byte"] : s["byte_end"]].decode() for s in r["spans"])
