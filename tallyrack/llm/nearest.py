@@ -89,13 +89,13 @@ class KDTree:
                 continue
             scores = self.points[node.rows] @ query
             fit = scores >= max(floor, best[0][0] if len(best) == k else floor)
+            if own is not None:
+                fit &= self.ids[node.rows] != own
             found, ids = scores[fit], self.ids[node.rows[fit]]
-            if len(found) > k + 1:
-                top = np.lexsort((ids, -found))[: k + 1]
+            if len(found) > k:
+                top = np.lexsort((ids, -found))[:k]
                 found, ids = found[top], ids[top]
             for score, i in zip(found.tolist(), ids.tolist()):
-                if i == own:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, (score, -i))
                 elif (score, -i) > best[0]:

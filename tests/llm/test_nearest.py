@@ -81,3 +81,12 @@ def test_repeated_rows(spark):
     df = table(spark, *zip(*rows))
     got = sorted(map(tuple, nearest.top_k(df, df.filter("vec_id = 0")).collect()))
     assert got == [(0, 1, 1, 2), (0, 2, 1, 2), (0, 3, 2, 1)]
+
+
+def test_a_query_that_repeats_takes_no_neighbour_away():
+    ids = np.array([7] * 4 + list(range(20, 32)))
+    points = np.array([[9.0, 9.0]] * 4 + [[float(i % 6), 1.0] for i in range(12)])
+    tree, query = nearest.KDTree(ids, points), points[0]
+    best = sorted(((-float(p @ query), int(i)) for i, p in zip(ids, points) if i != 7))[:5]
+    found = tree.search(query, 7, 5, -np.inf, tree.bounds(query[None, :])[0])
+    assert sorted((-s, i) for s, i in found) == best
