@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrack.llm import chat, decontaminate, language, mixing, nearest, ngram_join, pages, quality, secret_scan, tokens
+from tallyrack.llm import chat, decontaminate, language, mixing, nearest, ngram_join, pages, pieces, quality, secret_scan, tokens
 from tallyrack.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(nearest.usable(F.col("embedding")))
     vectors = rows.select("vec_id", nearest.quantized(F.col("embedding")).alias("v"))
     return nearest.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query()
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"), ["doc_id"])

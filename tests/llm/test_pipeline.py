@@ -95,5 +95,5 @@ def test_the_rest_imports_without_the_operators(tmp_path):
     shutil.copytree(ROOT, copy, ignore=lambda d, names: [n for n in names if n in (".git", "llm", "corpus_pipeline.py", "__pycache__")])
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
-    code = "import __spark_entry__ as e; assert {'pipeline', *e.queries()} == {*e.queries()} and sum(n.startswith('op') for n in e.queries()) == 10"
+    code = "import __spark_entry__ as e; assert {'pipeline', *e.queries()} == {*e.queries()} and sum(n.startswith('op') for n in e.queries()) == 13"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={**os.environ, "PYTHONPATH": str(ROOT)})
