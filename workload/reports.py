@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrack.operators import features as feat
-from tallyrack.operators import serving
+from tallyrack.operators import serving, sketches
 from tallyrack.operators.quality import Rule, drift, quality
 from tallyrack.plans.report import serving_report
+from tallyrack.sources.events import write_partition
 from workload import tables as t
-from workload.registry import EV, LOG, SQL, micros, query
+from workload.registry import EV, LOG, SQL, TRADES, micros, query
 
 SPLIT = f"TIMESTAMP '{t.SPLIT}'"
 
@@ -265,3 +266,101 @@ def serving_report_values(spark, sf):
     ]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.withColumn("value", F.round("value", 6))
+
+
+# Stored sketches -------------------------------------------------------------
+
+_TIERED = "CASE WHEN tier = '' THEN 'unknown' ELSE tier END"
+
+
+def _sketched_days(spark, sf):
+    """One sketch per day and tier, stored by date and read back."""
+    path = t.scratch(spark, "latency-days")
+    write_partition(sketches.latency_day(t.serving_log(spark, sf)), path, ["date"])
+    return spark.read.parquet(path)
+
+
+def _tiered_log(spark, sf):
+    log = t.serving_log(spark, sf).withColumn("date", F.to_date("ts"))
+    return log.withColumn("tier", F.when(F.col("tier") == "", "unknown").otherwise(F.col("tier")))
+
+
+_POINTS = (0.01, 0.5, 0.95, 0.99)
+_ASKED_POINTS = f"(SELECT unnest({list(_POINTS)}::DOUBLE[]) AS p)"
+
+
+@query(
+    f"""WITH {LOG}, days AS (SELECT ts::DATE::VARCHAR AS date, {_TIERED} AS tier, count(duration_ms) AS rows FROM log GROUP BY ALL),
+    spans AS (FROM days UNION ALL SELECT 'all', tier, sum(rows)::BIGINT FROM days GROUP BY tier)
+    SELECT date, tier, p, rows, true AS within FROM spans, {_ASKED_POINTS}"""
+)
+def latency_sketches(spark, sf):
+    """Percentiles of every day, and of all days, from stored sketches: is each answer's true rank near enough?"""
+    stored = _sketched_days(spark, sf)
+    log = _tiered_log(spark, sf)
+    by_day = sketches.rank_errors(log, "duration_ms", sketches.quantiles(stored, _POINTS, ["date", "tier"]), ["date", "tier"])
+    merged = sketches.merged(stored, ["tier"])
+    in_all = sketches.rank_errors(log, "duration_ms", sketches.quantiles(merged, _POINTS, ["tier"]), ["tier"])
+    both = by_day.withColumn("date", F.col("date").cast("string")).unionByName(in_all.withColumn("date", F.lit("all")))
+    return both.select("date", "tier", "p", "rows", (F.col("error") <= sketches.rank_bound()).alias("within"))
+
+
+@query(
+    f"""WITH {LOG} SELECT {_TIERED} AS tier, count(*) AS requests, count(*) FILTER (error) AS errors,
+      round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS requests_per_second,
+      round(count(*) FILTER (error) / count(*) * 100, 6) AS error_percent, max(duration_ms) AS max_ms, true AS in_order
+    FROM log GROUP BY 1"""
+)
+def latency_report_sketched(spark, sf):
+    """The latency report of all days per tier; no log row is read for it."""
+    report = sketches.latency_from_sketches(_sketched_days(spark, sf), ["tier"])
+    in_order = (F.col("p50_ms") <= F.col("p95_ms")) & (F.col("p95_ms") <= F.col("p99_ms")) & (F.col("p99_ms") <= F.col("max_ms"))
+    return report.select(
+        "tier", "requests", "errors", F.round("requests_per_second", 6).alias("requests_per_second"),
+        F.round("error_percent", 6).alias("error_percent"), "max_ms", in_order.alias("in_order"),
+    )
+
+
+_HALF = """SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views,
+  count(*) AS n FROM trades WHERE ts {} TIMESTAMP '1995-06-01' GROUP BY 1"""
+
+
+@query(
+    f"""WITH {TRADES}, a AS ({_HALF.format('<')}), b AS ({_HALF.format('>=')})
+    SELECT c AS column, p, (SELECT count(*) FROM a) AS rows_before, (SELECT count(*) FROM b) AS rows_after,
+      true AS before_within, true AS after_within, true AS shift_within
+    FROM (SELECT unnest(['total_clicks', 'total_views', 'total_events']) AS c), (SELECT unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS p)"""
+)
+def drift_sketched(spark, sf):
+    """Drift of user features between two periods, from one stored sketch per column and period."""
+    trades = t.with_category(t.trade_events(spark, sf), spark, sf)
+    columns = ["total_clicks", "total_views", "total_events"]
+    border = F.lit("1995-06-01").cast("timestamp")
+    parts = {
+        "before": feat.compute_user_features(trades.where(F.col("ts") < border)),
+        "after": feat.compute_user_features(trades.where(F.col("ts") >= border)),
+    }
+    path = t.scratch(spark, "feature-days")
+    for name, features in parts.items():
+        day = sketches.feature_day(features, columns, F.lit("1995-05-31" if name == "before" else "1995-06-01").cast("date"))
+        write_partition(day, path, ["date"])
+    stored = spark.read.parquet(path)
+    days = {"before": stored.where("date = '1995-05-31'"), "after": stored.where("date = '1995-06-01'")}
+    found = sketches.drift_of(days["before"], days["after"])
+    bound = sketches.rank_bound()
+    checked = found.select("column", "p", "before", "shift")
+    for name, features in parts.items():
+        rows = features.select(*columns).unpivot([], columns, "column", "v")
+        errors = sketches.rank_errors(rows, "v", found.select("column", "p", F.col(name).alias("value")), ["column"])
+        checked = checked.join(
+            errors.select("column", "p", F.col("rows").alias(f"rows_{name}"), (F.col("error") <= bound).alias(f"{name}_within")), ["column", "p"]
+        )
+    # the share of new values up to each old percentile, counted
+    new = parts["after"].select(*columns).unpivot([], columns, "column", "v")
+    true_rank = new.join(F.broadcast(found.select("column", "p", "before")), "column").groupBy("column", "p").agg(
+        (F.count_if(F.col("v") <= F.col("before")) / F.count("*")).alias("true_rank")
+    )
+    return checked.join(true_rank, ["column", "p"]).select(
+        "column", "p", "rows_before", "rows_after", "before_within", "after_within",
+        (F.abs(F.col("shift") + F.col("p") - F.col("true_rank")) <= bound + 1 / len(sketches.GRID)).alias("shift_within"),
+    )
