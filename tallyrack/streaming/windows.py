@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrack.functions.rules import is_click
+from tallyrack.streaming.stateful import pane_sums
 
 HOUR, DAY = 3600, 86_400
 CLICKS_TTL = 3660
@@ -23,21 +24,15 @@ def sliding_sums(
     """Counts of each condition per ``key`` and window ``[window_start, window_end)``.
 
     Every key with any event in a window has a row. On a stream, closed windows are final and
-    later events do not change them. A batch first folds events into one row per key and
+    later events do not change them; a key's panes are its state (``stateful.pane_sums``), which needs
+    RocksDB (``job.use_rocksdb``). A batch first folds events into one row per key and
     slide, then spreads these rows over ``size / slide`` windows without another shuffle: the
     rows are already placed by key, and a busy key has one row per slide at most.
     """
     if size % slide:
         raise ValueError("size must be a multiple of slide")
     if events.isStreaming:
-        w = F.window("ts", f"{size} seconds", f"{slide} seconds").alias("w")
-        counted = watermarked(events, delay).groupBy(key, w)
-        return counted.agg(*[F.count_if(c).alias(n) for n, c in measures.items()]).select(
-            key,
-            F.col("w.start").alias("window_start"),
-            F.col("w.end").alias("window_end"),
-            *measures,
-        )
+        return pane_sums(events, key, measures, size, slide, delay)
     slot = F.floor(F.unix_micros("ts") / (slide * 1_000_000))
     slots = events.groupBy(key, slot.alias("slot")).agg(
         *[F.count_if(c).alias(n) for n, c in measures.items()]

@@ -14,7 +14,7 @@ from tallyrack.session import cut_lineage
 from tallyrack.sources import commands as cmd
 from tallyrack.sources import events as lake
 from tallyrack.sources.cache import from_cache
-from tallyrack.streaming import job, windows
+from tallyrack.streaming import job, stateful, windows
 from workload import tables as t
 from workload.registry import EV, INV, joined, micros, query
 
@@ -91,6 +91,18 @@ def clicks_1h_stream(spark, sf):
     return found.select("user_id", micros("window_end", "end_us"), "clicks")
 
 
+@query(
+    f"""WITH {EV}, {VIEWS} SELECT user_id, end_us, views FROM wins
+    WHERE end_us <= (SELECT (max(epoch_us(ts)) // 1000 - 5000) * 1000 FROM ev)"""
+)
+def views_1d_stream(spark, sf):
+    """Daily views every hour; panes are folded in an aggregation before the keyed state of the same query."""
+    job.use_rocksdb(spark)
+    measures = {"views": F.col("event_type") == "view"}
+    found = _run(spark, stateful.pane_sums(t.event_stream(spark, sf), "user_id", measures, windows.DAY, windows.HOUR, windows.DELAY, True), "views-stream")
+    return found.select("user_id", micros("window_end", "end_us"), "views")
+
+
 @query(f"WITH {EV} SELECT event_id, user_id, event_type FROM ev")
 def events_dedup_stream(spark, sf):
     """Every event arrives twice and is kept once."""
@@ -164,6 +176,29 @@ def session_buffer(spark, sf):
     return held.select("event_id", "session_id", micros("expires_at", "expires_us"))
 
 
+@query(
+    f"""WITH {EV}, {_BUFFER}, mark AS (SELECT (max(epoch_us(ts)) // 1000 - 5000) * 1000 AS us FROM ev),
+    held AS (SELECT ev.*, expires_at, row_number() OVER (PARTITION BY ev.session_id ORDER BY ts DESC, event_id DESC) AS rank
+      FROM ev JOIN lives ON ev.session_id = lives.session_id AND ts >= alive_from),
+    feats AS (SELECT session_id, epoch_us(any_value(expires_at)) AS expires_us,
+        string_agg(DISTINCT item_id, ',' ORDER BY item_id) FILTER (event_type = 'click') AS clicked,
+        string_agg(DISTINCT item_id, ',' ORDER BY item_id) FILTER (event_type = 'view') AS viewed, count(*)::INT AS n
+      FROM held WHERE rank <= 50 GROUP BY 1),
+    ended AS (SELECT *, expires_us <= (SELECT us FROM mark) AS expired FROM feats)
+    SELECT session_id, CASE WHEN expired THEN '' ELSE coalesce(clicked, '') END AS clicked,
+      CASE WHEN expired THEN '' ELSE coalesce(viewed, '') END AS viewed,
+      CASE WHEN expired THEN 0 ELSE n END AS session_length, expires_us, expired FROM ended"""
+)
+def session_tail_stream(spark, sf):
+    """Session features kept by a stream, and the sessions whose state went when they expired."""
+    job.use_rocksdb(spark)
+    found = stateful.latest_tail(_run(spark, stateful.session_tail(t.event_stream(spark, sf), windows.DELAY), "session-tail"))
+    return found.select(
+        "session_id", joined(F.col("clicked")).alias("clicked"), joined(F.col("viewed")).alias("viewed"), "session_length",
+        micros("expires_at", "expires_us"), "expired",
+    )
+
+
 @query(
     f"""WITH {EV} SELECT user_id, string_agg(item_id, ',' ORDER BY rank) AS items FROM (SELECT *, row_number() OVER
       (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM ev) WHERE rank <= 50 GROUP BY 1"""
