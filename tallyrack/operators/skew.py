@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyrack.session import cut_lineage
+
 #: Rows of one key that one task may take before the key is split.
 HOT_ROWS = 1_000_000
 #: Fewer keys than this are split: a key must also hold more than this part of all rows.
@@ -41,7 +43,8 @@ def salted_join(
 ) -> DataFrame:
     """Equi join on ``key`` with hot keys of ``left`` spread over several tasks.
 
-    ``right`` repeats only the rows of split keys, so it should hold few rows per key. Left
+    Those of ``hot_from`` are counted when the join is built, and written; a table of ``hot_rows`` rows or fewer
+    needs no counting. ``right`` repeats only the rows of split keys, so it should hold few rows per key. Left
     rows without a key match nothing and are spread by their content. The keys are counted on
     ``hot_from``, by default ``left``: give the table ``left`` was derived from, to count a
     plain scan instead of computing ``left`` twice.
@@ -51,13 +54,20 @@ def salted_join(
     """
     if left.columns == [key]:
         return _counted_join(left, right, key, how, hot_rows)
-    source = left if hot_from is None else hot_from
-    hot = F.broadcast(hot_keys(source, key, hot_rows))  # bounded by HOT_KEYS
     content = F.xxhash64(*(_plain_columns(left, key) or left.columns))
     # a null key meets nothing, so any number will do as its salt
+    spread_null = F.when(F.col(key).isNull(), content)
+    # as many rows as one task may take, or fewer: no key can be hot
+    if hot_from is not None and hot_from.count() <= hot_rows:
+        zero = F.lit(0).cast("bigint")
+        alone = left.withColumn("salt", spread_null.otherwise(zero))
+        return alone.join(right.withColumn("salt", zero), [key, "salt"], how).drop("salt")
+    hot = hot_keys(left if hot_from is None else hot_from, key, hot_rows)
+    if hot_from is not None:
+        hot = cut_lineage(hot)  # counted once, although both sides and every reader look at it
+    hot = F.broadcast(hot)  # bounded by HOT_KEYS
     salt = (
-        F.when(F.col(key).isNull(), content)
-        .when(F.col("parts").isNotNull(), F.pmod(content, F.col("parts")))
+        spread_null.when(F.col("parts").isNotNull(), F.pmod(content, F.col("parts")))
         .otherwise(F.lit(0))
         .cast("bigint")
     )

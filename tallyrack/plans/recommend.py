@@ -126,6 +126,8 @@ def recommend(
     passed and sessions that have ended by then are gone.
     """
     asked = _prepared(requests)
+    # MAX_LIMIT rows, which several steps read
+    popular = requests.sparkSession.createDataFrame(popular.where(F.col("rank") <= MAX_LIMIT).collect(), popular.schema)
     if as_of is not None and "expires_at" in recs.columns:
         recs = expire(recs, as_of)
     users = asked.where(F.col("load_level") != "emergency").select("user_id").distinct()
@@ -176,17 +178,17 @@ def recommend(
     if ranker is None:
         return answered.drop("wants_model")
     if isinstance(ranker, ListRanker):
-        return _ranked_in_lists(answered, popular, ranker, hot_rows)
+        return _ranked_in_lists(answered, popular, ranker, hot_rows, asked.select(F.col("user_id").alias("_user")))
     # written out once: the model branch reads its rows several times
     answered = cut_lineage(answered)
     ranked = _ranked(answered.where("wants_model").drop("wants_model"), ranker, kept)
     return answered.where(~F.col("wants_model")).drop("wants_model").unionByName(ranked)
 
 
-def _ranked_in_lists(answered: DataFrame, popular: DataFrame, ranker: ListRanker, hot_rows: int) -> DataFrame:
+def _ranked_in_lists(answered: DataFrame, popular: DataFrame, ranker: ListRanker, hot_rows: int, users: DataFrame) -> DataFrame:
     """Lists of the requests that want the model, in its order; the other rows pass unchanged.
 
-    A model's candidates all come from the popular list, so the item vectors are MAX_LIMIT at most
+    ``users`` (``_user``) are those of all requests, so that busy ones are counted on a plain table. A model's candidates all come from the popular list, so the item vectors are MAX_LIMIT at most
     and travel with the tasks.
     """
     names = popular.where(F.col("rank") <= MAX_LIMIT).select("item_id")
@@ -199,7 +201,7 @@ def _ranked_in_lists(answered: DataFrame, popular: DataFrame, ranker: ListRanker
     dim, score = ranker.dim, ranker.score
     sides = ranker.users.select(F.col("user_id").alias("_user"), F.col("embedding").cast("array<double>").alias("_vector"))
     rows = answered.withColumn("_user", F.when(F.col("wants_model"), F.col("user_id")))
-    rows = salted_join(rows, sides, "_user", "left", hot_rows).select(
+    rows = salted_join(rows, sides, "_user", "left", hot_rows, hot_from=users).select(
         F.struct(*answered.columns).alias("row"),
         F.when(F.col("wants_model"), F.transform("items", lambda x: x["item_id"])).alias("ids"),
         "_vector",
