@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tallyrack.operators.nearest import nearest_items
 from tallyrack.operators.quality import Rule, quality
 from tallyrack.operators.skew import salted_join
 from tallyrack.sources import cache
-from tallyrack.sources.events import read_day, read_slice, write_counted, write_partition
+from tallyrack.sources.events import read_day, read_slice, read_slices, stored_batches, take_slice, write_counted, write_partition
 
 #: How much an interaction counts: the weights of the popularity ranking.
 STRENGTH = feat.POPULARITY_WEIGHTS
@@ -25,7 +26,8 @@ class Paths:
     """Folders of the jobs. Every run writes below its own name and reads the run before.
 
     A run leaves all that the next one reads: features, pair counts, user and item vectors, lists.
-    ``cache`` gets the lists as JSON per user; by default it lies beside ``recs``.
+    ``cache`` gets the lists as JSON per user; by default it lies beside ``recs``. ``slices`` keeps the
+    cursor over the lake and the events each run took; by default it lies beside ``features``.
     """
 
     events: str
@@ -33,10 +35,19 @@ class Paths:
     vectors: str
     recs: str
     cache: str | None = None
+    slices: str | None = None
 
     def lists(self, run: str) -> str:
         return f"{self.cache or self.recs + '_json'}/{run}"
 
+    def taken(self, run: str) -> str:
+        """Where a run's slice lies; a run that is repeated finds it again."""
+        return f"{self.slices or self.features + '_slices'}/{run}"
+
+    @property
+    def cursor(self) -> str:
+        return f"{self.slices or self.features + '_slices'}/_cursor"
+
 
 def strengths(events: DataFrame) -> DataFrame:
     """``(user_id, item_id, strength)`` of the interactions that count."""
@@ -109,17 +120,37 @@ def daily_full(
     return out
 
 
+def set_cursor(spark: SparkSession, paths: Paths, run: str) -> None:
+    """Take all that the lake holds now as read: for the full run that the next slices build on."""
+    take_slice(spark, paths.events, paths.taken(run), paths.cursor)
+
+
+def _arrived(spark: SparkSession, paths: Paths, run: str) -> DataFrame:
+    """The run's slice: what has come since the last run; taken once, however often the run is repeated."""
+    done = f"{paths.taken(run)}_done"
+    try:
+        numbers = [r["number"] for r in spark.read.parquet(done).collect()]
+    except AnalysisException:  # the run's first try, or one that broke off before all was stored
+        take_slice(spark, paths.events, paths.taken(run), paths.cursor)
+        numbers = stored_batches(spark, paths.taken(run))
+        spark.createDataFrame([(n,) for n in numbers], "number bigint").write.mode("overwrite").parquet(done)
+    return read_slices(spark, paths.taken(run), numbers)
+
+
 def incremental_4h(
-    spark: SparkSession, now: dt.datetime, paths: Paths, base: str, run: str, k: int = 100, method: str = "exact"
+    spark: SparkSession, now: dt.datetime, paths: Paths, base: str, run: str, k: int = 100, method: str = "exact",
+    arrived: bool = False,
 ) -> dict:
     """Refresh the users of the last four hours on top of the run ``base``.
 
-    Stored features take in the new events; the users seen get a new vector from the stored
+    With ``arrived`` the slice is not the last four hours of event time but all that has come to the
+    lake since the run before (``set_cursor`` after the full run): late events are in the next run, exactly
+    once. Stored features take in the new events; the users seen get a new vector from the stored
     item vectors and a new list; all other lists stay until they expire. The run writes all that
     the next run reads, so runs follow one another within a day. ``without_vector`` counts the
     users seen who only touched items that have no vector yet: their old list stays.
     """
-    events = read_slice(spark, paths.events, now)
+    events = _arrived(spark, paths, run) if arrived else read_slice(spark, paths.events, now)
     old_users = spark.read.parquet(f"{paths.features}/user/{base}")
     old_pairs = spark.read.parquet(f"{paths.features}/item_user/{base}")
     merged = feat.merge_user_features(old_users, feat.compute_user_features(events))

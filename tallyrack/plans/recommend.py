@@ -131,7 +131,7 @@ def recommend(
     if as_of is not None and "expires_at" in recs.columns:
         recs = expire(recs, as_of)
     users = asked.where(F.col("load_level") != "emergency").select("user_id").distinct()
-    rows = salted_join(asked, _cached_lists(recs, users, stock), "user_id", "left", hot_rows)
+    rows = salted_join(asked, _cached_lists(recs, users, stock), "user_id", "left", hot_rows, hot_from=asked)
     if session_events is None:
         rows = rows.withColumn("clicked", F.lit(None).cast("array<string>")).withColumn("viewed", F.col("clicked"))
     else:

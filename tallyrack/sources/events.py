@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,44 @@ def read_slice(spark: SparkSession, root: str, now: dt.datetime, hours: int = 4)
     return read_events(spark, root, now - dt.timedelta(hours=hours), now)
 
 
+def take_slice(spark: SparkSession, root: str, slices: str, checkpoint: str, schema: T.StructType = _LAKE, files_per_batch: int | None = None) -> list[int]:
+    """Move the cursor over the lake: store what has arrived since the last call, whatever its event time.
+
+    The lake is read as a stream whose checkpoint knows the files taken, so an event that reaches it days
+    late is in the next slice, and none is in two. Each micro-batch is a folder ``batch=<number>``
+    below ``slices``; one that is repeated after a failure overwrites its own folder. Returns the
+    numbers of the batches of this call; none if nothing is new. ``read_slices`` reads them.
+    """
+    taken: list[int] = []
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{slices}/batch={number}")
+        taken.append(number)
+
+    source = spark.readStream.schema(schema)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    running = source.parquet(root).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    running.trigger(availableNow=True).start().awaitTermination()
+    return taken
+
+
+def stored_batches(spark: SparkSession, slices: str) -> list[int]:
+    """Numbers of the batches stored in a folder of slices."""
+    try:
+        held = spark.read.schema(T.StructType([T.StructField("batch", T.LongType())])).parquet(slices)
+    except AnalysisException:  # no batch yet
+        return []
+    return sorted(r["batch"] for r in held.select("batch").distinct().collect())
+
+
+def read_slices(spark: SparkSession, slices: str, numbers: list[int], schema: T.StructType = _LAKE) -> DataFrame:
+    """The events of the batches that ``take_slice`` stored; no rows for no batches."""
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{slices}/batch={n}" for n in numbers])
+
+
 def write_partition(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
     """Overwrite the partitions that occur in ``df`` and leave the others."""
     if not partition_cols:

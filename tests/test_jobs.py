@@ -84,3 +84,29 @@ def test_blend_is_the_weighted_mean(spark):
     liked = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("b", "y", 2.0), ("c", "none", 1.0)], "user_id string, item_id string, strength double")
     items = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [5.0, 2.0])], "item_id string, embedding array<float>")
     assert {r.user_id: r.embedding for r in jobs.blend_vectors(liked, items).collect()} == {"a": [4.0, 1.5], "b": [5.0, 2.0]}
+
+
+def test_late_events_arrive_in_the_next_run_once(spark, tmp_path):
+    """Files that reach the lake days late, a run without news, and a run that is repeated."""
+    p = jobs.Paths(*[str(tmp_path / n) for n in ("events", "features", "vectors", "recs")])
+    events = tables.with_metadata(tables.events(spark, SF)).drop("value")
+    event = F.col("event_id").cast("bigint")
+    parts = {"first": event % 4 != 0, "late": event % 8 == 0, "later": event % 8 == 4}
+    first = events.where(parts["first"])
+    first = first.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.unix_seconds("ts"), F.lit(86_400))))
+    archive(first, p.events)
+    jobs.daily_full(spark, "2024-01-01", p, k=3, rank=4)
+    jobs.set_cursor(spark, p, "date=2024-01-01")
+    base, read = "date=2024-01-01", first
+    for day, name in ((4, "late"), (5, None), (6, "later")):
+        if name:  # events of the month, among them days before the full run's end
+            archive(events.where(parts[name]), p.events)
+            read = read.unionByName(events.where(parts[name]))
+        run, now = f"ts=2024-01-{day:02d}T04", dt.datetime(2024, 1, day, 4)
+        for _ in range(2):  # the second time is a repetition
+            jobs.incremental_4h(spark, now, p, base, run, k=3, arrived=True)
+        users = spark.read.parquet(f"{p.features}/user/{run}")
+        want = feat.compute_user_features(read)
+        assert rows(users, *want.columns) == rows(want)
+        assert rows(spark.read.parquet(f"{p.features}/item/{run}")) == rows(feat.compute_item_features(read))
+        base = run

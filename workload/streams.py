@@ -552,3 +552,33 @@ def four_hourly_chain(spark, sf):
                          F.col("total_purchases").alias("purchases"), F.col("total_events").alias("n"))
     known = known.union(items.select(F.lit("item"), "item_id", "click_count", "purchase_count", "unique_users"))
     return known.union(lists.groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit("list"), "user_id", zero, zero, "n"))
+
+
+@query(
+    f"""WITH {EV}, seen AS (SELECT * FROM ev WHERE event_id::BIGINT % 3 <> 2 OR event_id::BIGINT % 2 = 0)
+    SELECT user_id, count(*) FILTER (event_type = 'click') AS total_clicks, count(*) FILTER (event_type = 'view') AS total_views,
+      count(*) FILTER (event_type = 'purchase') AS total_purchases,
+      string_agg(DISTINCT category_id, ',' ORDER BY category_id) AS category_interests, count(*) AS total_events FROM seen GROUP BY 1"""
+)
+def late_slices(spark, sf):
+    """User features kept by slices of what arrives: events of the whole month come in two late deliveries.
+
+    The first third is the stored base; each later delivery is taken by the cursor once, and merged.
+    """
+    from tallyrack.operators import features as feat
+
+    root = t.scratch(spark, "slices")
+    events = t.with_metadata(t.events(spark, sf)).drop("value")
+    n = F.col("event_id").cast("bigint")
+    deliveries = [n % 3 == 0, n % 3 == 1, (n % 3 == 2) & (n % 2 == 0)]
+    state = None
+    for i, which in enumerate(deliveries):
+        lake.archive(events.where(which), f"{root}/events")
+        slices = f"{root}/slices/{i}"
+        lake.take_slice(spark, f"{root}/events", slices, f"{root}/cursor")
+        lake.take_slice(spark, f"{root}/events", slices, f"{root}/cursor")  # nothing new
+        new = feat.compute_user_features(lake.read_slices(spark, slices, lake.stored_batches(spark, slices)))
+        merged = new if state is None else feat.merge_user_features(spark.read.parquet(state), new)
+        state = f"{root}/users/{i}"
+        merged.write.parquet(state)
+    return spark.read.parquet(state).withColumn("category_interests", joined(F.col("category_interests")))
