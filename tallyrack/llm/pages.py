@@ -3,14 +3,17 @@
 The standard library's parser streams events. A line is the text between two block boundaries; its
 ratio is the characters outside links over the tags met in it. Ratios are smoothed along the page,
 lines above the threshold (one standard deviation, as usual for this ratio) form clusters, and the
-element that holds most of the clusters' text is the article. All its lines count, short ones too,
-but for parts that are no article text wherever they stand: menus, forms, adverts, comments and the
-like, known by element, role or class.
+element that holds most of the clusters' text is the article; so are ``article`` elements beside it that
+hold a fair part as much. All its lines count, short ones too, but for parts that are no article text
+wherever they stand: menus, forms, adverts, comments and the like, known by element, role or class.
+A class or id says so only of a block outside program text, and only if all words of one of its
+names do: ``cookie-notice`` and ``ad-box`` do, ``notice-period`` and ``related-work`` don't.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyrack.llm.common import small_batches
 
@@ -38,10 +42,19 @@ NAMES = frozenset(
     "popup promo promoted promotion recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe "
     "subscription toolbar widget".split()
 )
+#: Words that a name of such a part may have besides.
+NEUTRAL = frozenset(
+    "area articles bar block bottom box buttons container content footer form group holder inner item items left links list main outer page panel "
+    "posts right section site slot top unit wrap wrapper".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Standard deviation of the smoothing in lines, and the share of the clusters' text that leads on to a child element.
 SIGMA = 1.0
 HOLDS = 0.8
+#: ``article`` elements side by side count together down to this share of the heaviest.
+BESIDE = 0.25
+#: A list is a menu if more than this share of it is linked and its lines are shorter than this, on average.
+LINKED, SHORT = 0.8, 40
 _WORD = re.compile(r"[a-z]+")
 _KERNEL = np.exp(-0.5 * (np.arange(-3, 4) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
@@ -51,58 +64,78 @@ _KERNEL /= _KERNEL.sum()
 class Line:
     text: str
     ratio: float
-    linked: float
-    path: tuple[int, ...]
-    listed: bool
+    linked: int
+    home: int
+    list: int
 
 
 class LineParser(HTMLParser):
-    """Lines of a page outside the parts that are never article text. Open inline tags don't matter."""
+    """Lines of a page outside the parts that are never article text. Open inline tags don't matter.
+
+    Block elements are numbered as they open, so a parent's number is below its children's; 0 is the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, int]] = []
-        self.kinds: dict[int, str] = {}
+        self.within: Counter[str] = Counter()
+        self.kinds, self.parents = ["page"], [0]
         self.skip, self.depth = "", 0
         self.parts: list[str] = []
-        self.tags, self.link, self.link_chars = 0, 0, 0
+        self.lists: list[int] = []
+        self.tags, self.link, self.link_chars, self.code = 0, 0, 0, 0
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
-        tags = {t for t, _ in self.open}
-        if text and not ("header" in tags and not tags & HEADINGS):  # of an article's own header only the headings are article
+        # of an article's own header only the headings are article
+        if text and not (self.within["header"] and not any(self.within[h] for h in HEADINGS)):
             free = max(0, len(text) - self.link_chars)
-            path = tuple(i for _, i in self.open)
-            self.lines.append(Line(text, free / max(1, self.tags), self.link_chars / len(text), path, any(t in ("li", "dd", "dt") for t, _ in self.open)))
+            home = self.open[-1][1] if self.open else 0
+            self.lines.append(Line(text, free / max(1, self.tags), len(text) - free, home, self.lists[-1] if self.lists else -1))
         self.parts, self.tags, self.link_chars = [], 0, 0
 
-    def _inside(self, tag: str) -> bool:
-        return any(t == tag for t, _ in self.open)
+    def _push(self, tag: str) -> None:
+        self.parents.append(self.open[-1][1] if self.open else 0)
+        self.open.append((tag, len(self.kinds)))
+        self.kinds.append(tag)
+        self.within[tag] += 1
+        if tag in ("ul", "ol", "dl"):
+            self.lists.append(self.open[-1][1])
+
+    def _pop(self) -> str:
+        tag, number = self.open.pop()
+        self.within[tag] -= 1
+        if self.lists and self.lists[-1] == number:
+            self.lists.pop()
+        return tag
 
     def _excluded(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
             return True
-        if tag in ("html", "body", "main", "article"):
-            names = set() if tag != "article" else {w for k, v in attrs if k in ("class", "id") and v for w in _WORD.findall(v.lower())}
-            return bool(names & {"comment", "comments", "ad", "advert", "related", "promo"})
-        if tag == "header":
-            return not self._inside("article")
+        if tag == "header" and not self.within["article"]:
+            return True
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
+                return tag not in ("html", "body")
             if not value:
                 continue
             if name == "role" and value.strip().lower() in ROLES:
-                return True
+                return tag not in ("html", "body", "main", "article")
             if name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-            if name in ("class", "id") and tag not in HEADINGS:
-                words = set(_WORD.findall(value.lower()))
-                if words & NAMES and not ("header" in words and len(words & NAMES) == 1 and self._inside("article")):
+                return tag not in ("html", "body")
+            if name in ("class", "id") and tag in BLOCKS and tag not in HEADINGS and tag not in ("html", "body", "main") and not (self.within["pre"] or self.code):
+                if any(self._says(token, tag) for token in value.lower().split()):
                     return True
         return False
 
+    def _says(self, token: str, tag: str) -> bool:
+        words = set(_WORD.findall(token))
+        known = words & NAMES
+        if "header" in known and (tag == "header" or self.within["article"]):  # an article's own
+            return False
+        return bool(known) and words <= NAMES | NEUTRAL
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skip:
             if not (self.skip == "p" and tag in BLOCKS):  # a paragraph ends where the next block begins
@@ -115,9 +148,9 @@ class LineParser(HTMLParser):
             self._end_line()
             self.tags = 1
             if self.open and self.open[-1][0] in ("p", *HEADINGS):
-                self.open.pop()
+                self._pop()
             if tag in ("li", "dd", "dt", "tr") and self.open and self.open[-1][0] == tag:
-                self.open.pop()
+                self._pop()
         elif tag in ("br", "td", "th"):
             self.parts.append(" ")
         if tag in VOID:
@@ -125,10 +158,11 @@ class LineParser(HTMLParser):
         if self._excluded(tag, attrs):
             self.skip, self.depth = tag, 1
         elif block:
-            self.kinds[number := len(self.kinds)] = tag
-            self.open.append((tag, number))
+            self._push(tag)
         elif tag == "a":
             self.link += 1
+        elif tag == "code":
+            self.code += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash ends nothing but void elements
@@ -140,16 +174,18 @@ class LineParser(HTMLParser):
                 if not self.depth:
                     self.skip = ""
                 return
-            if not (self.skip in ("p", "li") and tag in BLOCKS and self._inside(tag) and tag != "p"):
+            if not (self.skip in ("p", "li") and tag in BLOCKS and self.within[tag] and tag != "p"):
                 return
             self.skip = ""  # left open inside an element that ends here
         self.tags += 1
         if tag == "a":
             self.link = max(0, self.link - 1)
+        elif tag == "code":
+            self.code = max(0, self.code - 1)
         if tag in BLOCKS:
             self._end_line()
-            if self._inside(tag):
-                while self.open.pop()[0] != tag:
+            if self.within[tag]:
+                while self._pop() != tag:
                     pass
 
     def handle_data(self, data: str) -> None:
@@ -183,42 +219,58 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     content = clusters(np.array([x.ratio for x in lines]))
-    mass: dict[int, int] = {}
-    total = 0
+    parents = parser.parents
+    mass = [0] * len(parents)
     for line, good in zip(lines, content):
         if good:
-            total += len(line.text)
-            for i in line.path:
-                mass[i] = mass.get(i, 0) + len(line.text)
-    home, sure = _home(parser.kinds, mass, lines, total)
-    kept = [x.text for x in lines if (home is None or home in x.path) and (sure or not (x.listed and x.linked > 0.5))]
-    return "\n".join(kept)
+            mass[line.home] += len(line.text)
+    for i in range(len(parents) - 1, 0, -1):  # children before parents
+        mass[parents[i]] += mass[i]
+    homes, sure = _homes(parser.kinds, parents, mass)
+    inside = [0 in homes] * len(parents)
+    for i in range(1, len(parents)):
+        inside[i] = inside[parents[i]] or i in homes
+    menus = set() if sure else _menus(lines)
+    return "\n".join(x.text for x in lines if inside[x.home] and x.list not in menus)
+
+
+def _menus(lines: list[Line]) -> set[int]:
+    """Lists that are short links as a whole, where the page doesn't say what its article is."""
+    total: dict[int, list[int]] = {}
+    for line in lines:
+        if line.list >= 0:
+            sums = total.setdefault(line.list, [0, 0, 0])
+            sums[0] += 1
+            sums[1] += len(line.text)
+            sums[2] += line.linked
+    return {at for at, (n, chars, linked) in total.items() if linked > LINKED * chars and chars < SHORT * n}
 
 
-def _home(kinds: dict[int, str], mass: dict[int, int], lines: list[Line], total: int) -> tuple[int | None, bool]:
-    """The element that is the article (none: the page), and whether the page itself says so."""
+def _homes(kinds: list[str], parents: list[int], mass: list[int]) -> tuple[set[int], bool]:
+    """The elements that are the article (0: the page), and whether the page itself says so."""
     best = {}
     for kind in ("article", "main"):
-        found = [i for i, k in kinds.items() if k == kind and mass.get(i, 0)]
+        found = [i for i, k in enumerate(kinds) if k == kind and mass[i]]
         if found:
             best[kind] = max(found, key=lambda i: (mass[i], -i))
-    if "article" in best and mass[best["article"]] * 2 >= mass.get(best.get("main", -1), 0):
-        return best["article"], True
-    if "main" in best:
-        return best["main"], True
-    home, grown = None, True
-    while grown:
-        grown = False
-        inner = {}
-        for line in lines:
-            at = line.path.index(home) + 1 if home in line.path else 0 if home is None else None
-            if at is not None and at < len(line.path):
-                inner[line.path[at]] = mass.get(line.path[at], 0)
-        if inner:
-            top = max(inner, key=lambda i: (inner[i], -i))
-            if inner[top] >= HOLDS * total and kinds[top] not in ("p", "ul", "ol", "li", *HEADINGS):
-                home, grown = top, True
-    return home, False
+    if "article" in best and mass[best["article"]] * 2 >= (mass[best["main"]] if "main" in best else 0):
+        top = best["article"]
+    elif "main" in best:
+        return {best["main"]}, True
+    elif "article" in best:
+        top = best["article"]
+    else:
+        top = 0
+    if top:
+        beside = {i for i, k in enumerate(kinds) if k == "article" and parents[i] == parents[top] and mass[i] >= BESIDE * mass[top]}
+        return beside, True
+    heaviest: dict[int, int] = {}
+    for i in range(1, len(parents)):
+        if kinds[i] not in ("p", "ul", "ol", "li", *HEADINGS) and mass[i] > mass[heaviest.get(parents[i], i)] - (parents[i] not in heaviest):
+            heaviest[parents[i]] = i
+    while top in heaviest and mass[heaviest[top]] >= max(1, HOLDS * mass[0]):
+        top = heaviest[top]
+    return {top}, False
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -237,7 +289,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    kinds = {f.name: f.dataType.simpleString() for f in pages.select("page_id", "url").schema}
-    return pages.select("page_id", "url", F.col("html").cast("string")).mapInArrow(
-        read, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint"
-    )
+    schema = StructType([*pages.select("page_id", "url").schema, StructField("text", StringType()), StructField("n_chars", LongType())])
+    return pages.select("page_id", "url", F.col("html").cast("string")).mapInArrow(read, schema)

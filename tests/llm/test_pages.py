@@ -56,3 +56,65 @@ def test_rows(spark):
     got = sorted(((r["page_id"], r["url"], r["n_chars"], len(r["text"])) for r in pages.extract(df).collect()), key=repr)
     assert got == sorted([(1, "u", len(WANT), len(WANT)), (2, None, 0, 0), (None, "v", 0, 0), (1, "u", 0, 0), (3, "w", 1_399_999, 1_399_999)], key=repr)
     assert pages.extract(df.limit(0)).count() == 0
+
+
+LONG = "A paragraph of the article with a good many words in it, long enough to be content by its ratio alone. "
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<pre><code>x = 1 <span class='hljs-comment'># why</span></code></pre>", "x = 1 # why"),
+        ("<pre><div class='comment'>kept</div></pre>", "kept"),
+        ("<p class='notice-period'>The notice period is a month.</p>", "The notice period is a month."),
+        ("<p>Click <span class=share>share</span> to go on.</p>", "Click share to go on."),
+        ("<div id='related-work'><p>Related work.</p></div>", "Related work."),
+        ("<section class='social-history'><p>A social history.</p></section>", "A social history."),
+        ("<div class='ad-box'>Buy</div><div class='x comments-area'><p>Me too</p></div><p>On.</p>", "On."),
+    ],
+)
+def test_names_inside_the_article(part, text):
+    assert pages.main_text(page(f"{NAV}<article>{ARTICLE}{part}</article>")) == f"{WANT}\n{text}"
+
+
+def test_an_article_in_parts():
+    two = pages.main_text(page(f"{NAV}<div><article><p>One. {LONG}</p></article><article><p>Two. {LONG * 2}</p></article><article><p>Teaser</p></article></div>"))
+    assert two.split("\n") == [f"One. {LONG}".strip(), f"Two. {LONG * 2}".strip()]
+
+
+def test_lists_where_nothing_says_article():
+    references = "".join(f"<li>Author {i}: <a href=x>A work with quite a long title, in its second edition</a>, 19{i}</li>" for i in range(10, 20))
+    text = pages.main_text(page(f"<div>{NAV.replace('nav>', 'div>')}<p>{LONG * 3}</p><p>{LONG * 2}</p><ol>{references}</ol></div>"))
+    assert text.count("Author") == 10 and "Home" not in text
+    # no tag names the article: the clusters find the element that holds it
+    menus = "".join(f"<div><a href=/{i}>Item {i}</a></div>" for i in range(30))
+    assert pages.main_text(page(f"<div>{menus}</div><div><p>{LONG * 3}</p><p>Short.</p><p>{LONG * 2}</p></div><div>{menus}</div>")).split("\n") == [
+        (LONG * 3).strip(), "Short.", (LONG * 2).strip()]
+
+
+@pytest.mark.parametrize("n", [4000])
+def test_deep_pages_take_linear_time(n):
+    import time
+
+    start = time.perf_counter()
+    text = pages.main_text("<article>" + "<div><p>some text" * n)
+    assert text.count("some text") == n and pages.main_text("<article>" + "<div>x" * n + "</div>y" * n + "</article>").count("\n") == 2 * n - 1
+    assert time.perf_counter() - start < 4
+
+
+def test_clusters_against_a_plain_version():
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    weight = [math.exp(-0.5 * d * d) for d in range(-3, 4)]
+    for _ in range(200):
+        ratios = [rng.choice([0.0, rng.uniform(0, 300)]) for _ in range(rng.randint(1, 40))]
+        at = lambda i: ratios[min(max(i, 0), len(ratios) - 1)]
+        smooth = [sum(w * at(i + d) for w, d in zip(weight, range(-3, 4))) / sum(weight) for i in range(len(ratios))]
+        mean = sum(smooth) / len(smooth)
+        bound = min(math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(smooth))
+        got = pages.clusters(np.array(ratios))
+        assert all(g == (x >= bound) or abs(x - bound) < 1e-9 for g, x in zip(got, smooth))
