@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tallyrack.llm.common import bounded_sample, runs, small_batches, strings, text_of, views
 
@@ -180,7 +181,8 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     spark = docs.sparkSession
     rows = docs.select(*keep, text_of().alias("_text"), has_letter(F.col("text")).alias("_letter"))
     fields = [f for f in docs.select(*keep).schema]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "bits_per_byte double"])
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())]
+    schema = StructType([*fields, *added])  # the names may hold anything
     if model is None:
         return rows.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     small_batches(spark)

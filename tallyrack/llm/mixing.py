@@ -1,7 +1,8 @@
 """Mixing sources to target weights: blocks of words, multinomial shards, pseudorandom index permutations.
 
 Each source is a stream of words: its documents in an order that a hash gives. The stream is cut
-into blocks of ``BLOCK`` words (the last may be shorter). The mix is a list of shards with a fixed
+into blocks of ``BLOCK`` words (the last may be shorter); a source whose target is under ``LEAST`` such blocks
+gets shorter ones, so that rounding to whole blocks leaves it near its target too. The mix is a list of shards with a fixed
 number of slots. A shard draws how many of its slots each source fills from a multinomial
 distribution; the draws of a source, counted on through all shards, walk through a pseudorandom
 permutation of its block indexes, again and again if the source is repeated. Draws beyond a
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from tallyrack.llm.common import mix, written
 
+#: Blocks that a source's target should have at least.
+LEAST = 64
 #: Words in a block, slots in a shard, most passes through a source, weights by rank of the source.
 BLOCK = 256
 SLOTS = 4096
@@ -56,6 +59,11 @@ def targets(sizes: dict[str | None, int], most: int = MOST, weights: tuple[int,
     return capped
 
 
+def block_words(target: float) -> int:
+    """Words in a block of a source with that target."""
+    return max(1, min(BLOCK, int(target // LEAST)))
+
+
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Place of each index in the pseudorandom permutation of 0..n-1 that ``key`` names.
 
@@ -107,7 +115,7 @@ def slots(plan: list[tuple[int, int, float]], spark, seed: int = SEED) -> DataFr
     """
     known = []
     for sid, size, target in plan:
-        blocks = -(-size // BLOCK)
+        blocks = -(-size // block_words(target))
         known.append((sid, blocks, round(blocks * target / size) if size else 0))
     quota = sum(k[2] for k in known)
     schema = "shard bigint, sid bigint, block bigint"
@@ -169,16 +177,17 @@ def plan_of(placed: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIG
 
 
 def _numbered(placed: DataFrame, plan: list[tuple[int, str | None, int, float]]) -> DataFrame:
-    known = placed.sparkSession.createDataFrame([(i, s, t) for i, s, _, t in plan], "sid bigint, s string, target double")
+    known = placed.sparkSession.createDataFrame([(i, s, t, block_words(t)) for i, s, _, t in plan], "sid bigint, s string, target double, block_words bigint")
     return placed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 def segments(numbered: DataFrame) -> DataFrame:
     """(sid, block, doc_id, doc_start, words): the words [doc_start, doc_start + words) of the document that a block holds."""
-    first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    rows = numbered.filter("size > 0").select("sid", "doc_id", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    low = F.greatest("start", F.col("block") * BLOCK)
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
+    words = F.col("block_words")
+    first, last = F.floor(F.col("start") / words), F.floor((F.col("start") + F.col("size") - 1) / words)
+    rows = numbered.filter("size > 0").select("sid", "doc_id", "start", "size", words, F.explode(F.sequence(first, last)).alias("block"))
+    low = F.greatest("start", F.col("block") * words)
+    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * words)
     return rows.select("sid", "block", "doc_id", (low - F.col("start")).alias("doc_start"), (high - low).alias("words"))
 
 

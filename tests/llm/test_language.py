@@ -97,3 +97,13 @@ def test_pairs_are_forgotten_when_they_become_many(spark, monkeypatch):
     monkeypatch.setattr(language, "MOST_PAIRS", core)
     again = [model.lengths(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in [*texts, b"zz9"]]
     assert np.allclose(again[:3], wide) and core < len(model.keys) < core + 10  # only the last text's pairs are kept
+
+
+def test_columns_of_any_name_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(i, text, lang) for i, (text, lang) in enumerate([("the lamp is on", "en"), ("die Lampe ist an", "de")] * 8)])
+    odd = docs.withColumn("my col", F.lit(1)).withColumn("a.b", F.lit("x")).withColumn("c`d", F.lit(2.0)).withColumn("e:f", F.array(F.lit(1)))
+    packed = odd.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in odd.columns]).alias("doc"), "text")
+    got = language.identify(packed, language.train(odd), ["doc"])
+    assert got.select("doc.*").columns == odd.columns and got.count() == 16

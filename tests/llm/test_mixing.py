@@ -85,3 +85,24 @@ def test_odd_rows(spark):
     assert all(r["taken"] == 0 for r in got if r["doc_id"] in (1, 2, 3))
     assert mixing.mix_sources(documents(spark, []))[1].count() == 0
     assert [r["taken"] for r in mixing.mix_sources(documents(spark, [(1, None), (2, "")]))[1].collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("words", [7, 100, 400, 3000])
+def test_small_sources_come_near_their_targets(spark, words):
+    """Sources of few words, with blocks of the real size."""
+    texts = {"a": words, "b": words, "c": words, None: words // 7}
+    docs = documents(spark, [(i * 100 + j, prose(i * 100 + j, n // 7), "en", s) for i, (s, n) in enumerate(texts.items()) for j in range(7)])
+    got = mixing.mix_sources(docs)[1].withColumn("source", F.floor(F.col("doc_id") / 100)).groupBy("source")
+    for r in got.agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
+        assert abs(r["taken"] - r["target"]) <= max(1, 0.03 * r["target"]) and r["over"] <= 0
+
+
+def test_mix_rows_add_up_to_the_accounts(spark):
+    """Every row of the mix is a stretch of a document, and their words are what the accounts say."""
+    docs = documents(spark, rows(120))
+    mixed, accounts = mixing.mix_sources(docs)
+    taken, size = Counter(), {r["doc_id"]: r["size"] for r in accounts.collect()}
+    for r in mixed.collect():
+        assert 0 <= r["doc_start"] and r["words"] > 0 and r["doc_start"] + r["words"] <= size[r["doc_id"]]
+        taken[r["doc_id"]] += r["words"]
+    assert {r["doc_id"]: r["taken"] for r in accounts.collect() if r["taken"]} == dict(taken)
