@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,10 +167,16 @@ def _list_column(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(matrix.astype(np.float32).reshape(-1)))
 
 
+def _category_rows(index: pa.Array, categories: np.ndarray) -> np.ndarray:
+    """Vectors of categories; a missing one, or one that the table doesn't have, counts as zeros."""
+    at = pc.fill_null(index, -1).to_numpy(zero_copy_only=False)
+    known = (at >= 0) & (at < len(categories))
+    return np.where(known[:, None], categories[np.where(known, at, 0)], 0.0)
+
+
 def _mean_categories(histories: pa.Array, categories: np.ndarray) -> np.ndarray:
     starts = np.asarray(histories.offsets)
-    flat = histories.flatten().to_numpy(zero_copy_only=False)
-    sums = np.add.reduceat(categories[flat], starts[:-1] - starts[0], axis=0)
+    sums = np.add.reduceat(_category_rows(histories.flatten(), categories), starts[:-1] - starts[0], axis=0)
     return sums / np.diff(starts)[:, None]
 
 
@@ -198,10 +205,11 @@ def embed_users(df: DataFrame, tower: Tower, hist_len: int = 5, id_dim: int = ID
     """``(user_id, id_vector, category_hist)`` -> ``(user_id, embedding)``.
 
     Histories are padded with category 0 to ``hist_len``; longer ones are kept whole. Category
-    0 is a real category of the mean, so the length is fixed rather than set per batch.
+    0 is a real category of the mean, so the length is fixed rather than set per batch. A null entry, or
+    a category that the tower does not know, adds zeros to the mean.
     """
     _check_size(tower.categories, *[layer.w for layer in tower.layers])
-    padded = df.withColumn("category_hist", pad(F.col("category_hist").cast("array<int>"), max(hist_len, 1)))
+    padded = df.withColumn("category_hist", pad(F.coalesce(F.col("category_hist").cast("array<int>"), F.array().cast("array<int>")), max(hist_len, 1)))
 
     def forward(c: dict) -> np.ndarray:
         pooled = _mean_categories(c["category_hist"], tower.categories)
@@ -214,12 +222,15 @@ def embed_users(df: DataFrame, tower: Tower, hist_len: int = 5, id_dim: int = ID
 
 
 def embed_items(df: DataFrame, tower: Tower, id_dim: int = ID_DIM) -> DataFrame:
-    """``(item_id, id_vector, category_idx, price)`` -> ``(item_id, embedding)``."""
+    """``(item_id, id_vector, category_idx, price)`` -> ``(item_id, embedding)``.
+
+    A null category, or one that the tower does not know, counts as a vector of zeros.
+    """
     _check_size(tower.categories, *[layer.w for layer in tower.layers])
 
     def forward(c: dict) -> np.ndarray:
         price = c["price"].to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
-        category = tower.categories[c["category_idx"].to_numpy(zero_copy_only=False)]
+        category = _category_rows(c["category_idx"], tower.categories)
         x = np.concatenate([_matrix(c["id_vector"], id_dim), category, tower.price(price)], axis=1)
         for layer in tower.layers:
             x = layer(x)

@@ -106,6 +106,24 @@ def test_item_tower(spark):
         np.testing.assert_allclose(found[i], _mlp(tower, x), atol=1e-4)
 
 
+def test_towers_with_missing_and_unknown_categories(spark):
+    tower, items = models.new_tower(5, False, seed=1), models.new_tower(5, True, seed=2)
+    one = [0.5] * 64
+    zero = np.zeros_like(tower.categories[0])
+    odd = {1: None, 2: 5, 3: -1, 4: 4}
+    df = spark.createDataFrame([(i, one, c, 2.0) for i, c in odd.items()], "item_id int, id_vector array<float>, category_idx int, price double")
+    for r in models.embed_items(df, items).collect():
+        category = items.categories[4] if r.item_id == 4 else zero
+        x = np.concatenate([np.array(one), category, np.array([2.0]) @ items.price.w + items.price.b])
+        np.testing.assert_allclose(r.embedding, _mlp(items, x), atol=1e-4)
+    hists = {1: [None, 2, 99, -7, 1], 2: None, 3: []}
+    df = spark.createDataFrame([(i, one, h) for i, h in hists.items()], "user_id int, id_vector array<float>, category_hist array<int>")
+    for r in models.embed_users(df, tower).collect():
+        rows = [tower.categories[c] if c is not None and 0 <= c < 5 else zero for c in (hists[r.user_id] or [0] * 5)]
+        x = np.concatenate([np.array(one), np.mean(rows, axis=0)])
+        np.testing.assert_allclose(r.embedding, _mlp(tower, x), atol=1e-4)
+
+
 @pytest.mark.parametrize("experts,norm,sigmoid,context", [(None, False, True, 32), (4, True, False, 16)])
 def test_ranking_network(spark, experts, norm, sigmoid, context):
     dims = (12, 12, context)
