@@ -65,6 +65,50 @@ def test_models_tell_random_strings_from_words(spark):
     assert not any(found[100 + i] for i in range(30))
 
 
+#: Ordinary identifiers, as they stand in code, logs and links. The shares in the operator were chosen with these in view.
+ORDINARY = [
+    "-" * 32, "=" * 20, "_" * 16, "A" * 20, "0" * 24, "x" * 30, "2024-01-01T00-00-00_backup_file", "2024-01-01T12-30-45Z",
+    "1234567890123456789012345", "4465758382889437", "getUserAccountByIdentifier", "AbstractSingletonProxyFactoryBean",
+    "XMLHttpRequestEventTarget", "MAX_RETRY_COUNT_EXCEEDED", "/usr/local/lib/python3/site-packages/numpy",
+    "docs/2023/11/05/quarterly-report-final", "550e8400-e29b-41d4-a716-446655440000", "covid19_cases_by_region_v2",
+    "utf8_general_ci_collation", "sha256_checksum_of_file", "base64EncodedStringValue", "RFC7231-section-6-5-1",
+    "kubernetes/ingress-nginx-controller", "Donaudampfschifffahrtsgesellschaft", "x86_64-unknown-linux-gnu",
+    "20240101123045_create_users_table", "HTTPServerURLParserFactory", "jquery-3/6/0/min/js/bootstrap",
+]
+#: Looked at only after the shares were chosen.
+HELD_OUT = [
+    "application/vnd", "InternationalizationUtils", "org/apache/spark/sql/functions", "com_example_project_module_v3", "2019-12-31_23-59-59_snapshot",
+    "checkBoxSelectedStateChanged", "DEFAULT_CONNECTION_TIMEOUT_MS", "pneumonoultramicroscopicsilicovolcanoconiosis", "node_modules/react-dom/cjs",
+    "windows-2022-datacenter-edition", "invoice_2023_Q4_final_revised", "images/2024/thumbnail_640x480", "OpenGLRenderingContext", "aarch64-apple-darwin",
+    "+4915112345678901234", "id=1048576_offset=20480",
+]
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_precision_and_recall_by_length_on_held_out_samples(spark):
+    """Models of the given documents: no ordinary identifier is flagged, random strings of 20 characters and more are caught."""
+    model = secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(4)
+    ordinary = ORDINARY + HELD_OUT
+    lengths = (20, 24, 32, 40)
+    strings = [(n, "".join(rng.choice(letters) for _ in range(n))) for letters in (ALNUM, ALNUM + "+/") for n in lengths for _ in range(150)]
+    rows = [(i, f"é {w} end") for i, (_, w) in enumerate(strings)] + [(10_000 + i, f"see {w} there") for i, w in enumerate(ordinary)]
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(documents(spark, rows), model).collect()}
+    # runs of 24 digits and more are of the fixed kind hex
+    assert [w for i, w in enumerate(ordinary) if any(s["rank"] == 3 for s in found[10_000 + i])] == []
+    for n in lengths:
+        mine = [i for i, (size, _) in enumerate(strings) if size == n]
+        assert sum([(s["start"], s["end"]) for s in found[i]] == [(2, 2 + n)] for i in mine) >= 0.95 * len(mine)
+
+
+def test_ordinary_runs_of_the_given_documents_stay(spark):
+    """Documents whose only long runs are words, mail names and card numbers get no further span."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = secret_scan.scan(docs, secret_scan.train(docs)).select(F.explode("spans").alias("s")).select("s.*")
+    assert found.filter("rank = 3").count() == 0
+    assert found.filter("rank < 3").count() > 0
+
+
 def test_scores_are_sums_of_ratios(spark):
     model = secret_scan.train(documents(spark, corpus()))
     word = "x9Kd+Qz81LmPq0Rt7"
