@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tallyrack.functions.hashing import fnv1a_bucket
 from tallyrack.functions.vectors import or_zeros, pad
+from tallyrack.operators.asof import DAY, asof_join, running_sums
 from tallyrack.operators.numbering import number_rows
 from tallyrack.operators.skew import salted_join
 
@@ -302,6 +303,25 @@ def training_set(events: DataFrame, users: DataFrame, items: DataFrame) -> DataF
     return salted_join(with_users, items, "item_id", hot_from=labelled)
 
 
+def training_set_as_of(events: DataFrame, width_seconds: int = DAY) -> DataFrame:
+    """Labelled interactions with the features as they stood before each: nothing of the event itself or after it.
+
+    ``total_clicks``, ``total_views`` of the user, ``click_count``, ``ctr`` of the item, over all events of
+    earlier instants; 0 where there are none. Events without a user, item or instant count zeros.
+    """
+    def n(event_type: str) -> Column:
+        return F.count_if(F.col("event_type") == event_type)
+
+    users = running_sums(events, "user_id", {"total_clicks": n("click"), "total_views": n("view")}, width_seconds=width_seconds)
+    items = running_sums(events, "item_id", {"click_count": n("click"), "view_count": n("view")}, width_seconds=width_seconds)
+    label = F.when(F.col("event_type").isin(*POSITIVE), 1.0).when(F.col("event_type").isin(*NEGATIVE), 0.0)
+    labelled = events.select("event_id", "user_id", "item_id", "ts", label.alias("label")).where(F.col("label").isNotNull())
+    known = asof_join(labelled, users, "user_id", ["total_clicks", "total_views"], width_seconds=width_seconds)
+    known = asof_join(known, items, "item_id", ["click_count", "view_count"], width_seconds=width_seconds)
+    known = known.na.fill(0, ["total_clicks", "total_views", "click_count", "view_count"])
+    return known.withColumn("ctr", F.col("click_count") / F.greatest("view_count", F.lit(1))).drop("view_count")
+
+
 def is_training(key: Column, share: int = 80) -> Column:
     """Repeatable split: true for ``share`` percent of the keys."""
     return fnv1a_bucket(key) < share

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,11 @@ def _plain_columns(df: DataFrame, key: str) -> list[str]:
     return [f.name for f in df.schema.fields if f.name != key and isinstance(f.dataType, T.AtomicType)]
 
 
+def content_hash(df: DataFrame, key: str) -> Column:
+    """A hash of a row's plain columns other than the key."""
+    return F.xxhash64(*(_plain_columns(df, key) or df.columns))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -54,7 +59,7 @@ def salted_join(
     """
     if left.columns == [key]:
         return _counted_join(left, right, key, how, hot_rows)
-    content = F.xxhash64(*(_plain_columns(left, key) or left.columns))
+    content = content_hash(left, key)
     # a null key meets nothing, so any number will do as its salt
     spread_null = F.when(F.col(key).isNull(), content)
     # as many rows as one task may take, or fewer: no key can be hot

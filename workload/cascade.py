@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions.vectors import dot_batch
 from tallyrack.operators import candidates as cand
-from tallyrack.operators import models, nearest, ranking
+from tallyrack.operators import evaluate, models, nearest, ranking
 from tallyrack.plans import recommend as rec
 from tallyrack.plans.jobs import blend_vectors, strengths
 from tallyrack.session import cut_lineage
@@ -296,6 +296,58 @@ def holdout_loss(spark, sf):
     return models.bce(held.withColumn("logit", logit)).withColumn("loss", F.round("loss", 5))
 
 
+@query(
+    f"""WITH {EV}, u AS (SELECT user_id, ts, sum(c) OVER w AS total_clicks, sum(v) OVER w AS total_views FROM (
+        SELECT user_id, ts, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'view') AS v FROM ev GROUP BY 1, 2)
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    i AS (SELECT item_id, ts, sum(c) OVER w AS clicks, sum(v) OVER w AS views FROM (
+        SELECT item_id, ts, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'view') AS v FROM ev GROUP BY 1, 2)
+      WINDOW w AS (PARTITION BY item_id ORDER BY ts)),
+    l AS (SELECT event_id, user_id, item_id, ts, CASE event_type WHEN 'view' THEN 0.0 ELSE 1.0 END::DOUBLE AS label
+      FROM ev WHERE event_type IN ('view', 'click', 'purchase'))
+    SELECT event_id, l.user_id, l.item_id, label, coalesce(total_clicks, 0)::BIGINT AS total_clicks,
+      coalesce(total_views, 0)::BIGINT AS total_views, coalesce(clicks, 0)::BIGINT AS click_count,
+      round(coalesce(clicks, 0) / greatest(coalesce(views, 0), 1), 6) AS ctr
+    FROM l ASOF LEFT JOIN u ON l.user_id = u.user_id AND l.ts > u.ts ASOF LEFT JOIN i ON l.item_id = i.item_id AND l.ts > i.ts"""
+)
+def training_set_as_of(spark, sf):
+    return models.training_set_as_of(t.events(spark, sf)).withColumn("ctr", F.round("ctr", 6)).drop("ts")
+
+
+_HELD = f"""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n,
+      count(*) OVER (PARTITION BY user_id) AS total FROM ev),
+    held AS (SELECT user_id, item_id FROM r WHERE n = 1 AND total > 1),
+    score AS (SELECT item_id, sum({WEIGHT})::DOUBLE AS score FROM r WHERE NOT (n = 1 AND total > 1) GROUP BY 1)"""
+_MEASURE = """count(*) AS users, count(rank)::BIGINT AS hits, round(count(rank) / count(*), 6) AS recall,
+      round(sum(CASE WHEN rank IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) / count(*), 6) AS ndcg"""
+
+
+def _rounded(measure):
+    return measure.withColumns({c: F.round(c, 6) for c in ("recall", "ndcg")})
+
+
+@query(
+    f"""{_HELD}, best AS (SELECT row_number() OVER (ORDER BY score DESC, item_id) AS rank, item_id FROM score ORDER BY rank LIMIT 20)
+    SELECT {_MEASURE} FROM held LEFT JOIN best USING (item_id)"""
+)
+def popular_holdout(spark, sf):
+    """How well the most popular items of all other events name every user's newest one."""
+    rest, held = evaluate.leave_last_out(t.events(spark, sf))
+    return _rounded(evaluate.popular_measure(ranking.popular_items(rest, 20), held, 20))
+
+
+@query(
+    f"""{_HELD}, own AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY sum({WEIGHT}) DESC, item_id) AS rank
+      FROM r WHERE NOT (n = 1 AND total > 1) GROUP BY 1, 2 HAVING sum({WEIGHT}) > 0)
+    SELECT {_MEASURE} FROM held LEFT JOIN (SELECT * FROM own WHERE rank <= 20) USING (user_id, item_id)"""
+)
+def history_holdout(spark, sf):
+    """How well the items a user had most to do with before name the newest one."""
+    rest, held = evaluate.leave_last_out(t.events(spark, sf))
+    own = strengths(rest).withColumnRenamed("strength", "score")
+    return _rounded(evaluate.ranking_measure(ranking.top_k(own, 20), held, 20))
+
+
 @query()
 def als_topk(spark, sf):
     users, items = models.learn_vectors(strengths(t.events(spark, sf)), rank=16)
