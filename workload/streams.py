@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions.jsonio import TIME_FORMAT, event_json
 from tallyrack.operators import experiments as exp
+from tallyrack.operators import features as feat
 from tallyrack.operators import ranking, sessions, stock
 from tallyrack.plans import jobs
 from tallyrack.session import cut_lineage
 from tallyrack.sources import commands as cmd
 from tallyrack.sources import events as lake
 from tallyrack.sources.cache import from_cache
-from tallyrack.streaming import job, stateful, windows
+from tallyrack.streaming import job, stateful, upserts, windows
 from workload import tables as t
 from workload.registry import EV, INV, joined, micros, query
 
@@ -103,6 +104,15 @@ def views_1d_stream(spark, sf):
     return found.select("user_id", micros("window_end", "end_us"), "views")
 
 
+@query(f"WITH {EV} SELECT user_id, event_type, count(*) AS n FROM ev GROUP BY 1, 2")
+def event_counts_stream(spark, sf):
+    """Running counts in update mode, merged by key and batch at reading."""
+    job.use_rocksdb(spark)
+    path = t.scratch(spark, "counts-stream")
+    upserts.start(feat.event_counts(t.event_stream(spark, sf)), path, f"{path}-cp").awaitTermination()
+    return upserts.read(spark, path, ["user_id", "event_type"])
+
+
 @query(f"WITH {EV} SELECT event_id, user_id, event_type FROM ev")
 def events_dedup_stream(spark, sf):
     """Every event arrives twice and is kept once."""
@@ -348,6 +358,16 @@ def experiment_exposures(spark, sf):
     return found.select("user_id", "experiment_id", "model_version", micros("ts"))
 
 
+@query(
+    f"""WITH {EV} SELECT user_id, {_ARM} AS experiment_id, {_MODEL} AS model_version, epoch_us(ts) AS ts_us
+    FROM ev WHERE {_ARM} IS NOT NULL"""
+)
+def experiment_exposures_stream(spark, sf):
+    """The exposure log as an append stream: each event meets the stored experiments."""
+    found = exp.exposures(exp.assign_experiments(t.event_stream(spark, sf), t.experiments(spark)))
+    return _run(spark, found, "exposures-stream").select("user_id", "experiment_id", "model_version", micros("ts"))
+
+
 def _kind_experiments(spark, sf):
     """One experiment per part type, with a share by its number of parts."""
     kinds = t.table(spark, sf, "part").groupBy(F.col("p_type").alias("experiment_id"))
