@@ -162,22 +162,29 @@ def nearest_items(
     items: DataFrame,
     k: int = TOP_K,
     method: str = "exact",
-    cells: int = 256,
+    cells: int | None = None,
     probes: int = 8,
     exclude_self: bool = False,
     digits: int | None = None,
     block_rows: int = BLOCK_ROWS,
     seed: int = 0,
+    spread: float | None = None,
 ) -> DataFrame:
     """``(user_id, rank, item_id, score)`` of the ``k`` items with the largest inner product.
 
     ``users(user_id, embedding)``, ``items(item_id, embedding)``. ``exact`` scores every item
-    for every user, block against block. ``cells`` groups items around k-means centres and
-    scores only the ``probes`` closest cells of a user: less work, some items may be missed.
+    for every user, block against block. ``bounded`` gives the same rows but scores only the cells that
+    may hold one of them, or fewer with a ``spread`` (``bounded.search``). ``cells`` groups items around k-means
+    centres (256 by default) and scores only the ``probes`` closest cells of a user: less work, some items
+    may be missed.
     ``digits`` rounds scores before they are ranked. A user meets the items whose vectors have the
     length of their own (with ``cells``: only vectors of the most frequent item length are used;
     ``ingest.check_dims`` gives the others). A score that is no number ranks nowhere.
     """
+    if method == "bounded":
+        from tallyrack.operators.bounded import search
+
+        return search(users, items, k, cells, spread, exclude_self, digits, block_rows, seed).found
     users = users.where(F.col("embedding").isNotNull()).select("user_id", F.col("embedding").alias("vector"))
     vectors = items.where(F.col("embedding").isNotNull())
     named = vectors.select("item_id", F.col("embedding").alias("vector"))
@@ -189,7 +196,7 @@ def nearest_items(
         usual = vectors.agg(F.mode(F.size("embedding"), True)).first()[0]
         right = F.size("vector") == F.lit(usual)
         users, named = users.where(right), named.where(right)
-        centres = learn_cells(vectors.where(F.size("embedding") == F.lit(usual)), cells, seed)
+        centres = learn_cells(vectors.where(F.size("embedding") == F.lit(usual)), 256 if cells is None else cells, seed)
         user_cells = _to_cells(users, "user_id", centres, min(probes, len(centres)))
         item_cells = _to_cells(named, "item_id", centres, 1)
     else:

@@ -90,7 +90,7 @@ FEATURE_RULES = [
 
 
 def daily_full(
-    spark: SparkSession, ds: str, paths: Paths, k: int = 100, rank: int = 16, method: str = "exact"
+    spark: SparkSession, ds: str, paths: Paths, k: int = 100, rank: int = 16, method: str = "bounded"
 ) -> dict:
     """Features, vectors and top-K of one day; returns what was written."""
     day = dt.date.fromisoformat(ds)
@@ -138,7 +138,7 @@ def _arrived(spark: SparkSession, paths: Paths, run: str) -> DataFrame:
 
 
 def incremental_4h(
-    spark: SparkSession, now: dt.datetime, paths: Paths, base: str, run: str, k: int = 100, method: str = "exact",
+    spark: SparkSession, now: dt.datetime, paths: Paths, base: str, run: str, k: int = 100, method: str = "bounded",
     arrived: bool = False,
 ) -> dict:
     """Refresh the users of the last four hours on top of the run ``base``.

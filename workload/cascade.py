@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tallyrack.functions.vectors import dot_batch
 from tallyrack.operators import candidates as cand
-from tallyrack.operators import evaluate, models, nearest, ranking
+from tallyrack.operators import bounded, evaluate, models, nearest, ranking
 from tallyrack.plans import recommend as rec
 from tallyrack.plans.jobs import blend_vectors, strengths
 from tallyrack.session import cut_lineage
@@ -34,6 +36,65 @@ def nearest_topk(spark, sf):
     )
 
 
+@query(
+    f"""WITH {_PAIRS} SELECT * FROM (SELECT user_id,
+      row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank, item_id, score FROM pairs)
+    WHERE rank <= 10"""
+)
+def nearest_bounded(spark, sf):
+    """These vectors have no direction in common, so few cells can be left out; the rows are exact all the same."""
+    return nearest.nearest_items(
+        t.user_vectors(spark, sf), t.item_vectors(spark, sf), 10, "bounded", exclude_self=True, digits=6, block_rows=1000
+    )
+
+
+def part_vectors(spark, sf):
+    """Parts by size, price and brand, each as an angle; parts of type STANDARD or SMALL weigh less."""
+    two_pi = 2 * math.pi
+    angles = (
+        F.col("p_size") * (two_pi / 50),
+        (F.col("p_retailprice") - 900) * (two_pi / 100),
+        F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int") * (two_pi / 25),
+    )
+    weight = F.when(F.col("p_type").isin("STANDARD", "SMALL"), 0.5).otherwise(1.0)
+    coordinates = [weight * f(angle) for angle in angles for f in (F.cos, F.sin)]
+    return t.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.array(*coordinates).alias("embedding"))
+
+
+_PARTS = """angles AS (SELECT p_partkey, CASE WHEN p_type IN ('STANDARD', 'SMALL') THEN 0.5 ELSE 1.0 END AS w, p_size * (2 * pi() / 50) AS a,
+    (p_retailprice - 900) * (2 * pi() / 100) AS b, regexp_extract(p_brand, '([0-9]+)', 1)::INT * (2 * pi() / 25) AS c FROM part),
+  vectors AS (SELECT p_partkey AS id, [w * cos(a), w * sin(a), w * cos(b), w * sin(b), w * cos(c), w * sin(c)] AS v FROM angles)"""
+
+
+@query(
+    f"""WITH {_PARTS}, pairs AS (SELECT u.id AS user_id, i.id AS item_id, round(list_inner_product(u.v, i.v), 6) + 0.0 AS score
+      FROM vectors u JOIN vectors i ON u.id <> i.id)
+    SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank, item_id, score
+                   FROM pairs) WHERE rank <= 10"""
+)
+def similar_parts(spark, sf):
+    items = part_vectors(spark, sf)
+    users = items.withColumnRenamed("item_id", "user_id")
+    return nearest.nearest_items(users, items, 10, "bounded", exclude_self=True, digits=6)
+
+
+@query("SELECT count(*) * count(*) AS pairs, true AS all_found, true AS some_left_out, true AS most_found, true AS few_scored FROM part")
+def similar_parts_work(spark, sf):
+    """Sure bounds find every list; with a spread of 2 few of the pairs are enough for nearly all of them."""
+    items = part_vectors(spark, sf)
+    users = items.withColumnRenamed("item_id", "user_id")
+    exact = nearest.nearest_items(users, items, 5, exclude_self=True, digits=6)
+
+    def measured(spread, names):
+        done = bounded.search(users, items, 5, spread=spread, exclude_self=True, digits=6)
+        # two single rows
+        return bounded.share_scored(done, users, items).crossJoin(nearest.recall(exact, done.found)).select("pairs", *names)
+
+    sure = measured(None, [(F.col("recall") == 1.0).alias("all_found"), (F.col("share") < 1.0).alias("some_left_out")])
+    likely = measured(2.0, [(F.col("recall") >= 0.95).alias("most_found"), (F.col("share") <= 0.2).alias("few_scored")])
+    return sure.join(likely, "pairs")
+
+
 @query()
 def nearest_cells(spark, sf):
     return nearest.nearest_items(
