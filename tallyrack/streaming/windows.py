@@ -26,8 +26,9 @@ def sliding_sums(
     Every key with any event in a window has a row. On a stream, closed windows are final and
     later events do not change them; a key's panes are its state (``stateful.pane_sums``), which needs
     RocksDB (``job.use_rocksdb``). A batch first folds events into one row per key and
-    slide, then spreads these rows over ``size / slide`` windows without another shuffle: the
-    rows are already placed by key, and a busy key has one row per slide at most.
+    slide, a busy key to one row per slide at most. Each row enters the windows at one end and leaves them
+    ``size / slide`` ends later; running sums over these ends, in order, give runs of equal windows,
+    which unfold last. So no task holds or sorts a row per window.
     """
     if size % slide:
         raise ValueError("size must be a multiple of slide")
@@ -37,18 +38,27 @@ def sliding_sums(
     slots = events.groupBy(key, slot.alias("slot")).agg(
         *[F.count_if(c).alias(n) for n, c in measures.items()]
     )
-    ends = F.explode(F.sequence(F.col("slot") + 1, F.col("slot") + size // slide))
-    return (
-        slots.repartition(key)
-        .select(key, ends.alias("end"), *measures)
+    panes = size // slide
+    enter = F.struct((F.col("slot") + 1).alias("end"), F.lit(1).alias("_panes"), *measures)
+    leave = F.struct((F.col("slot") + 1 + panes).alias("end"), F.lit(-1).alias("_panes"), *[(-F.col(n)).alias(n) for n in measures])
+    edges = (
+        slots.where(F.col("slot").isNotNull())
+        .repartition(key)
+        .select(key, F.inline(F.array(enter, leave)))
         .groupBy(key, "end")
-        .agg(*[F.sum(n).alias(n) for n in measures])
-        .select(
-            key,
-            F.timestamp_seconds(F.col("end") * slide - size).alias("window_start"),
-            F.timestamp_seconds(F.col("end") * slide).alias("window_end"),
-            *measures,
-        )
+        .agg(*[F.sum(n).alias(n) for n in ("_panes", *measures)])
+    )
+    in_order = Window.partitionBy(key).orderBy("end")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = edges.select(
+        key, "end", F.lead("end").over(in_order).alias("_next"), *[F.sum(n).over(so_far).alias(n) for n in ("_panes", *measures)]
+    ).where(F.col("_panes") > 0)
+    end = F.explode(F.sequence(F.col("end"), F.col("_next") - 1)).alias("_end")
+    return runs.select(key, end, *measures).select(
+        key,
+        F.timestamp_seconds(F.col("_end") * slide - size).alias("window_start"),
+        F.timestamp_seconds(F.col("_end") * slide).alias("window_end"),
+        *measures,
     )
 
 

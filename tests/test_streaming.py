@@ -56,6 +56,29 @@ def test_batch_windows_shuffle_twice_only(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_unfold_after_the_last_aggregation(spark):
+    events = spark.createDataFrame(CASE, EVENT)
+    for found in (windows.clicks_1h(events), windows.views_1d(events)):
+        plan = _plan(found)  # printed from the last step to the first
+        assert 0 <= plan.index("explode(sequence(") < plan.index("HashAggregate")
+
+
+def test_windows_of_dense_keys_and_null_keys(spark):
+    steps = [(str(i), ("a", "b", None)[i % 3], ("click", "view")[i % 2], START + dt.timedelta(seconds=97 * i % 9000)) for i in range(300)]
+    found = windows.clicks_1h(spark.createDataFrame([*steps, ("x", "a", "click", None)], EVENT))
+    got = {(r.user_id, int(r.e)): r.clicks for r in found.select("user_id", F.unix_seconds("window_end").alias("e"), "clicks").collect()}
+    assert got == brute(steps)
+
+
+def test_current_value_sorts_no_windows(spark):
+    plan = _plan(windows.current(windows.clicks_1h(spark.createDataFrame(CASE, EVENT)), "user_id", F.lit(at(60, START)), 3660))
+    assert "SortAggregate" not in plan
+
+
 def test_current_value(spark):
     events = spark.createDataFrame(CASE, EVENT)
     kinds = F.col("event_type") == "click"
