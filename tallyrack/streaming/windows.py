@@ -89,9 +89,14 @@ def current(windows: DataFrame, key: str, as_of: Column, ttl: int) -> DataFrame:
     """The latest window of each key that ended by ``as_of`` and has not expired."""
     names = [c for c in windows.columns if c not in (key, "window_start", "window_end")]
     ended = windows.where(F.col("window_end") <= as_of)
-    last = ended.groupBy(key).agg(F.max_by(F.struct("window_end", *names), F.col("window_end")).alias("w"))
-    expires = F.col("w.window_end") + F.make_dt_interval(secs=F.lit(ttl))
-    return last.select(key, "w.*", expires.alias("expires_at")).where(F.col("expires_at") > as_of)
+    # plain columns, not a struct: these fold by hashing, a struct would have every window sorted
+    last = ended.groupBy(key).agg(
+        F.max("window_end").alias("_end"), *[F.max_by(n, F.col("window_end")).alias(n) for n in names]
+    )
+    expires = F.col("_end") + F.make_dt_interval(secs=F.lit(ttl))
+    return last.select(key, F.col("_end").alias("window_end"), *names, expires.alias("expires_at")).where(
+        F.col("expires_at") > as_of
+    )
 
 
 def count_as_of(
