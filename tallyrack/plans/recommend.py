@@ -38,6 +38,9 @@ FALLBACK, POPULAR = "fallback_popular", "tier0_popular"
 
 Ranker = Callable[[DataFrame], DataFrame]
 
+#: Candidates that a ``ListRanker`` scores at once; each brings two vectors.
+_SCORED_ROWS = 32_768
+
 
 @dataclass(frozen=True)
 class ListRanker:
@@ -208,15 +211,18 @@ def _ranked_in_lists(answered: DataFrame, popular: DataFrame, ranker: ListRanker
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, own = batch.column("ids").to_pylist(), batch.column("_vector").to_pylist()
-            size = np.array([len(x or ()) for x in lists], dtype=np.int64)
-            at = np.array([places.get(i, len(places)) for x in lists for i in x or ()], dtype=np.int64)
-            users = np.array([v or [0.0] * dim for v in own], dtype=np.float64).reshape(len(own), dim)
-            scores = score(np.repeat(users, size, axis=0), vectors[at]) if len(at) else np.zeros(0)
-            ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(scores, pa.float64()))
-            yield pa.record_batch([batch.column("row"), column], names=["row", "scores"])
+        step = max(1, _SCORED_ROWS // MAX_LIMIT)
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                lists, own = batch.column("ids").to_pylist(), batch.column("_vector").to_pylist()
+                size = np.array([len(x or ()) for x in lists], dtype=np.int64)
+                at = np.array([places.get(i, len(places)) for x in lists for i in x or ()], dtype=np.int64)
+                users = np.array([v or [0.0] * dim for v in own], dtype=np.float64).reshape(len(own), dim)
+                scores = score(np.repeat(users, size, axis=0), vectors[at]) if len(at) else np.zeros(0)
+                ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(scores, pa.float64()))
+                yield pa.record_batch([batch.column("row"), column], names=["row", "scores"])
 
     kind = answered.schema.simpleString()
     scored = rows.mapInArrow(run, f"row {kind}, scores array<double>").select("row.*", "scores")
