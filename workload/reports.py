@@ -9,6 +9,7 @@ from tallyrack.operators import serving, sketches
 from tallyrack.operators.quality import Rule, drift, quality
 from tallyrack.plans.report import serving_report
 from tallyrack.sources.events import write_partition
+from tallyrack.session import cut_lineage
 from workload import tables as t
 from workload.registry import EV, LOG, SQL, TRADES, micros, query
 
@@ -340,6 +341,8 @@ def drift_sketched(spark, sf):
         "before": feat.compute_user_features(trades.where(F.col("ts") < border)),
         "after": feat.compute_user_features(trades.where(F.col("ts") >= border)),
     }
+    # a row per user, read up to three times: the trades are joined once per period
+    parts = {name: cut_lineage(features.select(*columns)) for name, features in parts.items()}
     path = t.scratch(spark, "feature-days")
     for name, features in parts.items():
         day = sketches.feature_day(features, columns, F.lit("1995-05-31" if name == "before" else "1995-06-01").cast("date"))
