@@ -84,8 +84,9 @@ def apply_commands(
     """Apply commands ``(…, ts, seq)`` to state; returns the new state and the rejected rows.
 
     The last SET or SETBIT of a key wins. ZADD keeps the last score of a member and renews the
-    expiry of its set; a set that expired between two writes starts empty. Everything is one
-    aggregation per ``(key, member)``, so a busy key is folded before the shuffle.
+    expiry of its set; a set that expired between two writes starts empty. Equal writes fold first, so
+    that a count written again and again is a few rows, then one aggregation per ``(key, member)`` takes the
+    last; a busy key is folded before either shuffle.
     """
     judged = commands.withColumn("reject_reason", _rejection())
     rejected = judged.where(F.col("reject_reason").isNotNull())
@@ -93,9 +94,6 @@ def apply_commands(
     if "tie" not in good.columns:
         good = good.withColumn("tie", F.xxhash64("key", "operation", "field", "value"))
     is_set, is_bit, is_zadd = (F.col("operation") == op for op in ("SET", "SETBIT", "ZADD"))
-    expires = F.when(
-        is_set & (F.col("ttl_seconds") > 0), F.col("ts") + F.make_dt_interval(secs=F.col("ttl_seconds"))
-    )
     written = good.select(
         "key",
         F.when(is_set, "string").when(is_bit, "bit").otherwise("zset").alias("kind"),
@@ -106,11 +104,18 @@ def apply_commands(
         .when(is_set, F.col("value"))
         .alias("value"),
         F.when(is_zadd, F.col("score")).alias("score"),
-        expires.alias("expires_at"),
+        F.when(is_set & (F.col("ttl_seconds") > 0), F.col("ttl_seconds")).alias("ttl"),
         "ts",
         "seq",
         "tie",
     )
+    # equal writes of a member fold to the newest by hashing; what is left is sorted for its last value
+    order = F.coalesce("seq", F.lit(-(2**63)).cast("bigint"))
+    written = written.groupBy("key", "kind", "member", "value", "ttl", "tie").agg(
+        *[F.max_by(c, order).alias(c) for c in ("score", "ts")], F.max("seq").alias("seq")
+    )
+    expires = F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))
+    written = written.select("key", "kind", "member", "value", "score", expires.alias("expires_at"), "ts", "seq", "tie")
     zadds = good.where(is_zadd)
     spans = activity_spans(zadds, ["key"], "ts", F.col("ttl_seconds"))
     members = zadds.select("key")
