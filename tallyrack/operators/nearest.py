@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 from tallyrack.operators.ranking import TOP_K, top_k
 
-#: Rows of one side in one block. A task holds one block of users and one of items; each user
+#: Rows of one side in one block at most. A task holds one block of users and one of items; each user
 #: is sent once per block of items and the other way round, so larger blocks shuffle less.
 BLOCK_ROWS = 65_536
-#: Scores held at once inside a task.
-_SCORES = 16_000_000
+#: Blocks of one side of a cell, unless they would exceed ``BLOCK_ROWS``: what is sent then grows with the rows only.
+_BLOCKS = 16
+#: Scores held at once inside a task, and items they are of at most.
+_SCORES, _WIDE = 1_000_000, 4096
 #: Cells of the approximate method at most: keeps the centre matrix small.
 MAX_CELLS = 4096
 
@@ -27,41 +29,75 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.astype(np.float64).reshape(len(column), -1)
 
 
+def _first_of_each(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` largest values of each row, in order; ties by column."""
+    order = np.lexsort((cols, -values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[top], cols[top], values[top]
+
+
+def _best_of(
+    users: np.ndarray, items: np.ndarray, k: int, digits: int | None, own: np.ndarray | None, least: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, column, score)`` of each user's ``k`` best items that reach the user's ``least`` score; ties by column.
+
+    Items are scored some columns at a time. Only scores above the kth best so far are looked at
+    further, so most of them cost one comparison.
+    """
+    step = max(1, _SCORES // min(len(items), _WIDE))
+    found = []
+    for start in range(0, len(users), step):
+        part = users[start : start + step]
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        full = np.full(len(part), -np.inf)  # the kth score; later columns must exceed it
+        floor = _before_rounding(least[start : start + step], digits)
+        for left in range(0, len(items), _WIDE):
+            scores = part @ items[left : left + _WIDE].T
+            if left == 0 and scores.shape[1] > k + 1:
+                # one more than k, as a user's own row may not count
+                known = np.where(np.isnan(scores), -np.inf, scores)
+                kth = np.partition(known, -(k + 1), axis=1)[:, -(k + 1)]
+                if digits is not None:
+                    kth = np.round(kth, digits)
+                floor = np.maximum(floor, _before_rounding(kth, digits))
+            rows, cols = np.nonzero(scores >= floor[:, None])  # a score that is no number ranks nowhere
+            values = scores[rows, cols]
+            cols = cols + left
+            if digits is not None:
+                values = np.round(values, digits) + 0.0  # no negative zeros
+            good = (values > full[rows]) & (values >= least[start + rows])
+            if own is not None:
+                good &= cols != own[start + rows]
+            if good.any():
+                new = (rows[good], cols[good], values[good])
+                held = _first_of_each(*(np.concatenate(both) for both in zip(held, new)), k)
+                last = np.flatnonzero(np.arange(len(held[0])) - np.searchsorted(held[0], held[0]) == k - 1)
+                full[held[0][last]] = held[2][last]
+                floor = np.maximum(floor, _before_rounding(full, digits))
+        found.append((held[0] + start, held[1], held[2]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _before_rounding(bound: np.ndarray, digits: int | None) -> np.ndarray:
+    """What a score must reach at least for its rounded value to reach the bound."""
+    if digits is None:
+        return bound
+    known = np.isfinite(bound)
+    return np.where(known, bound - 10.0**-digits - 1e-12 * np.abs(np.where(known, bound, 0.0)), bound)
+
+
 def _best_in_block(
     users: pa.Table, items: pa.Table, k: int, digits: int | None, exclude_self: bool
 ) -> pa.Table:
     """Best ``k`` items of the block for each user of the block; ties by item id."""
     items = items.sort_by("item_id")
-    item_vectors = _matrix(items["vector"])
-    user_vectors = _matrix(users["vector"])
-    found = []
     own = None
     if exclude_self:
         place = {item: i for i, item in enumerate(items["item_id"].to_pylist())}
         own = np.array([place.get(user, -1) for user in users["user_id"].to_pylist()])
-    step = max(1, _SCORES // len(item_vectors))
-    for start in range(0, len(user_vectors), step):
-        scores = user_vectors[start : start + step] @ item_vectors.T
-        scores[np.isnan(scores)] = -np.inf  # a score that is no number ranks nowhere
-        if digits is not None:
-            scores = np.round(scores, digits) + 0.0  # no negative zeros
-        if own is not None:
-            mine = own[start : start + step]
-            known = np.flatnonzero(mine >= 0)
-            scores[known, mine[known]] = -np.inf
-        if scores.shape[1] > k:
-            bound = np.partition(scores, -k, axis=1)[:, -k][:, None]
-            keep = (scores >= bound) & (scores > -np.inf)
-        else:
-            keep = scores > -np.inf
-        rows, cols = np.nonzero(keep)
-        values = scores[rows, cols]
-        order = np.lexsort((cols, -values, rows))
-        rows, cols, values = rows[order], cols[order], values[order]
-        place_in_row = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        top = place_in_row < k
-        found.append((rows[top] + start, cols[top], values[top]))
-    rows, cols, values = (np.concatenate(part) for part in zip(*found))
+    least = np.full(users.num_rows, -np.inf)
+    rows, cols, values = _best_of(_matrix(users["vector"]), _matrix(items["vector"]), k, digits, own, least)
     return pa.table(
         {
             "user_id": users["user_id"].take(pa.array(rows)),
@@ -77,10 +113,17 @@ def _best_per_cell(
     """Score the users of each cell against its items, in blocks.
 
     A cell is cut into as many user parts and item parts as its row counts need, so a cell
-    with a third of all rows is just more blocks. A block emits ``k`` rows per user.
+    with a third of all rows is just more blocks. A block emits ``k`` rows per user. Blocks of ``block_rows``
+    grow up to ``BLOCK_ROWS`` where a side of a cell would have more than ``_BLOCKS`` of them.
     """
-    user_parts = users.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("u_parts"))
-    item_parts = items.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("i_parts"))
+
+    def blocks(name: str):
+        rows = F.count("*")
+        size = F.greatest(F.lit(block_rows), F.least(F.lit(BLOCK_ROWS), F.ceil(rows / _BLOCKS)))
+        return F.ceil(rows / size).cast("int").alias(name)
+
+    user_parts = users.groupBy("cell").agg(blocks("u_parts"))
+    item_parts = items.groupBy("cell").agg(blocks("i_parts"))
     parts = F.broadcast(user_parts.join(item_parts, "cell"))  # one row per cell: MAX_CELLS at most
 
     def part(key: str, parts_column: str):
