@@ -4,7 +4,8 @@ The largest inner product is made a smallest distance by one more coordinate: wi
 longest item, an item ``x`` becomes ``(x, sqrt(M^2 - |x|^2))``, so all items lie on one sphere and a
 user ``u`` becomes ``(u, 0)``. Cells of the items there gather equal directions and equal lengths. A first pass
 scores a user's most promising cells and gives the score a further item must reach; the second
-sends the user only to the cells that may hold such an item.
+sends the user only to the cells that may hold such an item. Neighbouring cells travel in one group, so a
+user is sent once per group and not once per cell.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrack.operators.nearest import BLOCK_ROWS, MAX_CELLS, _best_per_cell, _matrix
+from tallyrack.operators.nearest import _BLOCKS, BLOCK_ROWS, MAX_CELLS, _best_per_cell, _matrix
 from tallyrack.operators.ranking import TOP_K, top_k
 from tallyrack.operators.skew import adaptive_join
 from tallyrack.session import cut_lineage
@@ -46,6 +47,7 @@ class _Cells(NamedTuple):
     reach: np.ndarray  # how far an item may lie from its centre
     typical: np.ndarray  # how far along one direction it usually does
     longest: np.ndarray
+    group: np.ndarray  # neighbouring cells of a block of items together
 
 
 def _all_numbers(vector: str) -> Column:
@@ -107,7 +109,23 @@ def _placer(centres: np.ndarray, longest: float) -> Callable:
     return place
 
 
-def _measure(placed: DataFrame, centres: np.ndarray) -> _Cells:
+def _groups(centres: np.ndarray, rows: np.ndarray, block_rows: int) -> np.ndarray:
+    """Cells -> their group: halved along the widest coordinate until a group fits a block or is one cell."""
+    size = max(block_rows, min(BLOCK_ROWS, math.ceil(rows.sum() / _BLOCKS)))
+    group, found, left = np.zeros(len(rows), np.int32), 0, [np.arange(len(rows))]
+    while left:
+        cells = left.pop()
+        if len(cells) == 1 or rows[cells].sum() <= size:
+            group[cells] = found
+            found += 1
+        else:
+            widest = np.argmax(np.ptp(centres[cells], axis=0))
+            cells = cells[np.argsort(centres[cells, widest], kind="stable")]
+            left += [cells[: len(cells) // 2], cells[len(cells) // 2 :]]
+    return group
+
+
+def _measure(placed: DataFrame, centres: np.ndarray, block_rows: int) -> _Cells:
     measured = (
         placed.where("cell >= 0")
         .groupBy("cell")
@@ -123,7 +141,7 @@ def _measure(placed: DataFrame, centres: np.ndarray) -> _Cells:
     rows, reach, typical, longest = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
     for r in measured:
         rows[r.cell], reach[r.cell], typical[r.cell], longest[r.cell] = r.rows, r.reach, r.typical / math.sqrt(dim), r.longest
-    return _Cells(centres[:, :-1], rows, reach, typical, longest)
+    return _Cells(centres[:, :-1], rows, reach, typical, longest, _groups(centres, rows, block_rows))
 
 
 def _chooser(cells: _Cells, k: int, spread: float | None, slack: float, again: bool) -> Callable:
@@ -132,10 +150,13 @@ def _chooser(cells: _Cells, k: int, spread: float | None, slack: float, again: b
     def choose(users: np.ndarray, floor: np.ndarray | None) -> np.ndarray:
         length = np.sqrt((users**2).sum(axis=1))[:, None]
         middle = users @ cells.centres.T
-        order = np.argsort(-(middle + 2 * length * cells.typical), axis=1, kind="stable")
-        # one more than k, as a user's own row may not count
+        promise = np.where(cells.rows > 0, middle + 2 * length * cells.typical, -np.inf)
+        # one more than k, as a user's own row may not count; that many cells hold so many rows
+        most = min(k + 1, promise.shape[1])
+        order = np.argpartition(-promise, most - 1, axis=1)[:, :most]
+        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(promise, order, axis=1), axis=1, kind="stable"), axis=1)
         before = np.cumsum(cells.rows[order], axis=1) - cells.rows[order]
-        first = np.empty(order.shape, bool)
+        first = np.zeros(promise.shape, bool)
         np.put_along_axis(first, order, before < k + 1, axis=1)
         if not again:
             return first & (cells.rows > 0)
@@ -152,18 +173,26 @@ def _chooser(cells: _Cells, k: int, spread: float | None, slack: float, again: b
                 floor = None
                 if again:
                     floor = table["floor"].fill_null(-np.inf).to_numpy()
-                chosen = choose(_matrix(table["vector"]), floor)
-                ends = np.concatenate([[0], np.cumsum(chosen.sum(axis=1))]).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(chosen)[1].astype(np.int32)))
-                yield from table.select(["user_id", "vector"]).append_column("cells", found).to_batches()
+                rows, chosen = np.nonzero(choose(_matrix(table["vector"]), floor))
+                group = cells.group[chosen]
+                order = np.lexsort((chosen, group, rows))
+                rows, chosen, group = rows[order], chosen[order].astype(np.int32), group[order]
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (group[1:] != group[:-1])
+                starts = np.flatnonzero(new)
+                named = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(chosen))
+                least = np.full(len(starts), -np.inf) if floor is None else floor[rows[starts]]
+                out = table.select(["user_id", "vector"]).take(pa.array(rows[starts])).append_column("cells", named)
+                yield from out.append_column("cell", pa.array(group[starts])).append_column("least", pa.array(least)).to_batches()
 
     return run
 
 
 def _sent(users: DataFrame, choose: Callable) -> DataFrame:
+    """Users -> a row per group of cells, with the cells they ask for in it."""
     fields = [users.schema["user_id"], users.schema["vector"], T.StructField("cells", T.ArrayType(T.IntegerType()))]
-    chosen = users.mapInArrow(choose, T.StructType(fields))
-    return chosen.select("user_id", "vector", F.explode("cells").alias("cell"))
+    fields += [T.StructField("cell", T.IntegerType()), T.StructField("least", T.DoubleType())]
+    return users.mapInArrow(choose, T.StructType(fields))
 
 
 def search(
@@ -205,8 +234,12 @@ def search(
     fields = [T.StructField("cell", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("away", "length"))]
     placed = indexed.mapInArrow(_placer(centres, longest), T.StructType([*indexed.schema.fields, *fields]))
     placed = cut_lineage(placed.unionByName(rest, allowMissingColumns=True))  # read three times
-    measured = _measure(placed, centres)
-    item_cells = placed.select("item_id", "vector", "cell")
+    measured = _measure(placed, centres, block_rows)
+    # one row per cell
+    groups = F.broadcast(users.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(measured.group)], "at int, grouped int"))
+    item_cells = placed.withColumnRenamed("cell", "at").join(groups, "at", "left").select(
+        "item_id", "vector", "at", F.coalesce("grouped", "at").alias("cell")
+    )
 
     def scored(sent: DataFrame) -> DataFrame:
         return _best_per_cell(sent, item_cells, k, block_rows, digits, exclude_self)
@@ -214,14 +247,17 @@ def search(
     slack = 0.0 if digits is None else 10.0**-digits
     plain = users.where(in_cells)
     infinite = users.where(~_finite("vector") & (F.size("vector") == dim))
-    everywhere = infinite.select("user_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("cell"))
-    first = _sent(plain, _chooser(measured, k, spread, slack, False)).unionByName(everyone).unionByName(everywhere)
+    any_score = F.lit(float("-inf")).alias("least")
+    whole = F.broadcast(groups.groupBy("grouped").agg(F.collect_list("at").alias("cells")))
+    everywhere = infinite.crossJoin(whole).select("user_id", "vector", "cells", F.col("grouped").alias("cell"), any_score)
+    outside = everyone.select("user_id", "vector", F.array("cell").alias("cells"), "cell", any_score)
+    first = _sent(plain, _chooser(measured, k, spread, slack, False)).unionByName(outside).unionByName(everywhere)
     best = cut_lineage(top_k(scored(first), k))  # k rows per user; read twice
     floors = best.where(F.col("rank") == k).select("user_id", F.col("score").alias("floor"))
     asked = adaptive_join(plain, floors, "user_id")
     more = _sent(asked, _chooser(measured, k, spread, slack, True))
     found = top_k(best.drop("rank").unionByName(scored(more)), k)
-    probed = first.unionByName(more).select("user_id", "cell")
+    probed = first.unionByName(more).select("user_id", F.explode("cells").alias("cell"))
     return Search(found, probed, placed.groupBy("cell").agg(F.count("*").alias("rows")))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +108,44 @@ def _best_in_block(
     )
 
 
+def _best_in_cells(
+    users: pa.Table, items: pa.Table, k: int, digits: int | None, exclude_self: bool
+) -> pa.Table:
+    """Best ``k`` items for each user among the items of the cells (``at``) that its ``cells`` name."""
+    items = items.sort_by([("at", "ascending"), ("item_id", "ascending")])
+    by_id = pc.sort_indices(items["item_id"]).to_numpy()
+    place_of = np.empty(len(by_id), np.int64)
+    place_of[by_id] = np.arange(len(by_id))
+    numbers, starts = np.unique(items["at"].to_numpy(), return_index=True)
+    ends = np.append(starts[1:], items.num_rows)
+    lists = users["cells"].combine_chunks()
+    asked = lists.flatten().to_numpy()
+    asking = np.repeat(np.arange(users.num_rows), pc.list_value_length(lists).to_numpy())
+    order = np.argsort(asked, kind="stable")
+    asked, asking = asked[order], asking[order]
+    own = None
+    if exclude_self:
+        place = {item: i for i, item in enumerate(items["item_id"].to_pylist())}
+        own = np.array([place.get(user, -1) for user in users["user_id"].to_pylist()])
+    user_vectors, item_vectors = _matrix(users["vector"]), _matrix(items["vector"])
+    least = users["least"].to_numpy()
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for number, start, end in zip(numbers, starts, ends):
+        who = asking[np.searchsorted(asked, number) : np.searchsorted(asked, number, side="right")]
+        if len(who):
+            mine = None if own is None else own[who] - start
+            rows, cols, values = _best_of(user_vectors[who], item_vectors[start:end], k, digits, mine, least[who])
+            found.append((who[rows], place_of[cols + start], values))
+    rows, places, values = _first_of_each(*(np.concatenate(part) for part in zip(*found)), k)
+    return pa.table(
+        {
+            "user_id": users["user_id"].take(pa.array(rows)),
+            "item_id": items["item_id"].take(pa.array(by_id[places])),
+            "score": pa.array(values, pa.float64()),
+        }
+    )
+
+
 def _best_per_cell(
     users: DataFrame, items: DataFrame, k: int, block_rows: int, digits: int | None, exclude_self: bool
 ) -> DataFrame:
@@ -114,8 +153,12 @@ def _best_per_cell(
 
     A cell is cut into as many user parts and item parts as its row counts need, so a cell
     with a third of all rows is just more blocks. A block emits ``k`` rows per user. Blocks of ``block_rows``
-    grow up to ``BLOCK_ROWS`` where a side of a cell would have more than ``_BLOCKS`` of them.
+    grow up to ``BLOCK_ROWS`` where a side of a cell would have more than ``_BLOCKS`` of them. A cell may stand for
+    several: then items have the number of theirs in ``at``, users those they ask for in ``cells``, and the
+    score that counts for them in ``least``.
     """
+    user_extra, item_extra = ([c for c in names if c in df.columns] for df, names in ((users, ("cells", "least")), (items, ("at",))))
+    best = _best_in_cells if item_extra else _best_in_block
 
     def blocks(name: str):
         rows = F.count("*")
@@ -136,12 +179,12 @@ def _best_per_cell(
     user_blocks = (
         users.join(parts, "cell")
         .withColumn("u_part", part("user_id", "u_parts"))
-        .select("user_id", "vector", "cell", "u_part", every("i_parts").alias("i_part"))
+        .select("user_id", "vector", *user_extra, "cell", "u_part", every("i_parts").alias("i_part"))
     )
     item_blocks = (
         items.join(parts, "cell")
         .withColumn("i_part", part("item_id", "i_parts"))
-        .select("item_id", "vector", "cell", "i_part", every("u_parts").alias("u_part"))
+        .select("item_id", "vector", *item_extra, "cell", "i_part", every("u_parts").alias("u_part"))
     )
     schema = T.StructType(
         [
@@ -153,7 +196,7 @@ def _best_per_cell(
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
-            return _best_in_block(left, right, k, digits, exclude_self)
+            return best(left, right, k, digits, exclude_self)
         fields = [("user_id", left.schema.field("user_id").type), ("item_id", right.schema.field("item_id").type)]
         return pa.schema([*fields, ("score", pa.float64())]).empty_table()
 
