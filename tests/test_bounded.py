@@ -100,3 +100,27 @@ def test_centres_from_a_sample_still_place_every_item(spark, monkeypatch):
     users, items = _grouped(30, 9), _grouped(400, 10)
     found = nearest.nearest_items(_frame(spark, "user_id", users), _frame(spark, "item_id", items), 5, "bounded", digits=6)
     assert _of(found) == _best(users, items, 5)
+
+
+def test_users_are_sent_once_per_group_of_cells(spark, monkeypatch):
+    vectors = list(enumerate(np.random.default_rng(5).integers(-9, 10, (400, 16)).tolist()))  # hardly a cell can be left out
+    users, items = _frame(spark, "user_id", vectors), _frame(spark, "item_id", vectors)
+    sent = []
+
+    def counted(users, *rest):
+        sent.append(users.count())
+        return nearest._best_per_cell(users, *rest)
+
+    monkeypatch.setattr(bounded, "_best_per_cell", counted)
+    done = bounded.search(users, items, 5, cells=40, block_rows=100)
+    assert done.probed.count() > 20 * 400
+    assert sum(sent) <= 2 * 8 * 400  # two passes; at most 8 groups hold 100 rows or one cell each
+    assert _of(done.found) == _best(vectors, vectors, 5)
+
+
+def test_groups_hold_a_block_and_every_cell():
+    rows = np.array([5, 0, 900, 30, 30, 30, 30, 1])
+    group = bounded._groups(np.random.default_rng(1).normal(size=(8, 3)), rows, 100)
+    sums = np.bincount(group, rows)
+    assert len(group) == 8 and sums.sum() == rows.sum()
+    assert all(total <= 100 or (group == g).sum() == 1 for g, total in enumerate(sums))

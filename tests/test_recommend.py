@@ -199,3 +199,19 @@ def test_lists_and_sessions_end(spark, base):
     assert tier(50) == answer(spark, base, asked)[0]
     assert tier(100) == ("fallback_popular", ["pop1", "pop2"], [99.5, 90.0])
     assert tier(4000)[2] == [100.0, 90.0]  # the session has ended and penalises nothing
+
+
+def test_a_list_ranker_gets_bounded_matrices(spark, base):
+    """5,000 misses of 100 candidates: no call of the model may see all candidates of a task."""
+    popular = spark.createDataFrame([(i + 1, f"pop{i}", 200.0 - i) for i in range(100)], "rank int, item_id string, score double")
+    users = spark.createDataFrame([("new", [1.0])], "user_id string, embedding array<double>")
+    items = spark.createDataFrame([("pop7", [5.0])], "item_id string, embedding array<double>")
+
+    def score(u, v):
+        return (u * v).sum(axis=1) * (1.0 if len(u) <= 32_768 else float("nan"))
+
+    ranker = rec.ListRanker(users, items, 1, score)
+    requests = spark.createDataFrame([(f"r{i}", "new", "", "100", None) for i in range(5000)], REQUESTS)
+    found = rec.recommend(requests, base["recs"], popular, base["stock"], ranker=ranker)
+    first = found.select("tier", F.col("items")[0]["item_id"].alias("best"))
+    assert rows(first.distinct()) == [("tier3_inference", "pop7")]

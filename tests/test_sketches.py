@@ -1,10 +1,11 @@
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyrack.operators import sketches
-from tests.helpers import at
+from tests.helpers import at, rows
 
 LOG = "ts timestamp, tier string, duration_ms double, error boolean"
 
@@ -65,3 +66,21 @@ def test_drift(spark):
     assert not found["zero", 0.5]["drifted"]
     assert found["gone", 0.5]["drifted"] and ("fresh", 0.5) not in found  # a column of nulls has no sketch to compare
     assert {r["column"]: r["nulls"] for r in days[1].collect()} == {"a": 0, "zero": 0, "fresh": 1500}
+
+
+def test_the_drift_query_joins_trades_once_per_period(spark, tmp_path):
+    from workload import tables as t
+    from workload.reports import drift_sketched
+
+    day = [at(0, dt.datetime(1995, month, 1)) for month in (5, 7)]
+    made = {
+        "part": [(1, "p", "Brand#1", "SMALL", 1, 901.0)],
+        "orders": [(i, i % 9, "O", 1.0, day[0], "1") for i in range(40)],
+        "lineitem": [(i, 1, 1, n, 1.0, 1.0, 0.0, 0.0, "AN"[n], "O", day[i % 2]) for i in range(40) for n in (0, 1)],
+    }
+    for name, lines in made.items():
+        spark.createDataFrame(lines, t.schema(name)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = drift_sketched(spark, str(tmp_path))
+    # the written user features are read, not the trades
+    assert "l_orderkey" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found, "column", "rows_before", "rows_after")[0] == ("total_clicks", 9, 9)

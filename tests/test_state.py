@@ -1,5 +1,7 @@
 """Sessions, stock, experiments and the command log."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,13 @@ def test_commands_of_the_three_branches(spark):
         ("stock:id_map:a", "SET", "4", ""),
         ("stock:id_map:b", "SET", "5", ""),
     ]
+
+
+def test_equal_writes_fold_by_hashing_before_the_last_is_taken(spark):
+    writes = [("k", "SET", str(t // 1000), "", 0.0, 60, t) for t in range(2000)] + [("k", "SET", "0", "", 0.0, 0, 2000)]
+    state, _ = cmd.apply_commands(_commands(spark, *writes))
+    assert rows(state, "key", "value", "expires_at", "ts", "seq") == [("k", "0", None, at(2000), 2000)]
+    state, _ = cmd.apply_commands(_commands(spark, *writes[:-1]))
+    assert rows(state, "key", "value", "expires_at", "ts", "seq") == [("k", "1", at(2059), at(1999), 1999)]
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[key#\d+, kind#\d+, member#\d+, value#\d+", plan)

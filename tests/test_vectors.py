@@ -1,6 +1,10 @@
 """Nearest items, towers and the ranking network against plain numpy."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +213,40 @@ def test_category_pages_are_bounded(spark):
     assert all(len(p["items"]) <= 20 for p in pages)
     big = [i for p in sorted(pages, key=lambda p: p.page) if p.category_id == "big" for i in p["items"]]
     assert big == [f"i{i:03d}" for i in range(90)]
+
+
+def test_blocks_hold_few_scores_and_lose_none():
+    """2,000 users by 20,000 items in one block: rounded scores with many ties, own rows left out."""
+    rng = np.random.default_rng(3)
+    users, items = rng.integers(-3, 4, (2000, 4)) / 4, rng.integers(-3, 4, (20_000, 4)) / 4
+
+    def table(name, vectors):
+        return pa.table({name: np.arange(len(vectors)), "vector": pa.array(list(vectors))})
+
+    left, right = table("user_id", users), table("item_id", items)
+    tracemalloc.start()
+    found = nearest._best_in_block(left, right, 10, 1, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # 16 million scores at once alone are twice that
+    for user in range(0, 2000, 97):
+        scores = np.round(users[user] @ items.T, 1) + 0.0
+        scores[user] = -np.inf
+        want = np.lexsort((np.arange(len(items)), -scores))[:10]
+        got = found.filter(pc.equal(found["user_id"], user))
+        assert got["item_id"].to_pylist() == want.tolist() and got["score"].to_pylist() == scores[want].tolist()
+
+
+def test_scores_that_are_no_numbers_rank_nowhere_in_any_chunk():
+    items = np.ones((9000, 1))
+    items[[0, 5000]], items[[1, 8000]], items[[2, 8999]] = np.nan, np.inf, -np.inf
+    rows, cols, values = nearest._best_of(np.ones((1, 1)), items, 3, 6, None, np.array([-np.inf]))
+    assert cols.tolist() == [1, 8000, 3] and values.tolist() == [np.inf, np.inf, 1.0]
+
+
+def test_small_blocks_grow_rather_than_multiply(spark):
+    """A block emits k rows per user: with k = 1 they count the blocks that each user was sent to."""
+    def side(name):
+        return spark.createDataFrame([(i, [float(i)], 1) for i in range(64)], f"{name} bigint, vector array<double>, cell int")
+
+    assert nearest._best_per_cell(side("user_id"), side("item_id"), 1, 1, None, False).count() <= 64 * 16
