@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # rows carry lists and vectors: they cost more time than their bytes suggest
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # INT96, the default, takes twice the time to write and to read
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 

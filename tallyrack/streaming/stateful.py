@@ -1,7 +1,7 @@
 """Streams with a state of their own per key: sliding sums over panes, and the session tail.
 
-Both keep one small state row per key, which a call reads and writes once, and use event-time timers
-to act when the watermark passes. They run on RocksDB (``job.use_rocksdb``) in append mode.
+A state row, of a bucket of keys or of a session, is read and written once by a call; event-time timers
+act when the watermark passes. They run on RocksDB (``job.use_rocksdb``) in append mode.
 """
 
 from __future__ import annotations
@@ -20,54 +20,91 @@ from tallyrack.operators.sessions import SESSION_TTL, with_session
 
 # Sliding sums ----------------------------------------------------------------
 
+#: Keys share a state row by their hash: a call costs milliseconds, so there are this many rows, not one per key.
+BUCKETS = 2048
+#: Panes whose windows are made at once.
+PANES_AT_ONCE = 1 << 16
 
-def runs_of(panes: np.ndarray, sums: np.ndarray, width: int, since: int, until: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sliding sums of sorted panes as runs ``(first_end, last_end, sums)`` of equal value.
+
+def keyed_runs(
+    keys: np.ndarray, panes: np.ndarray, sums: np.ndarray, width: int, since: int, until: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sliding sums of panes sorted by key number as runs ``(key, first_end, last_end, sums)`` of equal value.
 
     A window that ends before slot ``e`` holds the panes e - width .. e - 1. Ends in (since, until] with
-    any pane count; a run stops where a pane enters or leaves.
+    any pane count; a run stops where a pane of its key enters or leaves.
     """
-    edges = np.unique(np.concatenate([panes + 1, panes + 1 + width, [since + 1, until + 1]]))
-    edges = edges[(edges > since) & (edges <= until + 1)]
-    first, last = edges[:-1], edges[1:] - 1
+    every = np.unique(keys)
+    owner = np.concatenate([keys, keys, every, every])
+    edge = np.concatenate([panes + 1, panes + 1 + width, np.full(len(every), since + 1), np.full(len(every), until + 1)])
+    inside = (edge > since) & (edge <= until + 1)
+    # all keys on one axis, each with a stretch of its own that no window of another reaches
+    low = min(int(panes.min()), since) - width
+    stretch = max(int(panes.max()), until) + width + 2 - low
+    edges = np.unique(owner[inside] * stretch + (edge[inside] - low))
+    owner, edge = edges // stretch, edges % stretch + low
+    whole = owner[:-1] == owner[1:]
+    owner, first, last = owner[:-1][whole], edge[:-1][whole], edge[1:][whole] - 1
     total = np.concatenate([np.zeros((1, sums.shape[1]), dtype=np.int64), np.cumsum(sums, axis=0)])
-    low, high = np.searchsorted(panes, first - width), np.searchsorted(panes, first)
-    held = high > low
-    return first[held], last[held], (total[high] - total[low])[held]
+    placed = keys * stretch + (panes - low)
+    begin, end = (np.searchsorted(placed, owner * stretch + (e - low)) for e in (first - width, first))
+    held = end > begin
+    return owner[held], first[held], last[held], (total[end] - total[begin])[held]
+
+
+def runs_of(panes: np.ndarray, sums: np.ndarray, width: int, since: int, until: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``keyed_runs`` of a single key."""
+    return keyed_runs(np.zeros(len(panes), dtype=np.int64), panes, sums, width, since, until)[1:]
+
+
+def folded(table: np.ndarray) -> np.ndarray:
+    """Rows ``(key, pane, sums)`` in order, one per key and pane."""
+    order = np.lexsort((table[:, 1], table[:, 0]))
+    table = table[order]
+    new = np.ones(len(table), dtype=bool)
+    new[1:] = (table[1:, :2] != table[:-1, :2]).any(axis=1)
+    first = np.flatnonzero(new)
+    return np.concatenate([table[first, :2], np.add.reduceat(table[:, 2:], first, axis=0)], axis=1)
 
 
 class _Sums(StatefulProcessor):
-    """State of a key: its panes that open windows still need, and the last end that was given out."""
+    """State of a bucket: its keys with the panes that open windows still need, and the last end that was given out."""
 
     def __init__(self, key: str, measures: list[str], width: int, slide: int, closed_panes: bool) -> None:
         self.key, self.measures, self.width, self.slide, self.closed_panes = key, measures, width, slide, closed_panes
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("panes", "panes binary, done bigint, timer bigint")
+        self.state = handle.getValueState("panes", "keys array<string>, panes binary, done bigint, timer bigint")
 
-    def _load(self) -> tuple[np.ndarray, int | None, int | None]:
+    def _load(self) -> tuple[np.ndarray, np.ndarray, int | None, int | None]:
         held = self.state.get()
         if held is None:
-            return np.zeros((0, 1 + len(self.measures)), dtype=np.int64), None, None
-        panes, done, timer = held
-        return np.frombuffer(bytes(panes), dtype=np.int64).reshape(-1, 1 + len(self.measures)), done, timer
+            return np.zeros(0, dtype=object), np.zeros((0, 2 + len(self.measures)), dtype=np.int64), None, None
+        keys, panes, done, timer = held
+        return np.array(keys, dtype=object), np.frombuffer(bytes(panes), dtype=np.int64).reshape(-1, 2 + len(self.measures)), done, timer
 
-    def _closed(self, key: tuple, table: np.ndarray, since: int, until: int) -> Iterator[pd.DataFrame]:
+    def _closed(self, keys: np.ndarray, table: np.ndarray, since: int, until: int) -> Iterator[pd.DataFrame]:
         """The windows that end in (since, until]."""
-        if until > since and len(table):
-            first, last, sums = runs_of(table[:, 0], table[:, 1:], self.width, since, until)
+        if until <= since or not len(table):
+            return
+        starts = np.flatnonzero(np.diff(table[:, 0])) + 1
+        at = np.searchsorted(starts, np.arange(PANES_AT_ONCE, len(table), PANES_AT_ONCE))
+        for part in np.split(table, np.unique(starts[at[at < len(starts)]])):
+            owner, first, last, sums = keyed_runs(part[:, 0], part[:, 1], part[:, 2:], self.width, since, until)
             if len(first):
-                columns = {self.key: [key[0]] * len(first), "first_end": first, "last_end": last}
+                columns = {self.key: keys[owner], "first_end": first, "last_end": last}
                 yield pd.DataFrame(columns | {m: sums[:, i] for i, m in enumerate(self.measures)})
 
-    def _save(self, table: np.ndarray, done: int, timer: int | None, watermark_ms: int) -> None:
+    def _save(self, keys: np.ndarray, table: np.ndarray, done: int, timer: int | None, watermark_ms: int) -> None:
         """Keep what open windows need, and set the timer for the next end."""
-        table = table[table[:, 0] + self.width > done]
+        table = table[table[:, 1] + self.width > done]
         following = None
         if len(table):
-            following = (max(int(table[0, 0]), done) + 1) * self.slide * 1000
-            self.state.update((table.tobytes(), done, following))
+            following = (max(int(table[:, 1].min()), done) + 1) * self.slide * 1000
+            left, number = np.unique(table[:, 0], return_inverse=True)
+            panes = np.concatenate([number.reshape(-1, 1), table[:, 1:]], axis=1)
+            self.state.update((keys[left].tolist(), panes.tobytes(), done, following))
         elif timer is not None:
             self.state.clear()
         if following != timer:
@@ -77,33 +114,31 @@ class _Sums(StatefulProcessor):
                 self.handle.registerTimer(following)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        table, done, timer = self._load()
+        keys, table, done, timer = self._load()
         watermark = timerValues.getCurrentWatermarkInMs()
         closed = watermark // (1000 * self.slide)
         if not self.closed_panes:  # what the watermark has closed is final before these events are added
             if done is not None:
-                yield from self._closed(key, table, done, closed)
+                yield from self._closed(keys, table, done, closed)
             done = closed
-        new = [table]
+        names, new = [keys[table[:, 0]]], [table[:, 1:]]
         for batch in rows:
+            names.append(batch[self.key].to_numpy(dtype=object))
             new.append(batch[["slot", *self.measures]].to_numpy(dtype=np.int64))
-        both = np.concatenate(new)
-        slots, back = np.unique(both[:, 0], return_inverse=True)
-        table = np.zeros((len(slots), both.shape[1]), dtype=np.int64)
-        table[:, 0] = slots
-        for i in range(1, both.shape[1]):
-            np.add.at(table[:, i], back, both[:, i])
+        number, found = pd.factorize(np.concatenate(names), use_na_sentinel=False)
+        keys = np.array([k if isinstance(k, str) else None for k in found], dtype=object)
+        table = folded(np.concatenate([number.astype(np.int64).reshape(-1, 1), np.concatenate(new)], axis=1))
         if self.closed_panes:  # panes come with the watermark that closed them, and it may have closed windows too
-            yield from self._closed(key, table, int(table[0, 0]) if done is None else done, closed)
-        self._save(table, closed, timer, watermark)
+            yield from self._closed(keys, table, int(table[:, 1].min()) if done is None else done, closed)
+        self._save(keys, table, closed, timer, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        table, done, timer = self._load()
+        keys, table, done, timer = self._load()
         watermark = timerValues.getCurrentWatermarkInMs()
         closed = watermark // (1000 * self.slide)
         if done is not None and closed > done:
-            yield from self._closed(key, table, done, closed)
-            self._save(table, closed, timer, watermark)
+            yield from self._closed(keys, table, done, closed)
+            self._save(keys, table, closed, timer, watermark)
 
 
 def pane_sums(
@@ -111,9 +146,10 @@ def pane_sums(
 ) -> DataFrame:
     """The rows of ``windows.sliding_sums`` over a stream, from panes of ``slide`` seconds.
 
-    A key's state is one row: (pane, sums) for the panes that open windows need, ``size / slide`` and
-    those ahead of the watermark at most. So an event adds to one pane where a sliding window
-    aggregation opens ``size / slide`` state rows. Closed windows leave as runs of equal sums, which
+    Keys are dealt by hash to ``BUCKETS`` state rows: (key, pane, sums) for the panes that open windows need,
+    ``size / slide`` per key and those ahead of the watermark at most. So an event adds to one pane where a
+    sliding window aggregation opens ``size / slide`` state rows, and a batch makes a call per bucket, however
+    many keys there are. Closed windows leave as runs of equal sums, which
     unfold to windows in the JVM. An event late by less than ``size`` still counts in the windows
     that are open, as it does in a sliding window aggregation.
 
@@ -125,20 +161,24 @@ def pane_sums(
         raise ValueError("size must be a multiple of slide")
     held = events.withWatermark("ts", delay)
     if panes_first:
-        folded = held.groupBy(key, F.window("ts", f"{slide} seconds").alias("w")).agg(*[F.count_if(c).alias(n) for n, c in measures.items()])
-        slot = F.unix_micros(F.col("w.start"))
-        rows = folded.select(key, F.floor(slot / (slide * 1_000_000)).alias("slot"), *measures)
+        rows = held.groupBy(key, F.window("ts", f"{slide} seconds").alias("w")).agg(*[F.count_if(c).alias(n) for n, c in measures.items()])
+        slot = F.floor(F.unix_micros(F.col("w.start")) / (slide * 1_000_000))
+        sums = [F.col(n) for n in measures]
     else:
+        rows = held.where(F.col("ts").isNotNull())
         slot = F.floor(F.unix_micros("ts") / (slide * 1_000_000))
-        rows = held.select(key, slot.alias("slot"), *[F.coalesce(c, F.lit(False)).cast("bigint").alias(n) for n, c in measures.items()])
+        sums = [F.coalesce(c, F.lit(False)).cast("bigint").alias(n) for n, c in measures.items()]
+    kind = events.schema[key].dataType
+    bucket = F.pmod(F.hash(key), F.lit(BUCKETS)).alias("_bucket")
+    rows = rows.select(bucket, F.col(key).cast("string").alias(key), slot.alias("slot"), *sums)
     schema = T.StructType(
-        [rows.schema[key], T.StructField("first_end", T.LongType()), T.StructField("last_end", T.LongType())]
+        [T.StructField(key, T.StringType()), T.StructField("first_end", T.LongType()), T.StructField("last_end", T.LongType())]
         + [T.StructField(n, T.LongType()) for n in measures]
     )
     processor = _Sums(key, list(measures), size // slide, slide, panes_first)
-    runs = rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    runs = rows.groupBy("_bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
     end = F.explode(F.sequence("first_end", "last_end"))
-    return runs.select(key, end.alias("_end"), *measures).select(
+    return runs.select(F.col(key).cast(kind).alias(key), end.alias("_end"), *measures).select(
         key,
         F.timestamp_seconds(F.col("_end") * slide - size).alias("window_start"),
         F.timestamp_seconds(F.col("_end") * slide).alias("window_end"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyrack.operators import sessions
 from tallyrack.streaming import job, stateful
 from tests.helpers import rows
-from tests.test_streaming import EVENT, START, feed, run, stream
+from tests.test_streaming import EVENT, START, brute, feed, run, stream
 
 SESSION_EVENT = "event_id string, session_id string, event_type string, item_id string, ts timestamp"
 EPOCH = dt.datetime(1970, 1, 1)
@@ -99,6 +99,38 @@ def test_pane_state_is_one_row_per_key(spark, tmp_path):
     assert max(op["numRowsUpdated"] for p in running.recentProgress for op in p["stateOperators"]) <= 3
 
 
+def test_runs_of_many_keys_stay_apart():
+    rng = random.Random(3)
+    for _ in range(50):
+        width, since = rng.randint(1, 30), rng.randint(90, 170)
+        until = since + rng.randint(1, 80)
+        parts = [np.array(sorted(rng.sample(range(100, 160), rng.randint(1, 20)))) for _ in range(5)]
+        sums = [np.array([[rng.randint(0, 3)] for _ in p]) for p in parts]
+        numbers = np.concatenate([np.full(len(p), k) for k, p in enumerate(parts)])
+        got = stateful.keyed_runs(numbers, np.concatenate(parts), np.concatenate(sums), width, since, until)
+        want = [(k, *run) for k, p in enumerate(parts) for run in zip(*(x.tolist() for x in stateful.runs_of(p, sums[k], width, since, until)))]
+        assert list(zip(*(x.tolist() for x in got))) == want
+
+
+@pytest.mark.parametrize("panes_first", [False, True])
+def test_keys_share_state_rows(spark, tmp_path, monkeypatch, panes_first):
+    """A call per bucket, not per key; a null key and a key that is no text come back as they were."""
+    monkeypatch.setattr(stateful, "BUCKETS", 4, raising=False)
+    monkeypatch.setattr(stateful, "PANES_AT_ONCE", 16, raising=False)
+    job.use_rocksdb(spark)
+    kind = "event_id string, user_id bigint, event_type string, ts timestamp"
+    some = [(str(i), None if i % 40 == 7 else i % 40, ("click", "view")[i % 2], START + dt.timedelta(seconds=37 * i % 7000)) for i in range(300)]
+    feed(spark, tmp_path, 0, some, kind)
+    feed(spark, tmp_path, 1, [("end", 1, "view", START + dt.timedelta(hours=12))], kind)
+    df = stateful.pane_sums(stream(spark, tmp_path, kind), "user_id", {"clicks": F.col("event_type") == "click"}, 3600, 60, "5 seconds", panes_first)
+    running = job.start(df, str(tmp_path / "out"), str(tmp_path / "cp"))
+    running.awaitTermination()
+    assert max(op["numRowsUpdated"] for p in running.recentProgress for op in p["stateOperators"] if "transform" in op["operatorName"].lower()) <= 12
+    found = spark.read.parquet(str(tmp_path / "out"))
+    got = {(r.user_id, int(r.e)): r.clicks for r in found.select("user_id", F.unix_seconds("window_end").alias("e"), "clicks").collect()}
+    assert found.count() == len(got) and got == brute(some)
+
+
 def test_session_tail_equals_the_batch_features(spark, tmp_path):
     job.use_rocksdb(spark)
     rng, events, now = random.Random(4), [], 0
