@@ -25,6 +25,11 @@ def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column worked out once per row: a generated one is not copied into every filter and column above it."""
+    return df.drop(name).select("*", F.explode(F.array(value)).alias(name))
+
+
 def judge_events(df: DataFrame) -> DataFrame:
     """Decode ``value`` and add ``reject_reason``: the first failing rule, or null."""
     body = F.col("body")
@@ -50,7 +55,7 @@ def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _event_columns() -> list[Column]:
+def _event_columns(ts: Column | None = None) -> list[Column]:
     body, meta = F.col("body"), F.col("body.metadata")
     return [
         _text(body["event_id"]).alias("event_id"),
@@ -58,7 +63,7 @@ def _event_columns() -> list[Column]:
         body["event_type"].alias("event_type"),
         _text(body["item_id"]).alias("item_id"),
         _text(body["category_id"]).alias("category_id"),
-        jsonio.parse_time(body["timestamp"]).alias("ts"),
+        (jsonio.parse_time(body["timestamp"]) if ts is None else ts).alias("ts"),
         _text(body["session_id"]).alias("session_id"),
         F.struct(
             _text(meta["query"]).alias("query"),
@@ -72,18 +77,19 @@ def _event_columns() -> list[Column]:
 def parse_events(df: DataFrame) -> DataFrame:
     """Event topic ``value`` -> event columns plus ``parse_error``; unknown fields are ignored."""
     others = [c for c in df.columns if c != "value"]
-    parsed = df.withColumn("body", _decode(F.col("value"), schemas.EVENT_JSON))
+    parsed = _once(df, "body", _decode(F.col("value"), schemas.EVENT_JSON))
+    parsed = _once(parsed, "_parsed_time", jsonio.parse_time(F.col("body.timestamp")))
     bad = F.col("body").isNull() | F.col(f"body.{_BAD}").isNotNull()
-    bad = bad | F.col("body.user_id").isNull() | jsonio.parse_time(F.col("body.timestamp")).isNull()
-    return parsed.select(*others, *_event_columns(), bad.alias("parse_error"))
+    bad = bad | F.col("body.user_id").isNull() | F.col("_parsed_time").isNull()
+    return parsed.select(*others, *_event_columns(F.col("_parsed_time")), bad.alias("parse_error"))
 
 
 def parse_inventory(df: DataFrame) -> DataFrame:
     """Inventory topic ``value`` -> ``item_id, in_stock, quantity, ts, parse_error``."""
     others = [c for c in df.columns if c != "value"]
     body = F.col("body")
-    parsed = df.withColumn("body", _decode(F.col("value"), schemas.INVENTORY_JSON))
-    ts = jsonio.parse_time(body["timestamp"])
+    parsed = _once(df, "body", _decode(F.col("value"), schemas.INVENTORY_JSON))
+    parsed, ts = _once(parsed, "_parsed_time", jsonio.parse_time(body["timestamp"])), F.col("_parsed_time")
     bad = body.isNull() | body[_BAD].isNotNull() | body["item_id"].isNull() | ts.isNull()
     return parsed.select(
         *others,

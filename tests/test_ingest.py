@@ -64,6 +64,23 @@ def test_times_and_unknown_fields(spark):
     assert tuple(found[0].metadata) == ("", 0, 0, "")
 
 
+def test_a_message_is_decoded_once_below_the_filters(spark):
+    df = spark.createDataFrame([("{}",)], "value string").withColumn("raw", F.col("value"))
+    for parse in (ingest.parse_events, ingest.parse_inventory):
+        parsed = parse(df)
+        for kept in (parsed.where(~F.col("parse_error")).drop("raw"), parsed.where(F.col("parse_error")).select("raw")):
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("from_json") == 1 and plan.count("RLIKE") <= 2
+
+
+def test_null_and_broken_messages_keep_their_row(spark):
+    texts = [None, "", "null", "[]", "{broken", '{"user_id": 1}', '{"item_id": "i", "timestamp": "2026-03-18T12:00:00Z"}']
+    df = spark.createDataFrame([(v,) for v in texts], "value string").withColumn("raw", F.col("value"))
+    assert [r.parse_error for r in ingest.parse_events(df).collect()] == [True] * 7
+    found = ingest.parse_inventory(df).collect()
+    assert [(r.raw, r.parse_error) for r in found] == [(v, i < 6) for i, v in enumerate(texts)]
+
+
 def test_replayed_batches_get_the_same_ids(spark):
     df = spark.createDataFrame([("u1", "i1"), ("u2", "i1")], "user_id string, item_id string")
     once, again = (ingest.enrich_events(df, F.lit(at(0)), ["user_id", "item_id"]) for _ in range(2))

@@ -15,6 +15,7 @@ from tallyrack.session import cut_lineage
 from tallyrack.sources import commands as cmd
 from tallyrack.sources import events as lake
 from tallyrack.sources.cache import from_cache
+from tallyrack.sources.streams import publish, stream_source
 from tallyrack.streaming import job, stateful, upserts, windows
 from workload import tables as t
 from workload.registry import EV, INV, joined, micros, query
@@ -511,8 +512,13 @@ def streaming_job_state(spark, sf):
         F.col("p_partkey").cast("string").alias("item_id"), F.col("p_partkey").alias("bit_offset")
     )
     path = t.scratch(spark, "job")
-    values = users.select(event_json().alias("value"))
-    started = job.run_streams(spark, values, goods, f"{path}/out", f"{path}/checkpoint", offsets)
+    # the topics: each message is encoded once, however many branches read it
+    messages = {"users": users.select(event_json().alias("value")), "goods": goods}
+    sent = [publish(m, "parquet", {"path": f"{path}/{k}"}, f"{path}/{k}-checkpoint") for k, m in messages.items()]
+    for running in sent:
+        running.awaitTermination()
+    topic = {k: stream_source(spark, "parquet", {"path": f"{path}/{k}"}) for k in messages}
+    started = job.run_streams(spark, topic["users"], topic["goods"], f"{path}/out", f"{path}/checkpoint", offsets)
     for running in started.values():
         running.awaitTermination()
     state = cut_lineage(job.stream_state(spark, f"{path}/out"))
