@@ -6,6 +6,10 @@ State is one table ``(key, kind, member, value, score, expires_at, ts, seq)``:
 * ``bit``     — ``member`` is the offset, ``value`` 0 or 1
 * ``zset``    — ``member`` of a sorted set with its ``score``
 * ``expiry``  — the expiry of a whole sorted set
+
+A row of the command log may stand for a run of equal writes: every ``every_seconds`` from ``since`` to
+``ts``, the last of them. Only the last can be the newest of its key, so a SET is applied as it is;
+``each_write`` unfolds the runs.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from tallyrack.operators.sessions import SESSION_TTL, activity_spans, last_life,
 from tallyrack.operators.skew import HOT_ROWS, salted_join
 
 CLICKS_TTL = 3660
+RUN_COLUMNS = ("since", "every_seconds")
 STATE_COLUMNS = ("key", "kind", "member", "value", "score", "expires_at", "ts", "seq")
 
 
@@ -37,12 +42,23 @@ def _command(
 
 
 def click_commands(counts: DataFrame) -> DataFrame:
-    """``(user_id, clicks, ts)`` -> SET of the click count."""
+    """``(user_id, clicks, ts)`` -> SET of the click count; the columns of a run stay."""
+    run = [c for c in RUN_COLUMNS if c in counts.columns]
     return counts.select(
-        *_command(keys.user_clicks_1h(F.col("user_id")), "SET", F.col("clicks"), ttl=CLICKS_TTL), "ts"
+        *_command(keys.user_clicks_1h(F.col("user_id")), "SET", F.col("clicks"), ttl=CLICKS_TTL), "ts", *run
     )
 
 
+def each_write(commands: DataFrame) -> DataFrame:
+    """One row per write: runs of equal writes unfolded to their times, other rows as they are."""
+    if not set(RUN_COLUMNS) <= set(commands.columns):
+        return commands
+    times = F.sequence("since", "ts", F.make_dt_interval(secs=F.col("every_seconds")))
+    times = F.when(F.col("since").isNull(), F.array("ts")).otherwise(times)
+    others = [c for c in commands.columns if c not in ("ts", *RUN_COLUMNS)]
+    return commands.select(*others, F.explode(times).alias("ts"))
+
+
 def session_commands(events: DataFrame) -> DataFrame:
     """Session events -> ZADD of ``type:item:event`` scored by time."""
     member = F.concat_ws(":", "event_type", "item_id", "event_id")
@@ -78,6 +94,16 @@ def _rejection() -> Column:
     ).when((F.col("operation") == "SETBIT") & (offset.isNull() | (offset < 0)), "bad bit offset")
 
 
+def _equal_writes(written: DataFrame) -> DataFrame:
+    """Equal writes of a member folded to the newest by hashing; what is left is sorted for its last value."""
+    order = F.coalesce("seq", F.lit(-(2**63)).cast("bigint"))
+    folded = written.groupBy("key", "kind", "member", "value", "ttl", "tie").agg(
+        *[F.max_by(c, order).alias(c) for c in ("score", "ts")], F.max("seq").alias("seq")
+    )
+    expires = F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))
+    return folded.select("key", "kind", "member", "value", "score", expires.alias("expires_at"), "ts", "seq", "tie")
+
+
 def apply_commands(
     commands: DataFrame, state: DataFrame | None = None, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -93,29 +119,32 @@ def apply_commands(
     good = judged.where(F.col("reject_reason").isNull()).drop("reject_reason")
     if "tie" not in good.columns:
         good = good.withColumn("tie", F.xxhash64("key", "operation", "field", "value"))
-    is_set, is_bit, is_zadd = (F.col("operation") == op for op in ("SET", "SETBIT", "ZADD"))
-    written = good.select(
+    is_set, is_zadd = F.col("operation") == "SET", F.col("operation") == "ZADD"
+    # set members are apart from the rest, so that a reader of either skips the files of the other
+    bit = F.when(F.col("value") == "1", "1").otherwise("0")
+    values = good.where(F.col("operation").isin("SET", "SETBIT")).select(
         "key",
-        F.when(is_set, "string").when(is_bit, "bit").otherwise("zset").alias("kind"),
-        F.when(is_set, "").when(is_bit, F.col("field").try_cast("bigint").cast("string")).otherwise(
-            F.col("value")
-        ).alias("member"),
-        F.when(is_bit, F.when(F.col("value") == "1", "1").otherwise("0"))
-        .when(is_set, F.col("value"))
-        .alias("value"),
-        F.when(is_zadd, F.col("score")).alias("score"),
+        F.when(is_set, "string").otherwise("bit").alias("kind"),
+        F.when(is_set, "").otherwise(F.col("field").try_cast("bigint").cast("string")).alias("member"),
+        F.when(is_set, F.col("value")).otherwise(bit).alias("value"),
+        F.lit(None).cast("double").alias("score"),
         F.when(is_set & (F.col("ttl_seconds") > 0), F.col("ttl_seconds")).alias("ttl"),
         "ts",
         "seq",
         "tie",
     )
-    # equal writes of a member fold to the newest by hashing; what is left is sorted for its last value
-    order = F.coalesce("seq", F.lit(-(2**63)).cast("bigint"))
-    written = written.groupBy("key", "kind", "member", "value", "ttl", "tie").agg(
-        *[F.max_by(c, order).alias(c) for c in ("score", "ts")], F.max("seq").alias("seq")
+    added = good.where(is_zadd | F.col("operation").isNull()).select(
+        "key",
+        F.lit("zset").alias("kind"),
+        F.col("value").alias("member"),
+        F.lit(None).cast("string").alias("value"),
+        F.when(is_zadd, F.col("score")).alias("score"),
+        F.lit(None).cast("bigint").alias("ttl"),
+        "ts",
+        "seq",
+        "tie",
     )
-    expires = F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))
-    written = written.select("key", "kind", "member", "value", "score", expires.alias("expires_at"), "ts", "seq", "tie")
+    written = _equal_writes(values).unionByName(_equal_writes(added))
     zadds = good.where(is_zadd)
     spans = activity_spans(zadds, ["key"], "ts", F.col("ttl_seconds"))
     members = zadds.select("key")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyrack.operators.ingest import parse_events, parse_inventory
 from tallyrack.sources import commands as cmd
-from tallyrack.streaming.windows import clicks_1h
+from tallyrack.streaming.windows import CLICKS_SLIDE, clicks_1h_runs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,8 +48,12 @@ def start(
 
 
 def click_branch(events: DataFrame) -> DataFrame:
-    windows = clicks_1h(events)
-    return cmd.click_commands(windows.select("user_id", "clicks", F.col("window_end").alias("ts")))
+    """A SET per user and window; windows of equal count one after the other are a row of the log (``commands.each_write``)."""
+    every = F.lit(CLICKS_SLIDE).cast("bigint").alias("every_seconds")
+    runs = clicks_1h_runs(events).select(
+        "user_id", "clicks", F.col("window_end").alias("ts"), F.col("first_end").alias("since"), every
+    )
+    return cmd.click_commands(runs)
 
 
 def session_branch(events: DataFrame) -> DataFrame:
@@ -107,9 +111,10 @@ def run_streams(
     }
 
 
-def read_commands(spark: SparkSession, out: str, names=("clicks", "sessions", "stock")) -> DataFrame:
-    """All commands written so far, in a repeatable order."""
-    parts = [spark.read.parquet(f"{out}/{name}") for name in names]
+def read_commands(spark: SparkSession, out: str, names=("clicks", "sessions", "stock"), each: bool = True) -> DataFrame:
+    """All commands written so far, in a repeatable order; without ``each``, a run of equal writes is its last one."""
+    parts = [spark.read.option("mergeSchema", each).parquet(f"{out}/{name}") for name in names]
+    parts = [cmd.each_write(part) if each else part.drop(*cmd.RUN_COLUMNS) for part in parts]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -148,5 +153,5 @@ def fold_commands(
 
 def stream_state(spark: SparkSession, out: str, as_of: Column | None = None) -> DataFrame:
     """State after the commands written so far."""
-    state, _ = cmd.apply_commands(read_commands(spark, out))
+    state, _ = cmd.apply_commands(read_commands(spark, out, each=False))
     return state if as_of is None else cmd.live_state(state, as_of)

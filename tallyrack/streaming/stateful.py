@@ -141,16 +141,18 @@ class _Sums(StatefulProcessor):
             self._save(keys, table, closed, timer, watermark)
 
 
-def pane_sums(
+def pane_runs(
     events: DataFrame, key: str, measures: dict[str, Column], size: int, slide: int, delay: str, panes_first: bool = False
 ) -> DataFrame:
-    """The rows of ``windows.sliding_sums`` over a stream, from panes of ``slide`` seconds.
+    """The windows of ``pane_sums`` as runs of equal sums: ``(key, first_end, last_end, sums)``.
+
+    Ends count slides since the epoch; a run stands for a window at each of its ends. A run that goes on
+    beyond the watermark comes in parts.
 
     Keys are dealt by hash to ``BUCKETS`` state rows: (key, pane, sums) for the panes that open windows need,
     ``size / slide`` per key and those ahead of the watermark at most. So an event adds to one pane where a
     sliding window aggregation opens ``size / slide`` state rows, and a batch makes a call per bucket, however
-    many keys there are. Closed windows leave as runs of equal sums, which
-    unfold to windows in the JVM. An event late by less than ``size`` still counts in the windows
+    many keys there are. Closed windows leave as runs of equal sums. An event late by less than ``size`` still counts in the windows
     that are open, as it does in a sliding window aggregation.
 
     ``panes_first`` folds events to one row per key and pane in an aggregation before the state, in the
@@ -177,8 +179,16 @@ def pane_sums(
     )
     processor = _Sums(key, list(measures), size // slide, slide, panes_first)
     runs = rows.groupBy("_bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return runs.select(F.col(key).cast(kind).alias(key), "first_end", "last_end", *measures)
+
+
+def pane_sums(
+    events: DataFrame, key: str, measures: dict[str, Column], size: int, slide: int, delay: str, panes_first: bool = False
+) -> DataFrame:
+    """The rows of ``windows.sliding_sums`` over a stream: ``pane_runs``, unfolded to windows in the JVM."""
+    runs = pane_runs(events, key, measures, size, slide, delay, panes_first)
     end = F.explode(F.sequence("first_end", "last_end"))
-    return runs.select(F.col(key).cast(kind).alias(key), end.alias("_end"), *measures).select(
+    return runs.select(key, end.alias("_end"), *measures).select(
         key,
         F.timestamp_seconds(F.col("_end") * slide - size).alias("window_start"),
         F.timestamp_seconds(F.col("_end") * slide).alias("window_end"),

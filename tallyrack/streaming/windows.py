@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrack.functions.rules import is_click
-from tallyrack.streaming.stateful import pane_sums
+from tallyrack.streaming.stateful import pane_runs, pane_sums
 
 HOUR, DAY = 3600, 86_400
+CLICKS_SLIDE = 60
 CLICKS_TTL = 3660
 DELAY = "5 seconds"
 
@@ -70,7 +71,17 @@ def sliding_count(
 
 def clicks_1h(events: DataFrame) -> DataFrame:
     """Clicks per user in the last hour, every minute."""
-    return sliding_count(events, "user_id", is_click(F.col("event_type")), HOUR, 60, "clicks")
+    return sliding_count(events, "user_id", is_click(F.col("event_type")), HOUR, CLICKS_SLIDE, "clicks")
+
+
+def clicks_1h_runs(events: DataFrame) -> DataFrame:
+    """The windows of ``clicks_1h`` over a stream, with those of equal count one after the other in a row.
+
+    ``(user_id, first_end, window_end, clicks)``: a window ends every minute from ``first_end`` to ``window_end``.
+    """
+    runs = pane_runs(events, "user_id", {"clicks": is_click(F.col("event_type"))}, HOUR, CLICKS_SLIDE, DELAY)
+    first, last = (F.timestamp_seconds(F.col(end) * CLICKS_SLIDE) for end in ("first_end", "last_end"))
+    return runs.select("user_id", first.alias("first_end"), last.alias("window_end"), "clicks")
 
 
 def views_1d(events: DataFrame) -> DataFrame:

@@ -206,3 +206,44 @@ def test_sequence_is_repeatable(spark):
     c = spark.createDataFrame([("k", "SET", str(i), "", 0.0, 0, at(0)) for i in range(20)], "key string, operation string, value string, field string, score double, ttl_seconds bigint, ts timestamp")
     values = {cmd.apply_commands(cmd.sequenced(c.repartition(n)))[0].first().value for n in (1, 3, 7)}
     assert len(values) == 1
+
+
+def test_click_log_holds_runs_of_equal_counts(spark, tmp_path):
+    job.use_rocksdb(spark)
+    schema = f"{EVENT}, session_id string, item_id string"
+    events = [(*e, "s", "i") for e in CASE] + [("6", "z", "view", START + dt.timedelta(hours=8), "s", "i")]
+    feed(spark, tmp_path, 0, events[:3], schema)
+    feed(spark, tmp_path, 1, events[3:], schema)
+    written = run(spark, job.click_branch(stream(spark, tmp_path, schema)), tmp_path, "clicks")
+    want = {(f"feat:user:{u}:clicks_1h", str(n), e) for (u, e), n in brute(CASE).items()}
+    assert written.count() <= 8 < len(want)
+    each = job.read_commands(spark, str(tmp_path), ["clicks"])
+    assert each.columns == ["key", "operation", "value", "field", "score", "ttl_seconds", "ts", "seq", "tie"]
+    got = rows(each.select("key", "value", F.unix_seconds("ts")))
+    assert got == sorted(want, key=repr)  # each window once
+    columns = "key", "kind", "member", "value", "expires_at", "ts"
+    states = [cmd.apply_commands(job.read_commands(spark, str(tmp_path), ["clicks"], e))[0] for e in (True, False)]
+    assert rows(states[0], *columns) == rows(states[1], *columns) != []
+
+
+def test_writes_of_a_log_with_and_without_runs(spark):
+    schema = "key string, operation string, value string, field string, score double, ttl_seconds bigint, ts timestamp"
+    plain = spark.createDataFrame([("k", "SET", "1", "", 0.0, 9, at(0)), ("k", "SET", "2", "", 0.0, 9, None)], schema)
+    assert cmd.each_write(plain).collect() == plain.collect()
+    mixed = [("k", "SET", "1", "", 0.0, 9, at(120), at(0), 60), ("k", "SET", "2", "", 0.0, 9, at(5), None, None), ("k", "SET", "3", "", 0.0, 9, None, None, None)]
+    found = cmd.each_write(spark.createDataFrame(mixed, f"{schema}, since timestamp, every_seconds bigint"))
+    assert found.columns == plain.columns
+    assert rows(found, "value", "ts") == sorted([("1", at(0)), ("1", at(60)), ("1", at(120)), ("2", at(5)), ("3", None)], key=repr)
+
+
+def test_each_part_of_the_state_reads_its_own_commands(spark, tmp_path):
+    schema = "key string, operation string, value string, field string, score double, ttl_seconds bigint, ts timestamp"
+    log = [("k", "SET", "1", "", 0.0, 9, at(0)), ("z", "ZADD", "m", "", 1.0, 9, at(0)), ("b", "SETBIT", "1", "3", 0.0, 0, at(0)), ("n", None, "v", "", 0.0, 0, at(0))]
+    spark.createDataFrame(log, schema).write.parquet(str(tmp_path / "log"))
+    state, _ = cmd.apply_commands(cmd.sequenced(spark.read.parquet(str(tmp_path / "log"))))
+    got = rows(state, "key", "kind", "member", "value", "score")
+    want = [("k", "string", "", "1", None), ("z", "zset", "m", None, 1.0), ("z", "expiry", "", None, None), ("b", "bit", "3", "1", None), ("n", "zset", "v", None, None)]
+    assert got == sorted(want, key=repr)
+    scans = [line for line in state._jdf.queryExecution().executedPlan().toString().splitlines() if "PushedFilters" in line]
+    assert scans and all("ZADD" in line.split("PushedFilters: ")[1].split("ReadSchema")[0].replace("[SET,SETBIT,ZADD]", "")
+                         or "In(operation, [SET,SETBIT])" in line for line in scans)
