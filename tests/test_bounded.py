@@ -124,3 +124,41 @@ def test_groups_hold_a_block_and_every_cell():
     sums = np.bincount(group, rows)
     assert len(group) == 8 and sums.sum() == rows.sum()
     assert all(total <= 100 or (group == g).sum() == 1 for g, total in enumerate(sums))
+
+
+def test_items_of_a_group_are_not_cut_again(spark, monkeypatch):
+    """With vectors without common directions each user meets each group: once, not once per part of it."""
+    vectors = list(enumerate(np.random.default_rng(6).integers(-9, 10, (400, 16)).tolist()))
+    users, items = _frame(spark, "user_id", vectors), _frame(spark, "item_id", vectors)
+    emitted = []
+
+    def counted(*given):
+        emitted.append(nearest._best_per_cell(*given).count())
+        return nearest._best_per_cell(*given)
+
+    monkeypatch.setattr(bounded, "_best_per_cell", counted)
+    done = bounded.search(users, items, 1, cells=40, block_rows=10)  # a row for each user and block it was sent to, at most
+    assert sum(emitted) <= 400 * 10
+    assert _of(done.found) == _best(vectors, vectors, 1)
+
+
+def test_cells_asked_for_are_sent_as_bits(spark):
+    cells = bounded._Cells(*(np.arange(20) for _ in range(6)), np.arange(20)[::-1], np.array([0, 3, 20]))
+    users = _frame(spark, "user_id", [(1, [1.0]), (2, [2.0])])
+
+    def choose(x, floor):
+        flags = np.zeros((len(x), 20), bool)
+        flags[:, 19], flags[x[:, 0] == 2, 0] = True, True  # the first of the first group, the last of the other
+        return flags
+
+    sent = bounded._sent(users.withColumnRenamed("embedding", "vector"), cells, choose).collect()
+    got = {(r.user_id, r.cell): bytes(r.cells) for r in sent}
+    assert got == {(1, 0): b"\x01", (2, 0): b"\x01", (2, 1): b"\x00\x00\x01"}
+
+
+def test_users_without_length_get_their_lists(spark):
+    """All cells promise the same, so both passes must take the same one for the first."""
+    items = _grouped(300, 11)
+    users = [(i, [0] * 6) for i in range(3)]
+    found = nearest.nearest_items(_frame(spark, "user_id", users), _frame(spark, "item_id", items), 250, "bounded", digits=6, block_rows=20)
+    assert _of(found) == _best(users, items, 250)

@@ -250,3 +250,38 @@ def test_small_blocks_grow_rather_than_multiply(spark):
         return spark.createDataFrame([(i, [float(i)], 1) for i in range(64)], f"{name} bigint, vector array<double>, cell int")
 
     assert nearest._best_per_cell(side("user_id"), side("item_id"), 1, 1, None, False).count() <= 64 * 16
+
+
+def test_scores_closer_than_single_precision_rank_right():
+    """Single precision only leaves out; what it can't tell apart is decided in double precision."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    for factor in (1.0, 1e-30, 1e25, 1e150):
+        items = (base + rng.normal(size=(3000, 16)) * 1e-9) * factor
+        users = rng.normal(size=(5, 16)) * factor
+        rows, cols, values = nearest._best_of(users, items, 6, None, None, np.full(5, -np.inf))
+        for user in range(5):
+            scores = np.einsum("j,ij->i", users[user], items)
+            want = np.lexsort((np.arange(3000), -scores))[:6]
+            assert np.allclose(values[rows == user], scores[want], rtol=1e-14, atol=0)
+            assert set(cols[rows == user]) <= set(np.flatnonzero(scores >= scores[want[-1]] - 1e-14 * abs(scores[want[-1]])))
+
+
+def test_equal_scores_stay_few_and_in_order():
+    """All items alike: ties go by place, whatever order the parts come in."""
+    best = nearest._Best(np.ones((3, 2)), np.ones((4000, 2)), 3, 6, np.array([0, 5, -1]), np.array([-np.inf, 2.0, 2.1]))
+    places = np.arange(4000, dtype=np.int32)
+    best.add(2000, 4000, places)
+    best.add(0, 2000, places)
+    rows, cols, values = best.found()
+    assert rows.tolist() == [0, 0, 0, 1, 1, 1] and cols.tolist() == [1, 2, 3, 0, 1, 2] and set(values) == {2.0}
+
+
+def test_a_middling_table_is_cut_for_several_cores(spark):
+    """20,000 by 20,000 rows were one block, so one task did all the work; short vectors are put in larger blocks."""
+    def side(name):
+        return spark.range(20_000).selectExpr(f"id AS {name}", "array(double(id)) AS vector", "1 AS cell")
+
+    parts = nearest._best_per_cell(side("user_id"), side("item_id"), 1, nearest.BLOCK_ROWS, None, False)
+    assert parts.count() == 20_000 * 3  # three blocks of items at least 8,192 rows large
+    assert [nearest._item_block(10**7, dim, nearest.BLOCK_ROWS) for dim in (6, 32, 64, 500)] == [262_144, 131_072, 65_536, 65_536]
